@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +65,6 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def joined(parts: list[Column], separator: str, empty: str) -> Column:
-    """Non-null parts joined by a separator; ``empty`` if there is none."""
-    text = F.concat_ws(separator, *parts)
-    return F.when(text == "", F.lit(empty)).otherwise(text)
-
-
 def timeline_label(ts: Column | str) -> Column:
     return F.date_format(ts, "MMM dd  HH:mm:ss")
 
@@ -81,8 +73,8 @@ def clock_label(ts: Column | str) -> Column:
     return F.date_format(ts, "HH:mm:ss")
 
 
-def phase_spread(a: Column, b: Column, c: Column, floor: float = 0.01) -> Column:
+def phase_spread(a: str, b: str, c: str, floor: float = 0.01) -> Column:
     """Population standard deviation over mean of three values; 0 below the floor."""
-    mean = (a + b + c) / 3.0
-    square = reduce(lambda x, y: x + y, [(v - mean) * (v - mean) for v in (a, b, c)])
-    return F.when(mean > floor, F.sqrt(square / 3.0) / mean).otherwise(0.0)
+    mean = f"(({a} + {b} + {c}) / 3D)"
+    square = " + ".join(f"({v} - {mean}) * ({v} - {mean})" for v in (a, b, c))
+    return F.expr(f"case when {mean} > {floor}D then sqrt(({square}) / 3D) / {mean} else 0D end")

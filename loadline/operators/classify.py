@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.functions.display import clamp, joined, state_code
+from loadline.functions.columns import with_exprs
+from loadline.functions.display import state_code
 from loadline.profiles import AMBER, GREEN, PROFILES, RED, with_profile
 
 RULE_COLUMNS = ["red_max_rms", "red_max_variance", "green_min_rms", "green_min_thd",
                 "green_min_variance", "green_min_imbalance", "intensity_cut",
                 "dominant_factor", "dominant_confidence"]
-TINY = 1e-9
 
 
 def sample_states(readings: DataFrame, profiles=PROFILES, overrides: DataFrame | None = None) -> DataFrame:
@@ -46,16 +46,41 @@ def state_share(states: DataFrame, state: str = "state") -> DataFrame:
     return long.select("machine", "state", "samples", (F.col("samples") / F.col("_n") * 100.0).alias("share_pct"))
 
 
-def _score(value: str, threshold: str) -> Column:
-    return clamp(F.col(value) / F.greatest(F.col(threshold), F.lit(TINY)))
-
-
-def _fmt(decimals: Column, value: str) -> Column:
-    """``value`` with a per-profile number of decimals."""
-    shown = F.format_string("%.2f", value)
-    for d in (3, 4, 5):
-        shown = F.when(decimals == d, F.format_string(f"%.{d}f", value)).otherwise(shown)
-    return shown
+# Wording and decimals of the reasons, by family of messages.
+_RMS_TEXT = """concat('RMS=', case when red_max_variance is not null then format_string('%.2f', rms_i_avg)
+  when green_min_imbalance is null then format_string('%.4f', rms_i_avg)
+  else format_string('%.3f', rms_i_avg) end, ' A')"""
+_RED_TEXT = """case when red_max_variance is not null then
+    concat(_text, ' <= ', string(red_max_rms), ' A, Var=', format_string('%.2f', variance_i_avg),
+           ' A2 <= ', string(red_max_variance), ' A2')
+  else concat(_text, ' <= ', string(red_max_rms), ' A (',
+    case when green_min_imbalance is null then 'STANDBY'
+         when substring_index(machine, '_', 1) = 'milling' then 'Idle' else 'HALT' end, ' threshold)') end"""
+_GREEN_TEXT = """concat_ws('; ', concat(_text, ' >= ', string(green_min_rms), ' A'),
+  case when thd >= green_min_thd then format_string('THD=%.3f', thd) end,
+  case when variance_i_avg >= green_min_variance then
+    case when red_max_variance is not null then format_string('Var=%.2f A²', variance_i_avg)
+         when green_min_imbalance is null then format_string('Var=%.5f', variance_i_avg)
+         else format_string('Var=%.4f', variance_i_avg) end end,
+  case when phase_imbalance >= green_min_imbalance then
+    case when red_max_variance is not null then format_string('Imbalance=%.2f', phase_imbalance)
+         else format_string('Imb=%.2f', phase_imbalance) end end)"""
+_DOMINANT_TEXT = """case
+  when red_max_variance is not null then concat(_text, ' >> ', string(green_min_rms), ' A (dominant)')
+  when green_min_imbalance is null then concat(_text, ' >> threshold (ACTIVE dominant)')
+  else concat(_text, ' >> threshold (3-phase motor dominant)') end"""
+_AMBER_TEXT = """case
+  when red_max_variance is not null then
+    concat(_text, ' between thresholds [', string(red_max_rms), ', ', string(green_min_rms), ']')
+  when green_min_imbalance is null then
+    concat(_text, format_string(' in IDLE band [%.3f, %.3f] A', red_max_rms, green_min_rms))
+  when substring_index(machine, '_', 1) = 'milling' then
+    concat(_text, format_string(' in No-Load band [%.2f, %.2f] A', red_max_rms, green_min_rms))
+  else concat(_text, format_string(' in IDLE band [%.2f, %.2f] A', red_max_rms, green_min_rms)) end"""
+
+
+def _score(value: str, threshold: str) -> str:
+    return f"least(greatest({value} / greatest({threshold}, 1e-9D), 0D), 1D)"
 
 
 def classify(features: DataFrame, profiles=PROFILES, overrides: DataFrame | None = None) -> DataFrame:
@@ -66,78 +91,27 @@ def classify(features: DataFrame, profiles=PROFILES, overrides: DataFrame | None
     far above it; else AMBER.  A NULL imbalance limit leaves that indicator out.
     """
     w = with_profile(features, *RULE_COLUMNS, profiles=profiles, overrides=overrides)
-    rms, var, thd, imb = (F.col(c) for c in ("rms_i_avg", "variance_i_avg", "thd", "phase_imbalance"))
-    red, green = F.col("red_max_rms"), F.col("green_min_rms")
-    has_imb, has_red_var = F.col("green_min_imbalance").isNotNull(), F.col("red_max_variance").isNotNull()
-    w = w.withColumns({
-        "_rms": _score("rms_i_avg", "green_min_rms"),
-        "_var": _score("variance_i_avg", "green_min_variance"),
-        "_thd": _score("thd", "green_min_thd"),
-        "_imb": F.when(has_imb, _score("phase_imbalance", "green_min_imbalance")),
-    })
-    w = w.withColumn("_intensity", F.greatest("_thd", "_var", F.coalesce("_imb", F.lit(0.0))))
-    is_red = (rms <= red) & (~has_red_var | (var <= F.col("red_max_variance")))
-    is_green = (rms >= green) & (F.col("_intensity") >= F.col("intensity_cut"))
-    is_dominant = rms >= green * F.col("dominant_factor")
-    rule = F.when(is_red, "red").when(is_green, "green").when(is_dominant, "dominant").otherwise("amber")
-    w = w.withColumn("_rule", rule)
-
-    confidence = (
-        F.when(rule == "red", 1.0 - rms / F.greatest(red, F.lit(TINY)))
-        .when(rule == "green", (F.col("_rms") + F.col("_intensity")) / 2.0)
-        .when(rule == "dominant", F.col("_rms") * F.col("dominant_confidence"))
-        .otherwise((rms - red) / F.greatest(green - red, F.lit(TINY))))
-    w = w.withColumns({
-        "state": F.when(F.col("_rule") == "red", RED)
-                  .when(F.col("_rule").isin("green", "dominant"), GREEN).otherwise(AMBER),
-        "confidence": F.round(clamp(confidence), 3),
-        "scores": F.struct(
-            F.round("_rms", 3).alias("rms"), F.round("_var", 3).alias("variance"),
-            F.round("_thd", 3).alias("thd"), F.round("_imb", 3).alias("imbalance")),
-        "reason": _reason(),
-    })
-    return w.drop(*RULE_COLUMNS, "_rms", "_var", "_thd", "_imb", "_intensity", "_rule")
-
-
-def _reason() -> Column:
-    """Reason text; wording and decimals follow the profile's family of messages."""
-    furnace = F.col("red_max_variance").isNotNull()
-    single_phase = F.col("green_min_imbalance").isNull()
-    profile = F.substring_index("machine", "_", 1)
-    places = F.when(furnace, 2).when(single_phase, 4).otherwise(3)
-    rms = F.concat(F.lit("RMS="), _fmt(places, "rms_i_avg"), F.lit(" A"))
-    red, green = F.col("red_max_rms").cast("string"), F.col("green_min_rms").cast("string")
-
-    # Wording of the reasons.
-    red_name = F.when(single_phase, "STANDBY").when(profile == "milling", "Idle").otherwise("HALT")
-    red_text = F.when(
-        furnace,
-        F.concat(rms, F.lit(" <= "), red, F.lit(" A, Var="), _fmt(F.lit(2), "variance_i_avg"),
-                 F.lit(" A2 <= "), F.col("red_max_variance").cast("string"), F.lit(" A2"))
-    ).otherwise(F.concat(rms, F.lit(" <= "), red, F.lit(" A ("), red_name, F.lit(" threshold)")))
-
-    var_places = F.when(furnace, 2).when(single_phase, 5).otherwise(4)
-    parts = [
-        F.concat(rms, F.lit(" >= "), green, F.lit(" A")),
-        F.when(F.col("thd") >= F.col("green_min_thd"), F.format_string("THD=%.3f", "thd")),
-        F.when(F.col("variance_i_avg") >= F.col("green_min_variance"),
-               F.concat(F.lit("Var="), _fmt(var_places, "variance_i_avg"),
-                        F.when(furnace, " A²").otherwise(""))),
-        F.when(F.col("phase_imbalance") >= F.col("green_min_imbalance"),
-               F.concat(F.when(furnace, "Imbalance=").otherwise("Imb="),
-                        F.format_string("%.2f", "phase_imbalance"))),
-    ]
-    green_text = joined(parts, "; ", "")
-    dominant_text = F.when(furnace, F.concat(rms, F.lit(" >> "), green, F.lit(" A (dominant)"))).when(
-        single_phase, F.concat(rms, F.lit(" >> threshold (ACTIVE dominant)"))).otherwise(
-        F.concat(rms, F.lit(" >> threshold (3-phase motor dominant)")))
-    band_places = F.when(single_phase, 3).otherwise(2)
-    band = F.concat(F.lit("["), _fmt(band_places, "red_max_rms"), F.lit(", "),
-                    _fmt(band_places, "green_min_rms"), F.lit("]"))
-    band_name = F.when(profile == "milling", "No-Load").otherwise("IDLE")
-    amber_text = F.when(
-        furnace, F.concat(rms, F.lit(" between thresholds ["), red, F.lit(", "), green, F.lit("]"))
-    ).otherwise(F.concat(rms, F.lit(" in "), band_name, F.lit(" band "), band, F.lit(" A")))
-    rule = F.col("_rule")
-    return (F.when(rule == "red", red_text).when(rule == "green", green_text)
-            .when(rule == "dominant", dominant_text).otherwise(amber_text))
+    w = with_exprs(
+        w, _rms=_score("rms_i_avg", "green_min_rms"), _thd=_score("thd", "green_min_thd"),
+        _var=_score("variance_i_avg", "green_min_variance"),
+        _imb=f"case when green_min_imbalance is not null then {_score('phase_imbalance', 'green_min_imbalance')} end")
+    w = with_exprs(w, _intensity="greatest(_thd, _var, _imb)", _text=_RMS_TEXT)  # greatest skips NULL
+    w = with_exprs(w, _rule="""case
+        when rms_i_avg <= red_max_rms and (red_max_variance is null or variance_i_avg <= red_max_variance)
+          then 'red'
+        when rms_i_avg >= green_min_rms and _intensity >= intensity_cut then 'green'
+        when rms_i_avg >= green_min_rms * dominant_factor then 'dominant'
+        else 'amber' end""")
+    w = with_exprs(
+        w,
+        state="case _rule when 'red' then 'RED' when 'amber' then 'AMBER' else 'GREEN' end",
+        confidence="""round(least(greatest(case _rule
+            when 'red' then 1D - rms_i_avg / greatest(red_max_rms, 1e-9D)
+            when 'green' then (_rms + _intensity) / 2D
+            when 'dominant' then _rms * dominant_confidence
+            else (rms_i_avg - red_max_rms) / greatest(green_min_rms - red_max_rms, 1e-9D) end, 0D), 1D), 3)""",
+        scores="""named_struct('rms', round(_rms, 3), 'variance', round(_var, 3),
+                               'thd', round(_thd, 3), 'imbalance', round(_imb, 3))""",
+        reason=f"""case _rule when 'red' then {_RED_TEXT} when 'green' then {_GREEN_TEXT}
+                     when 'dominant' then {_DOMINANT_TEXT} else {_AMBER_TEXT} end""")
+    return w.drop(*RULE_COLUMNS, "_rms", "_var", "_thd", "_imb", "_intensity", "_rule", "_text")

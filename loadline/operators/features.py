@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadline.functions.columns import with_exprs
 from loadline.functions.display import phase_spread
 from loadline.profiles import PROFILES, with_profile
 
@@ -28,7 +29,7 @@ def time_aggregates() -> list[Column]:
 
 def with_phase_imbalance(windows: DataFrame, profiles=PROFILES) -> DataFrame:
     """Spread of the three phase RMS values; 0 for single-phase machines."""
-    spread = phase_spread(F.col("rms_i1"), F.col("rms_i2"), F.col("rms_i3"))
+    spread = phase_spread("rms_i1", "rms_i2", "rms_i3")
     return (with_profile(windows, "has_phase_imbalance", profiles=profiles)
             .withColumn("phase_imbalance", F.when(F.col("has_phase_imbalance"), spread).otherwise(0.0))
             .drop("has_phase_imbalance"))
@@ -39,15 +40,14 @@ def feature_row(windows: DataFrame) -> DataFrame:
 
     Energies are squared magnitudes of the i_avg spectrum.
     """
-    s = F.col("spectral")
-    squares = {
-        "fundamental_energy": s.fundamental_mag * s.fundamental_mag,
-        "harmonic2_energy": s.harmonic2_mag * s.harmonic2_mag,
-        "harmonic3_energy": s.harmonic3_mag * s.harmonic3_mag,
-    }
-    out = windows.withColumns({
-        "fundamental_freq": s.fundamental_freq, **squares,
-        "total_energy": s.total_energy, "high_freq_energy": s.high_freq_energy, "thd": s.thd,
-        "high_freq_ratio": F.when(s.total_energy > 1e-9, s.high_freq_energy / s.total_energy).otherwise(0.0),
-    })
-    return out.drop("spectral")
+    return with_exprs(
+        windows,
+        fundamental_freq="spectral.fundamental_freq",
+        fundamental_energy="spectral.fundamental_mag * spectral.fundamental_mag",
+        harmonic2_energy="spectral.harmonic2_mag * spectral.harmonic2_mag",
+        harmonic3_energy="spectral.harmonic3_mag * spectral.harmonic3_mag",
+        total_energy="spectral.total_energy", high_freq_energy="spectral.high_freq_energy",
+        thd="spectral.thd",
+        high_freq_ratio="""case when spectral.total_energy > 1e-9D
+                           then spectral.high_freq_energy / spectral.total_energy else 0D end""",
+    ).drop("spectral")

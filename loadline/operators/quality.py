@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadline.functions.display import joined, phase_spread
+from loadline.functions.columns import with_exprs
+from loadline.functions.display import phase_spread
 from loadline.profiles import PROFILES, with_profile
 
 THRESHOLDS = ["freq_target_hz", "freq_tolerance_hz", "freq_valid_fraction",
@@ -39,30 +40,21 @@ def quality_aggregates() -> list[Column]:
 def validation_columns(windows: DataFrame, profiles=PROFILES, overrides: DataFrame | None = None) -> DataFrame:
     """Turn the quality aggregates into checks, percentages and a reason text."""
     w = with_profile(windows, *THRESHOLDS[2:5], profiles=profiles, overrides=overrides)
-    w = w.withColumns({
-        "avg_freq": F.coalesce("_avg_freq", F.lit(50.0)),
-        "freq_valid_pct": F.col("_in_band") * 100.0,
-        "validation_imbalance": phase_spread(F.col("_mean_i1"), F.col("_mean_i2"), F.col("_mean_i3")),
-        "avg_i_avg": F.col("_mean_i_avg"),
-    })
-    w = w.withColumns({
-        "freq_ok": F.coalesce(F.col("freq_valid_pct") / 100.0 >= F.col("freq_valid_fraction"), F.lit(False)),
-        "range_ok": F.col("_sane") & F.col("_loaded"),
-        "phase_ok": F.col("validation_imbalance") <= F.col("max_phase_imbalance"),
-        "energy_ok": F.col("avg_i_avg") >= F.col("min_current_floor"),
-    })
-    reasons = [
-        F.when(~F.col("freq_ok"), F.format_string("Grid freq %.2f Hz out of band", "avg_freq")),
-        F.when(~F.col("range_ok"), F.lit("Current values out of valid range or all-zero")),
-        F.when(~F.col("phase_ok"), F.format_string(
-            "Phase imbalance CV=%.2f > %.2f", "validation_imbalance", "max_phase_imbalance")),
-        F.when(~F.col("energy_ok"), F.format_string(
-            "Mean i_avg %.3f A < floor %.3f A", "avg_i_avg", "min_current_floor")),
-    ]
-    w = w.withColumns({
-        "is_valid": F.expr("freq_ok and range_ok and phase_ok and energy_ok"),
-        "failure_reason": joined(reasons, "; ", "OK"),
-    })
+    w = w.withColumn("validation_imbalance", phase_spread("_mean_i1", "_mean_i2", "_mean_i3"))
+    w = with_exprs(
+        w, avg_freq="coalesce(_avg_freq, 50D)", freq_valid_pct="_in_band * 100D", avg_i_avg="_mean_i_avg",
+        freq_ok="coalesce(_in_band * 100D / 100D >= freq_valid_fraction, false)",
+        range_ok="_sane and _loaded", phase_ok="validation_imbalance <= max_phase_imbalance",
+        energy_ok="_mean_i_avg >= min_current_floor")
+    # Wording of the reasons.
+    w = with_exprs(w, is_valid="freq_ok and range_ok and phase_ok and energy_ok", failure_reason="""
+        coalesce(nullif(concat_ws('; ',
+          case when not freq_ok then format_string('Grid freq %.2f Hz out of band', avg_freq) end,
+          case when not range_ok then 'Current values out of valid range or all-zero' end,
+          case when not phase_ok then format_string(
+            'Phase imbalance CV=%.2f > %.2f', validation_imbalance, max_phase_imbalance) end,
+          case when not energy_ok then format_string(
+            'Mean i_avg %.3f A < floor %.3f A', avg_i_avg, min_current_floor) end), ''), 'OK')""")
     return w.drop("_in_band", "_avg_freq", "_sane", "_loaded", "_mean_i1", "_mean_i2", "_mean_i3",
                   "_mean_i_avg", "freq_valid_fraction", "min_current_floor", "max_phase_imbalance")
 

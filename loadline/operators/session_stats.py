@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadline.plans.blocks import previous
-from loadline.plans.staging import stage
+from loadline.plans.staging import small_table
 
 
-def machine_stats(readings: DataFrame) -> DataFrame:
+def machine_stats(readings: DataFrame, longest: int | None = None) -> DataFrame:
     """n, t_first, t_last (in row order), sample_rate, min / max i_avg per machine.
 
     The rate is 1 / exact median time step (1.0 for fewer than two rows or a step <= 0).
     Steps are counted per distinct value first, so the median is taken over a small
-    value-count table.  The result is written: later joins see its real size.
+    value-count table.
     """
-    steps = previous(readings, ["machine"], "row_idx", _prev="timestamp").withColumn(
+    steps = previous(readings, ["machine"], "row_idx", longest, _prev="timestamp").withColumn(
         "_step", F.unix_micros("timestamp") - F.unix_micros("_prev"))
     by_step = steps.groupBy("machine", "_step").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -24,7 +24,7 @@ def machine_stats(readings: DataFrame) -> DataFrame:
         F.max_by("timestamp", "row_idx").alias("_last"), F.max("row_idx").alias("_hi"),
         F.min("i_avg").alias("_min"), F.max("i_avg").alias("_max"))
     step = F.expr("percentile(_step, 0.5, _n)") / 1e6
-    return stage(
+    return small_table(
         by_step.groupBy("machine").agg(
             F.sum("_n").alias("n"),
             F.min_by("_first", "_lo").alias("t_first"), F.max_by("_last", "_hi").alias("t_last"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadline.functions.columns import with_exprs
 from loadline.profiles import PROFILES, with_profile
 
 MIN_SAMPLES = 4
@@ -46,36 +47,38 @@ def signal(channel: str) -> Column:
     return F.transform(ordered, lambda s: s[channel])
 
 
-def spectral_struct(magnitudes: Column, n: Column, rate: Column) -> Column:
-    """Fundamental, harmonics, energies and distortion of a one-sided spectrum.
+def with_spectral_features(spectra: DataFrame, out: str = "spectral") -> DataFrame:
+    """Struct of fundamental, harmonics, energies and distortion from ``magnitudes``.
 
     The fundamental is the first largest bin above 0.  A silent signal (no energy but
     rounding noise) has the first bin, as an all-zero spectrum does.  A harmonic is the
     nearest bin to a multiple of the fundamental, if within the tolerance.
     """
-    has = n >= MIN_SAMPLES
-    last = F.size(magnitudes) - 1
-    energy = F.aggregate(magnitudes, F.lit(0.0), lambda a, m: a + m * m)
-    cutoff = rate / 4.0
-    high = F.aggregate(
-        F.transform(magnitudes, lambda m, i: F.when(i * rate / n > cutoff, m * m).otherwise(0.0)),
-        F.lit(0.0), lambda a, m: a + m)
-    above = F.slice(magnitudes, 2, F.greatest(last, F.lit(1)))
-    peak = F.when(energy < SILENT, 1).otherwise(F.array_position(above, F.array_max(above)).cast("int"))
-
-    def harmonic(order: int) -> Column:
-        nearest = F.least(peak * order, last)
-        distance = F.abs(nearest * rate / n - order * (peak * rate / n))
-        found = (peak * order <= last) | (distance <= HARMONIC_TOLERANCE_HZ)
-        return F.when(has & found, F.try_element_at(magnitudes, nearest + 1)).otherwise(0.0)
-
-    first = F.when(has, F.try_element_at(magnitudes, peak + 1)).otherwise(0.0)
-    h2, h3 = harmonic(2), harmonic(3)
-    return F.struct(
-        F.when(has, peak * rate / n).otherwise(0.0).alias("fundamental_freq"),
-        first.alias("fundamental_mag"), h2.alias("harmonic2_mag"), h3.alias("harmonic3_mag"),
-        energy.alias("total_energy"), high.alias("high_freq_energy"),
-        F.when(first > 1e-9, F.sqrt(h2 * h2 + h3 * h3) / first).otherwise(0.0).alias("thd"))
+    def harmonic(order: int) -> str:
+        bin_hz, wanted = f"least({order} * _peak, _last) * sample_rate / n_samples", f"{order} * _f0"
+        return f"""case when {order} * _peak <= _last or abs({bin_hz} - {wanted}) <= {HARMONIC_TOLERANCE_HZ}D
+                   then coalesce(try_element_at(magnitudes, least({order} * _peak, _last) + 1), 0D)
+                   else 0D end"""
+
+    s = with_exprs(
+        spectra, _last="size(magnitudes) - 1",
+        _energy="aggregate(magnitudes, 0D, (a, m) -> a + m * m)",
+        _high="""aggregate(slice(magnitudes, 1 + cast(floor(n_samples / 4) + 1 as int), size(magnitudes)),
+                 0D, (a, m) -> a + m * m)""")
+    s = with_exprs(s, _peak=f"""cast(case when n_samples < {MIN_SAMPLES} then 0 when _energy < {SILENT}D then 1
+        else array_position(slice(magnitudes, 2, greatest(_last, 1)),
+                            array_max(slice(magnitudes, 2, greatest(_last, 1)))) end as int)""")
+    s = with_exprs(
+        s, _f0="_peak * sample_rate / n_samples",
+        _m1=f"case when n_samples >= {MIN_SAMPLES} then element_at(magnitudes, _peak + 1) else 0D end")
+    s = with_exprs(
+        s, _m2=f"case when n_samples >= {MIN_SAMPLES} then {harmonic(2)} else 0D end",
+        _m3=f"case when n_samples >= {MIN_SAMPLES} then {harmonic(3)} else 0D end")
+    s = with_exprs(s, **{out: """named_struct(
+        'fundamental_freq', _f0, 'fundamental_mag', _m1, 'harmonic2_mag', _m2, 'harmonic3_mag', _m3,
+        'total_energy', _energy, 'high_freq_energy', _high,
+        'thd', case when _m1 > 1e-9D then sqrt(_m2 * _m2 + _m3 * _m3) / _m1 else 0D end)"""})
+    return s.drop("_last", "_energy", "_high", "_peak", "_f0", "_m1", "_m2", "_m3")
 
 
 def channel_signals(windows: DataFrame, channels=("i1", "i2", "i3", "i_avg"), profiles=PROFILES) -> DataFrame:
@@ -89,9 +92,9 @@ def channel_signals(windows: DataFrame, channels=("i1", "i2", "i3", "i_avg"), pr
 
 
 def with_spectrum(signals: DataFrame) -> DataFrame:
-    """Adds ``magnitudes`` to rows with ``signal``.  Short windows never reach Python."""
-    return signals.withColumn(
-        "magnitudes", amplitude_spectrum("signal")).drop("signal")
+    """Adds ``magnitudes`` to rows with ``signal``; signals too short for one are sent empty."""
+    sent = F.expr(f"case when n_samples >= {MIN_SAMPLES} then signal else array() end")
+    return signals.withColumn("magnitudes", amplitude_spectrum(sent)).drop("signal")
 
 
 def spectrum_bins(spectra: DataFrame) -> DataFrame:
@@ -104,6 +107,5 @@ def spectrum_bins(spectra: DataFrame) -> DataFrame:
 
 
 def spectral_features(spectra: DataFrame) -> DataFrame:
-    s = spectral_struct(F.col("magnitudes"), F.col("n_samples"), F.col("sample_rate"))
-    return spectra.withColumn("_s", s).select(
-        "machine", "window_index", "channel", "n_samples", "_s.*")
+    return with_spectral_features(spectra).select(
+        "machine", "window_index", "channel", "n_samples", "spectral.*")

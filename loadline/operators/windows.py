@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadline.plans.blocks import dense_number
-from loadline.plans.staging import stage
+from loadline.plans.blocks import dense_number, longest_log
+from loadline.plans.staging import small_table
 from loadline.profiles import PROFILES, with_profile
 
 MAX_WINDOWS = 1000
@@ -28,7 +28,7 @@ def window_settings(stats: DataFrame, profiles=PROFILES, size_seconds: float | N
     span = (F.unix_micros("t_last") - F.unix_micros("t_first")) / 1e6
     last_k = F.least(
         F.floor(span / step), F.greatest(F.lit(0), F.ceil((span - share * size) / step)))
-    return stage(s.select(
+    return small_table(s.select(
         "machine", F.unix_micros("t_first").alias("t0_us"),
         F.round(size * 1e6).cast("bigint").alias("size_us"),
         F.round(step * 1e6).cast("bigint").alias("step_us"),
@@ -63,14 +63,19 @@ def group_windows(rows: DataFrame, *aggregates: Column) -> DataFrame:
     }).drop("t0_us", "size_us", "step_us", "min_rows")
 
 
-def number_windows(windows: DataFrame) -> DataFrame:
+def most_windows(settings: DataFrame) -> int:
+    """Bound on the windows of one machine."""
+    return longest_log(settings, "last_k") + 1
+
+
+def number_windows(windows: DataFrame, longest: int | None = None) -> DataFrame:
     """Renumber the kept windows 0, 1, ... per machine; dropped ones leave no gap."""
-    return (dense_number(windows, ["machine"], "k", "window_index").drop("k")
+    return (dense_number(windows, ["machine"], "k", "window_index", longest).drop("k")
             .withColumn("window_index", F.col("window_index").cast("int")))
 
 
 def generate_windows(readings: DataFrame, settings: DataFrame) -> DataFrame:
-    return number_windows(group_windows(window_rows(readings, settings))).select(
+    return number_windows(group_windows(window_rows(readings, settings)), most_windows(settings)).select(
         "machine", "window_index", "start_time", "end_time", "centre_time",
         "n_samples", "start_row", "end_row")
 

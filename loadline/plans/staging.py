@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_ROWS = 10_000
+
 _local_roots: dict[str, str] = {}
 
 
@@ -38,3 +40,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(df: DataFrame, name: str = "small") -> DataFrame:
+    """A per-machine table, computed once and checked for size.
+
+    Up to ``SMALL_ROWS`` rows it becomes a local relation, whose exact size lets Catalyst
+    broadcast it; beyond that it is written like any other stage and joined by its size.
+    """
+    rows = df.limit(SMALL_ROWS + 1).toArrow()
+    if rows.num_rows <= SMALL_ROWS:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return stage(df, name)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +127,9 @@ SCHEMA = T.StructType([
     T.StructField(name, _SPARK_TYPES.get(f.type, T.DoubleType()))
     for name, f in Profile.__dataclass_fields__.items()
 ])
+_ARROW = pa.schema([
+    (f.name, {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(),
+              "double": pa.float64()}[f.dataType.simpleString()]) for f in SCHEMA])
 
 
 def profile_of(machine: Column | str = "machine") -> Column:
@@ -133,7 +137,9 @@ def profile_of(machine: Column | str = "machine") -> Column:
 
 
 def profile_table(spark: SparkSession, profiles=PROFILES) -> DataFrame:
-    return spark.createDataFrame([asdict(p) for p in profiles], SCHEMA)
+    """Profiles as a local relation (Arrow input), so its exact size is known."""
+    rows = [asdict(p) for p in profiles]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, _ARROW), SCHEMA)
 
 
 def override(profiles=PROFILES, **per_profile: dict) -> tuple[Profile, ...]:
