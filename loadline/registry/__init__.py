@@ -1,0 +1 @@
+"""Named queries over the test tables and SQL that checks them."""
