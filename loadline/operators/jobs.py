@@ -88,13 +88,12 @@ def _assigned(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def _step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """New centroids and how far they moved; a cluster without members stays in place."""
-    sums = (_assigned(points, centroids)
-            .select(*GROUP, "cluster", F.posexplode("x"))
-            .groupBy(*GROUP, "cluster", "pos").agg(F.avg("col").alias("m")))
-    means = sums.groupBy(*GROUP, "cluster").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_c"))
+    width = range(max(len(p.job_features.split(",")) for p in PROFILES))
+    means = _assigned(points, centroids).groupBy(*GROUP, "cluster").agg(
+        F.first(F.size("x")).alias("_w"), *[F.avg(F.get("x", F.lit(i))).alias(f"_x{i}") for i in width])
+    means = means.select(*GROUP, "cluster", F.slice(F.array(*[f"_x{i}" for i in width]), 1, F.col("_w")).alias("_c"))
     moved = means.groupBy(*GROUP).agg(F.map_from_entries(F.collect_list(
-        F.struct("cluster", F.expr("transform(_c, e -> e.m)")))).alias("_new"))
+        F.struct("cluster", "_c"))).alias("_new"))
     joined = with_exprs(
         centroids.join(moved, GROUP),
         _next="transform(centroids, (c, i) -> coalesce(_new[i], c))")

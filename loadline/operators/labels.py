@@ -106,9 +106,9 @@ def smooth_leftmost(runs: DataFrame, stats: DataFrame, longest: int | None = Non
                     (F.col("end") - F.col("start") + 1).alias("len")))
 
 
-def smooth(runs: DataFrame, stats: DataFrame, longest: int | None = None) -> DataFrame:
+def smooth(runs: DataFrame, stats: DataFrame, longest: int | None = None, profiles=PROFILES) -> DataFrame:
     """Each machine's runs by the merge rule of its profile."""
-    rules = [r.merge_rule for r in runs.select("merge_rule").distinct().collect()]
+    rules = {r.merge_rule for r in with_profile(stats, "merge_rule", profiles=profiles).select("merge_rule").distinct().collect()}
     done = []
     if "simultaneous" in rules:
         done.append(smooth_simultaneous(runs.filter("merge_rule = 'simultaneous'"), longest))

@@ -68,14 +68,19 @@ def lookback(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int
     parts = []
     for (default, channels), names in _by_shape(profiles).items():
         length = look_back or default
-        sample = F.array(*channels.split(","))
-        mine = rows.filter(profile_of().isin(names)).withColumn("_s", sample)
+        names_of = channels.split(",")
+        blank = F.array(*[F.lit(0.0) for _ in names_of])
+        mine = rows.filter(profile_of().isin(names)).withColumn("_s", F.array(*names_of))
 
-        def frames(w, length=length):
-            return [{"x": F.collect_list("_s").over(w.rowsBetween(-(length - 1), 0))}]
+        # A frame that is not full is padded as well as filtered out, so that a model
+        # never meets a vector of another size, in whatever order Catalyst puts filters.
+        def frames(w, length=length, blank=blank):
+            frame = w.rowsBetween(-(length - 1), 0)
+            return [{"_have": F.count("_s").over(frame), "x": F.collect_list("_s").over(frame)},
+                    {"x": F.concat(F.array_repeat(blank, F.lit(length) - F.size("x")), F.col("x"))}]
 
         found = over_neighbours(mine, keys, "row_idx", frames, before=length - 1, longest=longest)
-        parts.append(found.filter(F.size("x") == length).drop("_s"))
+        parts.append(found.filter(F.col("_have") == length).drop("_s", "_have"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -55,21 +55,21 @@ def with_spectral_features(spectra: DataFrame, out: str = "spectral") -> DataFra
     nearest bin to a multiple of the fundamental, if within the tolerance.
     """
     def harmonic(order: int) -> str:
-        bin_hz, wanted = f"least({order} * _peak, _last) * sample_rate / n_samples", f"{order} * _f0"
-        return f"""case when {order} * _peak <= _last or abs({bin_hz} - {wanted}) <= {HARMONIC_TOLERANCE_HZ}D
-                   then coalesce(try_element_at(magnitudes, least({order} * _peak, _last) + 1), 0D)
-                   else 0D end"""
+        nearest = f"least({order} * _peak, _last)"
+        return f"""case when {order} * _peak <= _last or abs({nearest} * _df - _f0 * {order}) <= {HARMONIC_TOLERANCE_HZ}D
+                   then coalesce(try_element_at(magnitudes, {nearest} + 1), 0D) else 0D end"""
 
     s = with_exprs(
-        spectra, _last="size(magnitudes) - 1",
-        _energy="aggregate(magnitudes, 0D, (a, m) -> a + m * m)",
-        _high="""aggregate(slice(magnitudes, 1 + cast(floor(n_samples / 4) + 1 as int), size(magnitudes)),
-                 0D, (a, m) -> a + m * m)""")
+        spectra, _last="size(magnitudes) - 1", _df="1D / (n_samples * (1D / sample_rate))",
+        _energy="aggregate(magnitudes, 0D, (a, m) -> a + m * m)", _quarter="cast(n_samples div 4 as int)")
+    s = with_exprs(s, _high="""aggregate(
+        slice(magnitudes, case when _quarter * _df > sample_rate / 4D then _quarter else _quarter + 1 end + 1,
+              size(magnitudes)), 0D, (a, m) -> a + m * m)""")
     s = with_exprs(s, _peak=f"""cast(case when n_samples < {MIN_SAMPLES} then 0 when _energy < {SILENT}D then 1
         else array_position(slice(magnitudes, 2, greatest(_last, 1)),
                             array_max(slice(magnitudes, 2, greatest(_last, 1)))) end as int)""")
     s = with_exprs(
-        s, _f0="_peak * sample_rate / n_samples",
+        s, _f0="_peak * _df",
         _m1=f"case when n_samples >= {MIN_SAMPLES} then element_at(magnitudes, _peak + 1) else 0D end")
     s = with_exprs(
         s, _m2=f"case when n_samples >= {MIN_SAMPLES} then {harmonic(2)} else 0D end",
@@ -78,7 +78,7 @@ def with_spectral_features(spectra: DataFrame, out: str = "spectral") -> DataFra
         'fundamental_freq', _f0, 'fundamental_mag', _m1, 'harmonic2_mag', _m2, 'harmonic3_mag', _m3,
         'total_energy', _energy, 'high_freq_energy', _high,
         'thd', case when _m1 > 1e-9D then sqrt(_m2 * _m2 + _m3 * _m3) / _m1 else 0D end)"""})
-    return s.drop("_last", "_energy", "_high", "_peak", "_f0", "_m1", "_m2", "_m3")
+    return s.drop("_last", "_df", "_quarter", "_energy", "_high", "_peak", "_f0", "_m1", "_m2", "_m3")
 
 
 def channel_signals(windows: DataFrame, channels=("i1", "i2", "i3", "i_avg"), profiles=PROFILES) -> DataFrame:

@@ -39,7 +39,7 @@ class Labelling:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return smooth(self.raw_runs, self.stats, self.longest)
+        return smooth(self.raw_runs, self.stats, self.longest, self.profiles)
 
     @cached_property
     def intervals(self) -> DataFrame:

@@ -138,8 +138,8 @@ CTES: dict[str, str] = {
         * 2e0 / n_samples as magnitude
       from (select *, unnest(range(0, n_samples // 2 + 1)) as k from tapered)
       group by machine, window_index, channel, n_samples, rate, k""",
-    "energy": """select machine, window_index, channel, n_samples, rate, sum(magnitude * magnitude) as total_energy,
-      sum(case when bin * rate / n_samples > rate / 4e0 then magnitude * magnitude else 0e0 end) as high_freq_energy,
+    "energy": """select machine, window_index, channel, n_samples, rate, 1e0 / (n_samples * (1e0 / rate)) as df, sum(magnitude * magnitude) as total_energy,
+      sum(case when bin * (1e0 / (n_samples * (1e0 / rate))) > rate / 4e0 then magnitude * magnitude else 0e0 end) as high_freq_energy,
       max(bin) as last_bin from bins group by machine, window_index, channel, n_samples, rate""",
     "peaks": """select e.*, case when total_energy < 1e-18 then 1 else (select min(b.bin) from bins b
         where b.machine = e.machine and b.window_index = e.window_index and b.channel = e.channel and b.bin > 0
@@ -147,22 +147,22 @@ CTES: dict[str, str] = {
       from energy e join (select machine, window_index, channel, max(magnitude) as top from bins where bin > 0
                           group by machine, window_index, channel) t using (machine, window_index, channel)""",
     "near2": """select p.machine, p.window_index, p.channel, arg_min(b.magnitude, abs(b.bin - 2 * p.peak)) as m,
-      min(abs(b.bin * p.rate / p.n_samples - 2 * p.peak * p.rate / p.n_samples)) as d
+      min(abs(b.bin * p.df - p.peak * p.df * 2)) as d
       from peaks p join bins b using (machine, window_index, channel) group by p.machine, p.window_index, p.channel""",
     "near3": """select p.machine, p.window_index, p.channel, arg_min(b.magnitude, abs(b.bin - 3 * p.peak)) as m,
-      min(abs(b.bin * p.rate / p.n_samples - 3 * p.peak * p.rate / p.n_samples)) as d
+      min(abs(b.bin * p.df - p.peak * p.df * 3)) as d
       from peaks p join bins b using (machine, window_index, channel) group by p.machine, p.window_index, p.channel""",
-    "spec0": """select p.*, b.magnitude as m1, case when n2.d <= 5e-2 then n2.m else 0e0 end as m2,
-      case when n3.d <= 5e-2 then n3.m else 0e0 end as m3
+    "spec0": """select p.*, b.magnitude as h1, case when n2.d <= 5e-2 then n2.m else 0e0 end as h2,
+      case when n3.d <= 5e-2 then n3.m else 0e0 end as h3
       from peaks p join bins b on b.machine = p.machine and b.window_index = p.window_index
         and b.channel = p.channel and b.bin = p.peak
       join near2 n2 on n2.machine = p.machine and n2.window_index = p.window_index and n2.channel = p.channel
       join near3 n3 on n3.machine = p.machine and n3.window_index = p.window_index and n3.channel = p.channel""",
     "spectral": """select w.machine, w.window_index, c.channel, w.n_samples,
-      coalesce(s.peak * s.rate / s.n_samples, 0e0) as fundamental_freq, coalesce(m1, 0e0) as fundamental_mag,
-      coalesce(m2, 0e0) as harmonic2_mag, coalesce(m3, 0e0) as harmonic3_mag,
+      coalesce(s.peak * s.df, 0e0) as fundamental_freq, coalesce(h1, 0e0) as fundamental_mag,
+      coalesce(h2, 0e0) as harmonic2_mag, coalesce(h3, 0e0) as harmonic3_mag,
       coalesce(total_energy, 0e0) as total_energy, coalesce(high_freq_energy, 0e0) as high_freq_energy,
-      case when m1 > 1e-9 then sqrt(m2 * m2 + m3 * m3) / m1 else 0e0 end as thd
+      case when h1 > 1e-9 then sqrt(h2 * h2 + h3 * h3) / h1 else 0e0 end as thd
       from windows w join profiles p on p.profile = w.machine
       join (select unnest(['i1', 'i2', 'i3', 'i_avg']) as channel) c
         on contains(',' || p.channels || ',', ',' || c.channel || ',')
@@ -322,13 +322,17 @@ CTES |= {
 def sql(final: str, extra: dict[str, str] | None = None) -> str:
     """``final`` with the CTEs it needs, directly or through others."""
     ctes = CTES | (extra or {})
-    needed: set[str] = set()
-    open_texts = [final]
-    while open_texts:
-        words = set(re.findall(r"\w+", open_texts.pop()))
-        for name in words & ctes.keys() - needed:
-            needed.add(name)
-            open_texts.append(ctes[name])
-    body = ",\n".join(f"{name} as {'' if name == 'walk' else 'materialized '}({text})"
-                      for name, text in ctes.items() if name in needed)
-    return f"with recursive {body}\n{final}" if needed else final
+    ordered: list[str] = []
+
+    def visit(text: str) -> None:
+        words = set(re.findall(r"\w+", text))
+        for name in ctes:
+            if name in words and name not in ordered and name not in visiting:
+                visiting.add(name)
+                visit(ctes[name])
+                ordered.append(name)
+
+    visiting: set[str] = set()
+    visit(final)
+    body = ",\n".join(f"{name} as {'' if name == 'walk' else 'materialized '}({ctes[name]})" for name in ordered)
+    return f"with recursive {body}\n{final}" if ordered else final

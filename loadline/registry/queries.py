@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadline.functions import display
+from loadline.functions.columns import with_exprs
 from loadline.operators import (
     classify, cycles, features, ingest, labels, lookback, metrics, models, quality, session_stats, slices,
     spectral, states, windows)
 from loadline.plans import state_analysis as analysis
-from loadline.plans.blocks import longest_log
+from loadline.plans.blocks import longest_log, over_neighbours
 from loadline.plans.labelling import Labelling
-from loadline.plans.staging import new_path, small_table, stage
-from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, override, profile_table, with_profile
-from loadline.registry.oracle import CTES, hysteresis_ctes, r, rs, rules, runs_sql, sql
+from loadline.plans.staging import new_path, stage
+from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, with_profile
+from loadline.registry.oracle import r, rs, rules, runs_sql, sql
 from loadline.sources import events, logs
 from loadline.streaming import states as streaming
 
@@ -69,7 +70,8 @@ def readings_clean(spark, sf):
 def csv_scan(spark, sf):
     """Text logs written by machine, scanned back as text."""
     path = new_path(spark, "csv")
-    logs.write_csv_logs(events.raw_readings(spark, sf).drop("event_id"), path)
+    logs.write_csv_logs(events.raw_readings(spark, sf).drop("event_id")
+                        .withColumnRenamed("timestamp_str", "Timestamp"), path)
     parts = [logs.scan_csv(spark, logs.list_files(spark, f"{path}/machine={p.profile}"), same_header=True)
              .withColumn("machine", F.lit(p.profile)) for p in PROFILES]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -103,7 +105,8 @@ def load_milling_logs(spark, sf):
     paths = []
     for _ in range(2):
         path = new_path(spark, "csv-milling")
-        logs.write_csv_logs(_iso(spark, sf, MILLING).drop("event_id", "i_avg_src"), path)
+        logs.write_csv_logs(_iso(spark, sf, MILLING).drop("event_id", "i_avg_src")
+                            .withColumnRenamed("timestamp_str", "DateTime"), path)
         paths.append(f"{path}/machine=milling")
     return rounded(logs.load_log(spark, "milling", paths))
 
@@ -332,8 +335,8 @@ def last_full_window(spark, sf):
     return windows.last_full_window(windows.generate_windows(rows, analysis.settings_of(rows)))
 
 
-@query("axis_ticks", sql("""select machine, cast(unnest(list_distinct(list_transform(range(0, least(8, n)), i ->
-    round_even(i * (n - 1) / (least(8, n) - 1.0), 0)))) as int) as window_index
+@query("axis_ticks", sql("""select machine, unnest(list_distinct([cast(round_even(i * (n - 1) / (least(8, n) - 1e0), 0) as int)
+    for i in range(0, least(8, n))])) as window_index
   from (select machine, max(window_index) + 1 as n from windows group by machine)"""))
 def axis_ticks(spark, sf):
     rows = events.readings(spark, sf)
@@ -644,8 +647,6 @@ def _predictions(spark, sf) -> DataFrame:
         return [{"_ls": F.lag("state_label", 5).over(w), "_lp": F.lag("cycle_pos", 5).over(w),
                  "_lj": F.lag(F.col("cycle_id") % 2, 5).over(w)}]
 
-    from loadline.functions.columns import with_exprs
-    from loadline.plans.blocks import over_neighbours
     out = over_neighbours(labelled, ["machine"], "row_idx", lagged, before=5, longest=lab.longest)
     return with_exprs(
         with_profile(out, "look_back"),
@@ -785,8 +786,7 @@ def streaming_state(spark, sf):
 def streaming_windows(spark, sf):
     """Windows closed by the watermark (10 s behind the latest reading)."""
     stream = streaming.as_stream(spark, events.readings(spark, sf), "window-input")
-    out = [streaming.run_to_table(streaming.stream_windows(stream, p), f"windows-{p.profile}") for p in PROFILES]
-    both = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    both = streaming.run_to_table(streaming.stream_all_windows(stream), "windows-stream")
     return rounded(both.filter("start_time >= timestamp '2024-01-01'"))
 
 
