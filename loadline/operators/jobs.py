@@ -81,26 +81,33 @@ def _starts(points: DataFrame) -> DataFrame:
 
 
 def _assigned(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    near = with_exprs(points.join(centroids, "machine"), _d=_DISTANCES)
-    near = with_exprs(near, _dist="array_min(_d)")
-    return with_exprs(near, cluster="int(array_position(_d, _dist)) - 1").drop("_d")
+    return points.sparkSession.sql(f"""
+        select machine, start_no, cycle_id, cycle_rule, x, array_min(_d) as _dist,
+               int(array_position(_d, array_min(_d))) - 1 as cluster
+        from (select *, {_DISTANCES} as _d from {{points}} join {{centroids}} using (machine))""",
+        points=points, centroids=centroids)
 
 
-def _step(points: DataFrame, centroids: DataFrame) -> DataFrame:
+def _step(points: DataFrame, centroids: DataFrame, width: int) -> DataFrame:
     """New centroids and how far they moved; a cluster without members stays in place."""
-    width = range(max(len(p.job_features.split(",")) for p in PROFILES))
-    means = _assigned(points, centroids).groupBy(*GROUP, "cluster").agg(
-        F.first(F.size("x")).alias("_w"), *[F.avg(F.get("x", F.lit(i))).alias(f"_x{i}") for i in width])
-    means = means.select(*GROUP, "cluster", F.slice(F.array(*[f"_x{i}" for i in width]), 1, F.col("_w")).alias("_c"))
-    moved = means.groupBy(*GROUP).agg(F.map_from_entries(F.collect_list(
-        F.struct("cluster", "_c"))).alias("_new"))
-    joined = with_exprs(
-        centroids.join(moved, GROUP),
-        _next="transform(centroids, (c, i) -> coalesce(_new[i], c))")
-    return small_table(with_exprs(
-        joined, moved="""aggregate(zip_with(_next, centroids, (a, b) -> aggregate(
-            zip_with(a, b, (p, q) -> (p - q) * (p - q)), 0D, (t, d) -> t + d)), 0D, (t, d) -> t + d)""")
-        .select(*GROUP, F.col("_next").alias("centroids"), "moved"), "centroids")
+    means = ", ".join(f"avg(get(x, {i}))" for i in range(width))
+    return points.sparkSession.sql(f"""
+        with assigned as (
+          select machine, start_no, x, int(array_position(_d, array_min(_d))) - 1 as cluster
+          from (select *, {_DISTANCES} as _d from {{points}} join {{centroids}} using (machine))),
+        means as (
+          select machine, start_no, cluster, slice(array({means}), 1, first(size(x))) as c
+          from assigned group by machine, start_no, cluster),
+        grouped as (
+          select machine, start_no, map_from_entries(collect_list(struct(cluster, c))) as new
+          from means group by machine, start_no),
+        next as (
+          select machine, start_no, centroids, transform(centroids, (c, i) -> coalesce(new[i], c)) as after
+          from {{centroids}} join grouped using (machine, start_no))
+        select machine, start_no, after as centroids,
+          aggregate(zip_with(after, centroids, (a, b) -> aggregate(zip_with(a, b, (p, q) -> (p - q) * (p - q)),
+                    0D, (t, d) -> t + d)), 0D, (t, d) -> t + d) as moved
+        from next""", points=points, centroids=centroids)
 
 
 def job_clusters(features: DataFrame, profiles=PROFILES) -> DataFrame:
@@ -112,8 +119,9 @@ def job_clusters(features: DataFrame, profiles=PROFILES) -> DataFrame:
     centroids = _starts(points)
     if centroids is None:
         return points.select("machine", "cycle_id", F.lit(-1).alias("job_type"))
+    width = max(len(p.job_features.split(",")) for p in profiles)
     for _ in range(MAX_STEPS):
-        stepped = _step(points, centroids)
+        stepped = small_table(_step(points, centroids, width), "centroids")
         centroids = stepped.drop("moved")
         if (stepped.agg(F.max("moved")).first()[0] or 0.0) <= TOLERANCE:
             break

@@ -18,6 +18,7 @@ from loadline.profiles import PROFILES, with_profile
 
 KEYS = ["machine"]
 MAX_PASSES = 10
+PASSES_PER_WRITE = 3
 
 
 def label_runs(readings: DataFrame, profiles=PROFILES, longest: int | None = None) -> DataFrame:
@@ -33,24 +34,31 @@ def smooth_simultaneous(runs: DataFrame, longest: int | None = None, passes: int
     Repeated on the re-encoded runs until none is short, at most ``passes`` times.  A lone
     run keeps its value.
     """
-    for _ in range(passes):
-        def replaced(w):
-            return [
-                {"_left": F.lag("len").over(w), "_right": F.lead("len").over(w),
-                 "_lv": F.lag("value").over(w), "_rv": F.lead("value").over(w)},
-                {"_changed": F.expr("len < label_min_run and coalesce(_left, _right) is not null")},
-                {"value": F.expr("""case when not _changed then value
-                    when coalesce(_left, 0) >= coalesce(_right, 0) then _lv else _rv end""")}]
-        marked = stage(
-            over_neighbours(runs, KEYS, "run_id", replaced, before=1, after=1, longest=longest)
-            .drop("_left", "_right", "_lv", "_rv"), "smooth-pass")
-        if marked.filter("_changed").isEmpty():
+    for first in range(0, passes, PASSES_PER_WRITE):
+        for _ in range(min(PASSES_PER_WRITE, passes - first)):
+            runs = _merge_pass(runs, longest)
+        runs = stage(runs, "smooth-pass")
+        open_logs = runs.groupBy(*KEYS).agg(
+            F.bool_or(F.col("len") < F.col("label_min_run")).alias("_short"), F.max("run_id").alias("_last"))
+        if open_logs.filter("_short and _last > 0").isEmpty():
             break
-        limits = marked.groupBy(*KEYS).agg(F.first("label_min_run").alias("label_min_run"))
-        runs = run_table(marked, KEYS, "run_id", "value", "start", "end", "smooth-runs", longest).join(limits, KEYS)
     return runs.select(*KEYS, "run_id", "value", "start", "end", "len")
 
 
+def _merge_pass(runs: DataFrame, longest: int | None) -> DataFrame:
+    """One pass; without a short run it changes nothing."""
+    def replaced(w):
+        return [
+            {"_left": F.lag("len").over(w), "_right": F.lead("len").over(w),
+             "_lv": F.lag("value").over(w), "_rv": F.lead("value").over(w)},
+            {"value": F.expr("""case
+                when len >= label_min_run or coalesce(_left, _right) is null then value
+                when coalesce(_left, 0) >= coalesce(_right, 0) then _lv else _rv end""")}]
+
+    moved = over_neighbours(runs, KEYS, "run_id", replaced, before=1, after=1, longest=longest)
+    return run_table(moved, KEYS, "run_id", "value", "start", "end", "smooth-runs", longest, ["label_min_run"])
+
+
 def smooth_leftmost(runs: DataFrame, stats: DataFrame, longest: int | None = None) -> DataFrame:
     """The leftmost short run takes its longer neighbour's value, repeated to the fixpoint.
 

@@ -13,14 +13,16 @@ MIN_CONSECUTIVE = 3
 
 def run_table(df: DataFrame, keys: list[str], order: str, value: str,
               low: str | None = None, high: str | None = None, name: str = "runs",
-              longest: int | None = None) -> DataFrame:
+              longest: int | None = None, carried: list[str] | None = None) -> DataFrame:
     """Run-length encoding: keys, run_id (0, 1, ...), value, start, end, len.
 
     Runs inside a block come from one shuffle by block; only the pieces at block edges
     are merged afterwards, on the (small) table of pieces.  ``low`` / ``high`` are the
-    first and last position a row stands for when ``df`` is itself a run table.
+    first and last position a row stands for when ``df`` is itself a run table; ``carried``
+    are columns constant per key.
     """
-    low, high = low or order, high or order
+    low, high, carried = low or order, high or order, carried or []
+    constant = [F.first(c).alias(c) for c in carried]
     flagged = over_neighbours(
         df, keys, order,
         lambda w: [{"_new": F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)}],
@@ -28,11 +30,12 @@ def run_table(df: DataFrame, keys: list[str], order: str, value: str,
     upto = (Window.partitionBy(*keys, BLOCK).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pieces = (flagged.withColumn("_seq", F.sum("_new").over(upto)).groupBy(*keys, BLOCK, "_seq")
-              .agg(F.min(low).alias("start"), F.max(high).alias("end"), F.first(value).alias("value")))
+              .agg(F.min(low).alias("start"), F.max(high).alias("end"), F.first(value).alias("value"),
+                   *constant))
     if one_block(df, longest):
         return pieces.select(
             *keys, (F.col("_seq") - 1).alias("run_id"), "value", "start", "end",
-            (F.col("end") - F.col("start") + 1).alias("len"))
+            (F.col("end") - F.col("start") + 1).alias("len"), *carried)
     pieces = stage(pieces, name)
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -43,7 +46,8 @@ def run_table(df: DataFrame, keys: list[str], order: str, value: str,
     return (pieces.join(carry, [*keys, BLOCK])
             .withColumn("run_id", F.col("_before") + F.col("_seq") - 1)
             .groupBy(*keys, "run_id")
-            .agg(F.first("value").alias("value"), F.min("start").alias("start"), F.max("end").alias("end"))
+            .agg(F.first("value").alias("value"), F.min("start").alias("start"), F.max("end").alias("end"),
+                 *constant)
             .withColumn("len", F.col("end") - F.col("start") + 1))
 
 

@@ -613,16 +613,16 @@ _LOOK = _TRAIN | {
     + ", ".join(f"({c} - mean_{c}) / case when std_{c} < 1e-8 then 1e0 else std_{c} end as z_{c}" for c in features.CHANNELS)
     + " from readings r join moments using (machine) join stats using (machine)",
     "looked": """select machine, split, row_idx, look_back, count(*) over w as have, first_value(z_i1) over w as oldest_i1,
-      z_i_avg as newest_i_avg, sum(z_i1 * power(-1, row_idx % 2)) over w as mix_i1, sum(z_i_avg) over w as sum_i_avg
+      z_i_avg as newest_i_avg, lag(z_i1, 60 - 1) over (partition by machine, split order by row_idx) as middle_i1
       from normed join profiles p on p.profile = machine where look_back = 120
       window w as (partition by machine, split order by row_idx rows between 119 preceding and current row)
       union all select machine, split, row_idx, look_back, count(*) over w, first_value(z_i1) over w, z_i_avg,
-      sum(z_i1 * power(-1, row_idx % 2)) over w, sum(z_i_avg) over w
+      lag(z_i1, 15 - 1) over (partition by machine, split order by row_idx)
       from normed join profiles p on p.profile = machine where look_back = 30
       window w as (partition by machine, split order by row_idx rows between 29 preceding and current row)"""}
 
 
-@query("lookback_windows", sql(f"""select machine, split, row_idx, look_back as length, {r('oldest_i1')}, {r('newest_i_avg')}, {r('mix_i1')}, {r('sum_i_avg')}
+@query("lookback_windows", sql(f"""select machine, split, row_idx, look_back as length, {r('oldest_i1')}, {r('newest_i_avg')}, {r('middle_i1')}
   from looked where have = look_back""", _LOOK))
 def lookback_windows(spark, sf):
     """Normalised look-back arrays inside splits, shown by a few numbers of each array."""
@@ -633,9 +633,7 @@ def lookback_windows(spark, sf):
     return rounded(out.select(
         "machine", "split", "row_idx", F.size("x").alias("length"), F.expr("x[0][0]").alias("oldest_i1"),
         F.expr("element_at(element_at(x, -1), -1)").alias("newest_i_avg"),
-        F.expr("""aggregate(transform(x, (v, i) -> v[0] * case when (row_idx - (size(x) - 1) + i) % 2 = 0 then 1D else -1D end),
-                  0D, (a, v) -> a + v)""").alias("mix_i1"),
-        F.expr("aggregate(x, 0D, (a, v) -> a + element_at(v, -1))").alias("sum_i_avg")))
+        F.expr("element_at(x[cast(size(x) div 2 as int)], 1)").alias("middle_i1")))
 
 
 def _predictions(spark, sf) -> DataFrame:
