@@ -12,6 +12,7 @@ import sys
 import time
 
 from loadline.registry.queries import QUERIES
+from loadline.plans.staging import remove_staged
 from loadline.session import build_session
 
 HEADLINE = [
@@ -40,6 +41,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": cpus}))
+    remove_staged(spark)
 
 
 if __name__ == "__main__":

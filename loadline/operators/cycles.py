@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadline.functions.columns import with_exprs
 from loadline.plans.blocks import assign_intervals
+from loadline.plans.staging import small_table
 
 KEYS = ["machine"]
 GREEN_FEATURES = ["log_duration", "mean_green", "max_green", "std_green", "green_fraction", "amber_fraction"]
@@ -21,7 +22,10 @@ def labelled_samples(readings: DataFrame, intervals: DataFrame, jobs: DataFrame
     """
     spans = intervals
     if jobs is not None:
-        spans = spans.join(jobs.select(*KEYS, "cycle_id", "job_type"), [*KEYS, "cycle_id"], "left")
+        known = jobs.select(*KEYS, F.col("cycle_id").alias("_key"), "job_type")
+        # Spans outside cycles get distinct keys, so they do not meet in one task as NULLs.
+        spans = (spans.withColumn("_key", F.coalesce("cycle_id", -1 - F.col("start")))
+                 .join(known, [*KEYS, "_key"], "left").drop("_key"))
     else:
         spans = spans.withColumn("job_type", F.lit(None).cast("int"))
     wanted = ["state_label", "cycle_id", "cycle_start", "cycle_end", "cycle_rule", "job_type"]
@@ -95,8 +99,8 @@ def job_summary(cycles: DataFrame, load: str = "mean_iavg") -> DataFrame:
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width bins between each key's minimum and maximum (empty bins are absent)."""
-    ends = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    ends = small_table(df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")), "histogram-ends")
     placed = df.join(ends, keys).withColumn("bin", F.expr(f"""
         case when {value} is null then null when _hi = _lo then 0
              else least({bins - 1}, cast(floor(({value} - _lo) / (_hi - _lo) * {bins}) as int)) end"""))

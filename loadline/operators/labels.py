@@ -132,12 +132,14 @@ def cycles_between_reds(runs: DataFrame, longest: int | None = None) -> tuple[Da
     """Non-RED stretches after a RED run that hold a GREEN run; the last may be open.
 
     Returns the runs with their ``cycle_key`` and the cycles (machine, cycle_key,
-    cycle_id, start, end).
+    cycle_id, start, end).  Runs outside cycles get distinct negative keys: as NULLs they
+    would all meet in one task of the later join.
     """
     red = F.when(F.col("value") == 0, 1).otherwise(0).cast("bigint")
     keyed = carry_scan(runs, KEYS, "run_id", sums={"_reds": red}, name="red-count", longest=longest)
-    keyed = keyed.withColumn("cycle_key", F.expr("case when value <> 0 and _reds >= 1 then _reds end")).drop("_reds")
-    cycles = (keyed.filter("cycle_key is not null").groupBy(*KEYS, "cycle_key")
+    keyed = keyed.withColumn("cycle_key", F.expr(
+        "case when value <> 0 and _reds >= 1 then _reds else -1 - run_id end")).drop("_reds")
+    cycles = (keyed.filter("cycle_key >= 0").groupBy(*KEYS, "cycle_key")
               .agg(F.min("start").alias("cycle_start"), F.max("end").alias("cycle_end"),
                    F.bool_or(F.col("value") == 2).alias("_green"))
               .filter("_green").drop("_green"))
@@ -147,8 +149,8 @@ def cycles_between_reds(runs: DataFrame, longest: int | None = None) -> tuple[Da
 def cycles_of_green_runs(runs: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Every GREEN run of at least the minimum length is a cycle."""
     keyed = runs.withColumn(
-        "cycle_key", F.expr("case when value = 2 and len >= label_min_run then run_id end"))
-    cycles = keyed.filter("cycle_key is not null").select(
+        "cycle_key", F.expr("case when value = 2 and len >= label_min_run then run_id else -1 - run_id end"))
+    cycles = keyed.filter("cycle_key >= 0").select(
         *KEYS, "cycle_key", F.col("start").alias("cycle_start"), F.col("end").alias("cycle_end"))
     return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id", longest)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadline.plans.staging import small_table
+
 SECONDS_PER_HOUR = 3600
 
 
@@ -83,5 +85,5 @@ def tick_rows(windows: DataFrame, picks: int = 8) -> DataFrame:
     k = F.least(F.lit(picks), n)
     chosen = F.when(n > 1, F.array_distinct(F.transform(
         F.sequence(F.lit(0), k - 1), lambda i: F.rint(i * (n - 1) / (k - 1)).cast("int"))))
-    ticks = total.select("machine", F.explode(chosen).alias("window_index"))
+    ticks = small_table(total.select("machine", F.explode(chosen).alias("window_index")))
     return windows.join(ticks, ["machine", "window_index"])

@@ -85,7 +85,7 @@ def thin_windows(windows: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
 
     A display option: the analysis itself never drops windows.
     """
-    total = windows.groupBy("machine").agg((F.max("window_index") + 1).alias("_n"))
+    total = small_table(windows.groupBy("machine").agg((F.max("window_index") + 1).alias("_n")))
     step = F.when(F.col("_n") > limit, F.expr(f"_n div {limit}")).otherwise(F.lit(1))
     return (windows.join(total, "machine")
             .filter(F.pmod(F.col("window_index"), step) == 0).drop("_n"))

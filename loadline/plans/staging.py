@@ -52,3 +52,10 @@ def small_table(df: DataFrame, name: str = "small") -> DataFrame:
     if rows.num_rows <= SMALL_ROWS:
         return df.sparkSession.createDataFrame(rows, df.schema)
     return stage(df, name)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables this application staged; frames built on them become invalid."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loadline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

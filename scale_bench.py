@@ -20,7 +20,7 @@ from loadline.operators.session_stats import machine_stats
 from loadline.plans import state_analysis as analysis
 from loadline.plans.blocks import block_number, block_rows, longest_log
 from loadline.plans.labelling import Labelling
-from loadline.plans.staging import stage
+from loadline.plans.staging import remove_staged, stage
 from loadline.session import build_session
 from loadline.sources import events
 
@@ -73,6 +73,7 @@ def main() -> None:
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"rows": total, "longest_log": longest, "machines": stats.count(), "seconds": seconds,
                       "rows_per_sec": {n: int(total / s) for n, s in seconds.items()}}))
+    remove_staged(spark)
 
 
 if __name__ == "__main__":
