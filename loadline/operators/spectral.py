@@ -43,8 +43,7 @@ def amplitude_spectrum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def signal(channel: str) -> Column:
     """Aggregate: the window's samples of one channel in row order."""
-    ordered = F.sort_array(F.collect_list(F.struct("row_idx", channel)))
-    return F.transform(ordered, lambda s: s[channel])
+    return F.sort_array(F.collect_list(F.struct("row_idx", channel))).getField(channel)
 
 
 def with_spectral_features(spectra: DataFrame, out: str = "spectral") -> DataFrame:

@@ -68,13 +68,12 @@ def over_neighbours(
         raise ValueError(f"looking {max(before, after)} rows away needs larger blocks than {rows}")
     own = block_number(order, rows)
     in_block = F.pmod(F.col(order), F.lit(rows))
-    targets = [own]
-    if before:
-        targets.append(F.when(in_block >= rows - before, own + 1))
-    if after:
-        targets.append(F.when((in_block < after) & (own > 0), own - 1))
-    spread = F.explode(F.array_compact(F.array(*targets))) if len(targets) > 1 else own
-    out = df.withColumn(BLOCK, spread)
+    ends = in_block >= rows - before if before else F.lit(False)
+    starts = (in_block < after) & (own > 0) if after else F.lit(False)
+    targets = (F.when(ends & starts, F.array(own, own + 1, own - 1))
+               .when(ends, F.array(own, own + 1)).when(starts, F.array(own, own - 1))
+               .otherwise(F.array(own)))
+    out = df.withColumn(BLOCK, F.explode(targets) if before or after else own)
     window = Window.partitionBy(*keys, BLOCK).orderBy(order)
     for step in columns(window):
         out = out.withColumns(step)
