@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadline.llm import chat, line_dedup, packing, pivot_search, sharding
+from loadline.llm import chat, line_dedup, near_join, packing, pivot_search, sharding
 from loadline.llm.common import table
 
 
@@ -60,10 +60,15 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def near_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.similar(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op3_pivot_topk": topk_query,
     "op4_chat_windows": chat_query,
     "op5_curve_packing": packing_query,
+    "op9_ngram_join": near_join_query,
     "op10_differencing_shards": sharding_query,
 }
