@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadline.llm import chat, line_dedup, near_join, packing, pivot_search, sharding
-from loadline.llm.common import table
+from loadline.llm import chat, line_dedup, lm, near_join, packing, pivot_search, sharding
+from loadline.llm.common import crc_mod, table
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,13 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    scored = lm.score_texts(docs, docs.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def near_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -69,6 +76,7 @@ QUERIES = {
     "op3_pivot_topk": topk_query,
     "op4_chat_windows": chat_query,
     "op5_curve_packing": packing_query,
+    "op7_bloom_lm": lm_query,
     "op9_ngram_join": near_join_query,
     "op10_differencing_shards": sharding_query,
 }
