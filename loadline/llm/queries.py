@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadline.llm import chat, line_dedup, lm, near_join, packing, pivot_search, sharding
+from loadline.llm import (
+    chat, decontamination, html_extract, line_dedup, lm, near_join, packing, pivot_search, sharding, toxicity,
+)
 from loadline.llm.common import crc_mod, table
 
 
@@ -67,16 +69,35 @@ def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def near_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
+    "op2_latent_decontamination": decontamination_query,
     "op3_pivot_topk": topk_query,
     "op4_chat_windows": chat_query,
     "op5_curve_packing": packing_query,
+    "op6_nnpu_toxicity": toxicity_query,
     "op7_bloom_lm": lm_query,
+    "op8_html_wrappers": html_query,
     "op9_ngram_join": near_join_query,
     "op10_differencing_shards": sharding_query,
 }
