@@ -26,15 +26,17 @@ def _seconds_after(base: Column, seconds: Column) -> Column:
 def wrapping_clock(df: DataFrame, base_time: str, text: str = "timestamp_str") -> DataFrame:
     """Monotonic times from an ``MM:SS.f`` clock in row order.
 
-    A drop of more than half an hour is a new hour; smaller jumps back are kept.
+    A drop of more than half an hour is a new hour; smaller jumps back are kept.  An
+    unreadable clock has no time, and the next row is compared with the last readable one.
     """
     seconds = df.withColumn("_sec", clock_seconds(text))
-    with_prev = previous(seconds, ["machine"], "row_idx", _prev="_sec")
+    readable = carry_scan(seconds, ["machine"], "row_idx", lasts={"_last": F.col("_sec")}, name="readable")
+    with_prev = previous(readable, ["machine"], "row_idx", _prev="_last")
     dropped = F.when(F.col("_sec") < F.col("_prev") - HALF_HOUR, 1).otherwise(0).cast("bigint")
     scanned = carry_scan(with_prev, ["machine"], "row_idx", sums={"_hours": dropped}, name="clock")
     total = F.col("_hours") * 3600.0 + F.col("_sec")
     return (scanned.withColumn("timestamp", _seconds_after(F.lit(base_time).cast("timestamp"), total))
-            .drop("_sec", "_prev", "_hours"))
+            .drop("_sec", "_last", "_prev", "_hours"))
 
 
 def iso_with_fallback(df: DataFrame, base_time: str, text: str = "timestamp_str",

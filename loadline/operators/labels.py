@@ -21,14 +21,14 @@ MAX_PASSES = 10
 PASSES_PER_WRITE = 3
 
 
-def label_runs(readings: DataFrame, profiles=PROFILES, longest: int | None = None) -> DataFrame:
+def label_runs(readings: DataFrame, profiles=PROFILES) -> DataFrame:
     """Runs of the raw sample labels, with the profile's minimum run length and rules."""
     runs = run_table(label_states(readings, profiles), KEYS, "row_idx", "raw_label",
-                     name="label-runs", longest=longest)
+                     name="label-runs")
     return stage(with_profile(runs, "label_min_run", "merge_rule", "cycle_rule", profiles=profiles), "label-runs")
 
 
-def smooth_simultaneous(runs: DataFrame, longest: int | None = None, passes: int = MAX_PASSES) -> DataFrame:
+def smooth_simultaneous(runs: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
     """Every short run takes the value of its longer neighbour (left on a tie), all at once.
 
     Repeated on the re-encoded runs until none is short, at most ``passes`` times.  A lone
@@ -36,7 +36,7 @@ def smooth_simultaneous(runs: DataFrame, longest: int | None = None, passes: int
     """
     for first in range(0, passes, PASSES_PER_WRITE):
         for _ in range(min(PASSES_PER_WRITE, passes - first)):
-            runs = _merge_pass(runs, longest)
+            runs = _merge_pass(runs)
         runs = stage(runs, "smooth-pass")
         open_logs = runs.groupBy(*KEYS).agg(
             F.bool_or(F.col("len") < F.col("label_min_run")).alias("_short"), F.max("run_id").alias("_last"))
@@ -45,7 +45,7 @@ def smooth_simultaneous(runs: DataFrame, longest: int | None = None, passes: int
     return runs.select(*KEYS, "run_id", "value", "start", "end", "len")
 
 
-def _merge_pass(runs: DataFrame, longest: int | None) -> DataFrame:
+def _merge_pass(runs: DataFrame, ) -> DataFrame:
     """One pass; without a short run it changes nothing."""
     def replaced(w):
         return [
@@ -55,11 +55,11 @@ def _merge_pass(runs: DataFrame, longest: int | None) -> DataFrame:
                 when len >= label_min_run or coalesce(_left, _right) is null then value
                 when coalesce(_left, 0) >= coalesce(_right, 0) then _lv else _rv end""")}]
 
-    moved = over_neighbours(runs, KEYS, "run_id", replaced, before=1, after=1, longest=longest)
-    return run_table(moved, KEYS, "run_id", "value", "start", "end", "smooth-runs", longest, ["label_min_run"])
+    moved = over_neighbours(runs, KEYS, "run_id", replaced, before=1, after=1)
+    return run_table(moved, KEYS, "run_id", "value", "start", "end", "smooth-runs", ["label_min_run"])
 
 
-def smooth_leftmost(runs: DataFrame, stats: DataFrame, longest: int | None = None) -> DataFrame:
+def smooth_leftmost(runs: DataFrame, stats: DataFrame) -> DataFrame:
     """The leftmost short run takes its longer neighbour's value, repeated to the fixpoint.
 
     The fixpoint is found without replaying the merges, from these facts:
@@ -84,51 +84,50 @@ def smooth_leftmost(runs: DataFrame, stats: DataFrame, longest: int | None = Non
                                  " or (_next is null and end + 1 < label_min_run)"),
                  "_p_long": F.expr(long_run.format(e="_p_end", s="_p_start", n="_p_len"))}]
 
-    marked = over_neighbours(runs, KEYS, "run_id", neighbours, before=1, after=1, longest=longest)
+    marked = over_neighbours(runs, KEYS, "run_id", neighbours, before=1, after=1)
     scanned = carry_scan(marked, KEYS, "run_id", lasts={"_before": F.expr("case when _p_long then _p_value end")},
-                         name="leftmost-values", longest=longest)
+                         name="leftmost-values")
     chains = with_exprs(
         scanned.filter("_long and (_before is null or _before <> value)"),
         _at="case when start < label_min_run or (_next is null and end + 1 < label_min_run) then 0L else start end",
         _c_len="case when _before is not null and not _p_long then _p_len end",
         _c_start="case when _before is not null and not _p_long then _p_start end",
         _open="coalesce(_before is not null and not _p_long and _p_value <> _before, false)")
-    chains = dense_number(chains, KEYS, "run_id", "_sid", longest)
+    chains = dense_number(chains, KEYS, "run_id", "_sid")
 
     def flips(w):
         return [{"_P": F.lag("_at").over(w), "_P_c": F.lag("_c_len").over(w)},
                 {"_f0": F.expr("coalesce(_open and _c_start - _P < len, false)"),
                  "_f1": F.expr("coalesce(_open and _c_start - _P + coalesce(_P_c, 0) < len, false)")}]
 
-    bits = over_neighbours(chains, KEYS, "_sid", flips, before=1, longest=longest)
+    bits = over_neighbours(chains, KEYS, "_sid", flips, before=1)
     bits = carry_scan(
         bits, KEYS, "_sid",
         lasts={"_anchor": F.expr("case when _f0 = _f1 then pmod(int(_f0) + _sid, 2) end")},
-        name="leftmost-bits", longest=longest)
+        name="leftmost-bits")
     moved = with_exprs(bits, start="case when pmod(_anchor + _sid, 2) = 1 then _at - _c_len else _at end")
     ended = over_neighbours(
-        moved, KEYS, "_sid", lambda w: [{"_next_start": F.lead("start").over(w)}], before=0, after=1,
-        longest=longest).join(stats.select("machine", "n"), KEYS)
+        moved, KEYS, "_sid", lambda w: [{"_next_start": F.lead("start").over(w)}], before=0, after=1).join(stats.select("machine", "n"), KEYS)
     return (ended.withColumn("end", F.coalesce("_next_start", "n") - 1)
             .select(*KEYS, F.col("_sid").alias("run_id"), "value", "start", "end",
                     (F.col("end") - F.col("start") + 1).alias("len")))
 
 
-def smooth(runs: DataFrame, stats: DataFrame, longest: int | None = None, profiles=PROFILES) -> DataFrame:
+def smooth(runs: DataFrame, stats: DataFrame, profiles=PROFILES) -> DataFrame:
     """Each machine's runs by the merge rule of its profile."""
     rules = {r.merge_rule for r in with_profile(stats, "merge_rule", profiles=profiles).select("merge_rule").distinct().collect()}
     done = []
     if "simultaneous" in rules:
-        done.append(smooth_simultaneous(runs.filter("merge_rule = 'simultaneous'"), longest))
+        done.append(smooth_simultaneous(runs.filter("merge_rule = 'simultaneous'")))
     if "leftmost" in rules:
-        done.append(smooth_leftmost(runs.filter("merge_rule = 'leftmost'"), stats, longest))
+        done.append(smooth_leftmost(runs.filter("merge_rule = 'leftmost'"), stats))
     out = done[0]
     for other in done[1:]:
         out = out.unionByName(other)
     return out
 
 
-def cycles_between_reds(runs: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+def cycles_between_reds(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Non-RED stretches after a RED run that hold a GREEN run; the last may be open.
 
     Returns the runs with their ``cycle_key`` and the cycles (machine, cycle_key,
@@ -136,26 +135,26 @@ def cycles_between_reds(runs: DataFrame, longest: int | None = None) -> tuple[Da
     would all meet in one task of the later join.
     """
     red = F.when(F.col("value") == 0, 1).otherwise(0).cast("bigint")
-    keyed = carry_scan(runs, KEYS, "run_id", sums={"_reds": red}, name="red-count", longest=longest)
+    keyed = carry_scan(runs, KEYS, "run_id", sums={"_reds": red}, name="red-count")
     keyed = keyed.withColumn("cycle_key", F.expr(
         "case when value <> 0 and _reds >= 1 then _reds else -1 - run_id end")).drop("_reds")
     cycles = (keyed.filter("cycle_key >= 0").groupBy(*KEYS, "cycle_key")
               .agg(F.min("start").alias("cycle_start"), F.max("end").alias("cycle_end"),
                    F.bool_or(F.col("value") == 2).alias("_green"))
               .filter("_green").drop("_green"))
-    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id", longest)
+    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id")
 
 
-def cycles_of_green_runs(runs: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+def cycles_of_green_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every GREEN run of at least the minimum length is a cycle."""
     keyed = runs.withColumn(
         "cycle_key", F.expr("case when value = 2 and len >= label_min_run then run_id else -1 - run_id end"))
     cycles = keyed.filter("cycle_key >= 0").select(
         *KEYS, "cycle_key", F.col("start").alias("cycle_start"), F.col("end").alias("cycle_end"))
-    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id", longest)
+    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id")
 
 
-def label_intervals(smoothed: DataFrame, profiles=PROFILES, longest: int | None = None) -> DataFrame:
+def label_intervals(smoothed: DataFrame, profiles=PROFILES) -> DataFrame:
     """Smoothed runs with the cycle that holds them, ready to be assigned to samples."""
     runs = with_profile(smoothed, "label_min_run", "cycle_rule", profiles=profiles)
     columns = [*KEYS, "start", "end", F.col("value").alias("state_label"),
@@ -164,7 +163,7 @@ def label_intervals(smoothed: DataFrame, profiles=PROFILES, longest: int | None
     for rule, detect in (("non_red", cycles_between_reds), ("green_runs", cycles_of_green_runs)):
         if rule not in {p.cycle_rule for p in profiles}:
             continue
-        keyed, cycles = detect(runs.filter(F.col("cycle_rule") == rule), longest)
+        keyed, cycles = detect(runs.filter(F.col("cycle_rule") == rule))
         parts.append(keyed.join(cycles, [*KEYS, "cycle_key"], "left").select(*columns))
     out = parts[0]
     for other in parts[1:]:

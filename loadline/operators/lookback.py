@@ -58,8 +58,7 @@ def _by_shape(profiles) -> dict[tuple[int, str], list[str]]:
     return shapes
 
 
-def lookback(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int | None = None,
-             longest: int | None = None) -> DataFrame:
+def lookback(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int | None = None) -> DataFrame:
     """``x``: the last L rows of the profile's channels (oldest first), one array per row.
 
     Rows without L rows before them (inside the same key) are left out.  The sliding frame
@@ -79,13 +78,12 @@ def lookback(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int
             return [{"_have": F.count("_s").over(frame), "x": F.collect_list("_s").over(frame)},
                     {"x": F.concat(F.array_repeat(blank, F.lit(length) - F.size("x")), F.col("x"))}]
 
-        found = over_neighbours(mine, keys, "row_idx", frames, before=length - 1, longest=longest)
+        found = over_neighbours(mine, keys, "row_idx", frames, before=length - 1)
         parts.append(found.filter(F.col("_have") == length).drop("_s", "_have"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None,
-                  longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Look-back samples of all splits and the train channel statistics.
 
     Windows never cross a split.  Raises if a split is shorter than the look-back.
@@ -97,7 +95,7 @@ def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look
         raise ValueError(f"{short[0].machine}: {short[0].split} has {short[0].rows} rows, fewer than the look-back")
     split = temporal_split(labelled, stats)
     means = norm_stats(split.filter("split = 'train'"))
-    samples = lookback(normalised(split, means), ["machine", "split"], profiles, look_back, longest)
+    samples = lookback(normalised(split, means), ["machine", "split"], profiles, look_back)
     targets = samples.select(
         "machine", "split", "row_idx", "x", F.col("state_label").alias("state"),
         F.coalesce("cycle_pos", F.lit(-1.0)).alias("cycle_pos"), "job_type")

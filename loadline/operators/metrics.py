@@ -76,12 +76,13 @@ def multi_task_loss(rows: DataFrame, keys: list[str] | None = None, alpha: float
     """alpha * state cross entropy + beta * squared position error + gamma * job cross entropy.
 
     Needs state_probs and job_probs arrays; position and job count inside cycles only.
+    A class that the model never saw has probability 1e-12.
     """
     parts = rows.groupBy(*(keys or KEYS)).agg(
-        F.avg(F.expr("-ln(state_probs[state_label])")).alias("loss_state"),
+        F.avg(F.expr("-ln(greatest(coalesce(get(state_probs, state_label), 0D), 1e-12D))")).alias("loss_state"),
         F.coalesce(F.avg(F.expr("case when cycle_pos >= 0 then pow(ml_cycle_pos - cycle_pos, 2) end")), F.lit(0.0))
         .alias("loss_cyc"),
-        F.coalesce(F.avg(F.expr("case when job_type >= 0 then -ln(job_probs[job_type]) end")), F.lit(0.0))
+        F.coalesce(F.avg(F.expr("case when job_type >= 0 then -ln(greatest(coalesce(get(job_probs, job_type), 0D), 1e-12D)) end")), F.lit(0.0))
         .alias("loss_job"))
     return with_exprs(parts, loss=f"{alpha}D * loss_state + {beta}D * loss_cyc + {gamma}D * loss_job")
 

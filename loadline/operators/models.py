@@ -109,9 +109,9 @@ def train(samples: DataFrame, norm: DataFrame, look_back: int, grid=(0.0, 0.01,
     return best
 
 
-def predict(readings: DataFrame, models: Models, profiles=PROFILES, longest: int | None = None) -> DataFrame:
+def predict(readings: DataFrame, models: Models, profiles=PROFILES) -> DataFrame:
     """Readings + prediction columns; the first L - 1 rows have -1 / NULL / an en dash."""
-    inputs = lookback(normalised(readings, models.norm), ["machine"], profiles, models.look_back, longest)
+    inputs = lookback(normalised(readings, models.norm), ["machine"], profiles, models.look_back)
     results = scored(model_vector(inputs.select("machine", "row_idx", "x")), models).select(
         "machine", "row_idx", "ml_state", "ml_state_conf", "ml_cycle_pos", "ml_job_type")
     return _with_names(readings.join(results, ["machine", "row_idx"], "left"), models.job_types, profiles)
@@ -128,13 +128,12 @@ def _with_names(out: DataFrame, job_types: int, profiles) -> DataFrame:
 
 
 def predict_with(readings: DataFrame, norm: DataFrame, look_back: int, job_types: int,
-                 score: Callable[[pd.DataFrame], pd.DataFrame], profiles=PROFILES,
-                 longest: int | None = None) -> DataFrame:
+                 score: Callable[[pd.DataFrame], pd.DataFrame], profiles=PROFILES) -> DataFrame:
     """Apply any model: ``score`` gets Arrow batches with ``x`` and returns the four values.
 
     It must return ml_state, ml_state_conf, ml_cycle_pos, ml_job_type for each input row.
     """
-    inputs = lookback(normalised(readings, norm), ["machine"], profiles, look_back, longest)
+    inputs = lookback(normalised(readings, norm), ["machine"], profiles, look_back)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

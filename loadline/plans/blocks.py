@@ -11,9 +11,6 @@ plain ``Window.partitionBy(machine).orderBy(row_idx)`` would do is split in thre
   scanned alone and written; one total per block is accumulated and joined back.
 * ``assign_intervals``: which interval holds this row.  Interval starts are merged into
   the ordered block and filled forward.
-
-``longest`` is a known bound on the rows of one key.  If that fits one block there is
-nothing to stitch, and the operators become plain windows without writes.
 """
 
 from __future__ import annotations
@@ -38,19 +35,10 @@ def block_number(order: str, rows: int) -> Column:
     return F.expr(f"`{order}` div {rows}")
 
 
-def one_block(df: DataFrame, longest: int | None) -> bool:
-    return longest is not None and longest <= block_rows(df)
-
-
-def longest_log(stats: DataFrame, column: str = "n") -> int:
-    """Rows of the longest log, from the per-machine table."""
-    return stats.agg(F.max(column)).first()[0] or 0
-
-
 def over_neighbours(
     df: DataFrame, keys: list[str], order: str,
     columns: Callable[[WindowSpec], list[dict[str, Column]]],
-    before: int = 1, after: int = 0, keep_block: bool = False, longest: int | None = None,
+    before: int = 1, after: int = 0, keep_block: bool = False,
 ) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` ahead.
 
@@ -59,11 +47,6 @@ def over_neighbours(
     hash partitioned by ``(keys, block)``.
     """
     rows = block_rows(df)
-    if one_block(df, longest):
-        window = Window.partitionBy(*keys).orderBy(order)
-        for step in columns(window):
-            df = df.withColumns(step)
-        return df.withColumn(BLOCK, F.lit(0).cast("bigint")) if keep_block else df
     if max(before, after) >= rows:
         raise ValueError(f"looking {max(before, after)} rows away needs larger blocks than {rows}")
     own = block_number(order, rows)
@@ -81,18 +64,17 @@ def over_neighbours(
     return out if keep_block else out.drop(BLOCK)
 
 
-def previous(df: DataFrame, keys: list[str], order: str, longest: int | None = None,
+def previous(df: DataFrame, keys: list[str], order: str,
              **names: str) -> DataFrame:
     """``previous(df, ["machine"], "row_idx", prev="value")``: lag by one row."""
     return over_neighbours(
-        df, keys, order, lambda w: [{new: F.lag(old).over(w) for new, old in names.items()}],
-        longest=longest)
+        df, keys, order, lambda w: [{new: F.lag(old).over(w) for new, old in names.items()}])
 
 
 def carry_scan(
     df: DataFrame, keys: list[str], order: str,
     sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
-    name: str = "scan", longest: int | None = None,
+    name: str = "scan",
 ) -> DataFrame:
     """Running (inclusive) sums of non-negative columns and last non-null values so far.
 
@@ -101,13 +83,10 @@ def carry_scan(
     """
     sums, lasts = sums or {}, lasts or {}
     rows = block_rows(df)
-    single = one_block(df, longest)
-    upto = (Window.partitionBy(*keys, *([] if single else [BLOCK])).orderBy(order)
+    upto = (Window.partitionBy(*keys, BLOCK).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     scanned = ({out: F.sum(c).over(upto) for out, c in sums.items()}
                | {out: F.last(c, ignorenulls=True).over(upto) for out, c in lasts.items()})
-    if single:
-        return df.withColumns(scanned)
     local = stage(df.withColumn(BLOCK, block_number(order, rows)).withColumns(scanned), name)
     totals = local.groupBy(*keys, BLOCK).agg(
         *[F.max(out).alias(out) for out in sums],
@@ -127,11 +106,10 @@ def carry_scan(
     return joined.drop(BLOCK, *[f"_carry_{out}" for out in [*sums, *lasts]])
 
 
-def dense_number(df: DataFrame, keys: list[str], order: str, out: str,
-                 longest: int | None = None) -> DataFrame:
+def dense_number(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Number rows 0, 1, 2, ... per key by a sparse, unique, non-negative ``order``."""
     numbered = carry_scan(df, keys, order, sums={out: F.lit(1).cast("bigint")},
-                          name=f"number-{out}", longest=longest)
+                          name=f"number-{out}")
     return numbered.withColumn(out, F.col(out) - 1)
 
 

@@ -13,7 +13,6 @@ from loadline.operators.cycles import (
 from loadline.operators.jobs import job_clusters
 from loadline.operators.labels import cycle_table, label_intervals, label_runs, smooth
 from loadline.operators.session_stats import machine_stats
-from loadline.plans.blocks import longest_log
 from loadline.plans.staging import stage
 from loadline.profiles import PROFILES
 
@@ -29,21 +28,17 @@ class Labelling:
     def stats(self) -> DataFrame:
         return machine_stats(self.readings)
 
-    @cached_property
-    def longest(self) -> int:
-        return longest_log(self.stats)
-
     @cached_property
     def raw_runs(self) -> DataFrame:
-        return label_runs(self.readings, self.profiles, self.longest)
+        return label_runs(self.readings, self.profiles)
 
     @cached_property
     def runs(self) -> DataFrame:
-        return smooth(self.raw_runs, self.stats, self.longest, self.profiles)
+        return smooth(self.raw_runs, self.stats, self.profiles)
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return label_intervals(self.runs, self.profiles, self.longest)
+        return label_intervals(self.runs, self.profiles)
 
     @cached_property
     def cycles(self) -> DataFrame:

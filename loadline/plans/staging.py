@@ -10,21 +10,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_ROWS = 10_000
-
 _local_roots: dict[str, str] = {}
+#: Called when staged tables are removed, to drop frames that read them.
+_forget: list[Callable[[], None]] = []
+
+
+def on_remove(forget: Callable[[], None]) -> None:
+    _forget.append(forget)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir")
     if configured:
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _local_roots:
         _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="loadline-")
     return _local_roots[sc.applicationId]
@@ -43,14 +50,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def small_table(df: DataFrame, name: str = "small") -> DataFrame:
-    """A per-machine table, computed once and checked for size.
-
-    Up to ``SMALL_ROWS`` rows it becomes a local relation, whose exact size lets Catalyst
-    broadcast it; beyond that it is written like any other stage and joined by its size.
-    """
-    rows = df.limit(SMALL_ROWS + 1).toArrow()
-    if rows.num_rows <= SMALL_ROWS:
-        return df.sparkSession.createDataFrame(rows, df.schema)
+    """A per-machine table, written once; Catalyst joins it by its written size."""
     return stage(df, name)
 
 
@@ -59,3 +59,5 @@ def remove_staged(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loadline/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for forget in _forget:
+        forget()

@@ -12,7 +12,7 @@ from loadline.operators.spectral import (
     channel_signals, signal, with_spectral_features, with_spectrum)
 from loadline.operators.states import MIN_CONSECUTIVE, hysteresis
 from loadline.operators.windows import (
-    group_windows, most_windows, number_windows, window_rows, window_settings)
+    group_windows, number_windows, window_rows, window_settings)
 from loadline.profiles import PROFILES, with_profile
 
 WINDOW_COLUMNS = ["machine", "window_index", "start_time", "end_time", "centre_time",
@@ -26,7 +26,7 @@ def settings_of(readings: DataFrame, profiles=PROFILES, **window) -> DataFrame:
 def time_features(readings: DataFrame, profiles=PROFILES, settings: DataFrame | None = None) -> DataFrame:
     settings = settings or settings_of(readings, profiles)
     windows = group_windows(window_rows(readings, settings), *time_aggregates())
-    return with_phase_imbalance(number_windows(windows, most_windows(settings)), profiles)
+    return with_phase_imbalance(number_windows(windows), profiles)
 
 
 def validated_windows(readings: DataFrame, profiles=PROFILES, overrides: DataFrame | None = None,
@@ -34,7 +34,7 @@ def validated_windows(readings: DataFrame, profiles=PROFILES, overrides: DataFra
     settings = settings or settings_of(readings, profiles)
     rows = with_profile(window_rows(readings, settings), *THRESHOLDS[:2], profiles=profiles, overrides=overrides)
     windows = validation_columns(group_windows(rows, *quality_aggregates()), profiles, overrides)
-    return number_windows(windows, most_windows(settings)).select(
+    return number_windows(windows).select(
         "machine", "window_index", *VALIDATION_COLUMNS)
 
 
@@ -43,7 +43,7 @@ def channel_spectra(readings: DataFrame, profiles=PROFILES, channels=("i1", "i2"
     """Magnitudes per window and channel (windows already numbered)."""
     settings = settings or settings_of(readings, profiles)
     signals = [signal(c).alias(f"signal_{c}") for c in channels]
-    windows = number_windows(group_windows(window_rows(readings, settings), *signals), most_windows(settings))
+    windows = number_windows(group_windows(window_rows(readings, settings), *signals))
     return with_spectrum(channel_signals(windows, channels, profiles))
 
 
@@ -58,7 +58,7 @@ def window_features(readings: DataFrame, profiles=PROFILES, settings: DataFrame
     settings = settings or settings_of(readings, profiles)
     windows = group_windows(
         window_rows(readings, settings), *time_aggregates(), signal("i_avg").alias("signal_i_avg"))
-    featured = number_windows(feature_row(_avg_spectrum(windows)), most_windows(settings))
+    featured = number_windows(feature_row(_avg_spectrum(windows)))
     return with_phase_imbalance(featured, profiles).select(*WINDOW_COLUMNS, *FEATURE_COLUMNS)
 
 
@@ -73,8 +73,7 @@ def analyse(readings: DataFrame, profiles=PROFILES, overrides: DataFrame | None
     windows = group_windows(
         rows, *time_aggregates(), *quality_aggregates(), signal("i_avg").alias("signal_i_avg"))
     windows = validation_columns(feature_row(_avg_spectrum(windows)), profiles, overrides)
-    longest = most_windows(settings)
-    windows = classify(with_phase_imbalance(number_windows(windows, longest), profiles), profiles, overrides)
-    return hysteresis(windows, ["machine"], min_consecutive=min_consecutive, longest=longest).select(
+    windows = classify(with_phase_imbalance(number_windows(windows), profiles), profiles, overrides)
+    return hysteresis(windows, ["machine"], min_consecutive=min_consecutive).select(
         *WINDOW_COLUMNS, *VALIDATION_COLUMNS, *FEATURE_COLUMNS,
         "state", "confidence", "reason", "scores", "smoothed_state")

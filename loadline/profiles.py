@@ -149,7 +149,7 @@ def override(profiles=PROFILES, **per_profile: dict) -> tuple[Profile, ...]:
 
 def with_profile(df: DataFrame, *columns: str, profiles=PROFILES,
                  overrides: DataFrame | None = None) -> DataFrame:
-    """Attach profile columns to every row of ``df`` by its machine.
+    """Attach profile columns to every row of ``df`` by its machine; an unknown machine fails.
 
     The profile table is literal configuration, a handful of rows whose exact size
     Catalyst knows, so the join is a broadcast without a hint.  ``overrides`` holds one
@@ -157,7 +157,9 @@ def with_profile(df: DataFrame, *columns: str, profiles=PROFILES,
     """
     table = profile_table(df.sparkSession, profiles).select(
         F.col("profile").alias("_profile"), *columns)
-    out = df.join(table, profile_of() == F.col("_profile")).drop("_profile")
+    missing = F.raise_error(F.concat(F.lit("no profile for machine "), F.coalesce("machine", F.lit("NULL"))))
+    out = df.join(table, profile_of() == F.col("_profile"), "left")
+    out = out.filter(F.when(F.col("_profile").isNull(), missing.cast("boolean")).otherwise(True)).drop("_profile")
     if overrides is not None:
         changed = [c for c in overrides.columns if c in columns]
         out = out.join(

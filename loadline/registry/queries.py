@@ -13,7 +13,7 @@ from loadline.operators import (
     classify, cycles, features, ingest, labels, lookback, metrics, models, quality, session_stats, slices,
     spectral, states, windows)
 from loadline.plans import state_analysis as analysis
-from loadline.plans.blocks import longest_log, over_neighbours
+from loadline.plans.blocks import over_neighbours
 from loadline.plans.labelling import Labelling
 from loadline.plans.staging import new_path, stage
 from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, with_profile
@@ -44,7 +44,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def _stats(spark, sf):
     rows = events.readings(spark, sf)
     stats = session_stats.machine_stats(rows)
-    return rows, stats, longest_log(stats)
+    return rows, stats
 
 
 def _labelling(spark, sf):
@@ -72,7 +72,7 @@ def csv_scan(spark, sf):
     path = new_path(spark, "csv")
     logs.write_csv_logs(events.raw_readings(spark, sf).drop("event_id")
                         .withColumnRenamed("timestamp_str", "Timestamp"), path)
-    parts = [logs.scan_csv(spark, logs.list_files(spark, f"{path}/machine={p.profile}"), same_header=True)
+    parts = [logs.scan_csv(spark, logs.list_files(spark, f"{path}/machine={p.profile}"))
              .withColumn("machine", F.lit(p.profile)) for p in PROFILES]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return out.select("machine", "timestamp_str", "i1", "i2", "i3", "frequency")
@@ -125,7 +125,7 @@ def header_rules(spark, sf):
 @query("machine_registry", sql("""select p.profile as machine, p.window_seconds, p.green_min_rms, n as samples
   from profiles p join stats s on s.machine = p.profile"""))
 def machine_registry(spark, sf):
-    _, stats, _ = _stats(spark, sf)
+    _, stats = _stats(spark, sf)
     return with_profile(stats, "window_seconds", "green_min_rms").select(
         "machine", "window_seconds", "green_min_rms", F.col("n").alias("samples"))
 
@@ -202,14 +202,14 @@ def sort_and_renumber(spark, sf):
 
 @query("sample_rate", sql(f"select machine, {r('sample_rate')} from stats"))
 def sample_rate(spark, sf):
-    _, stats, _ = _stats(spark, sf)
+    _, stats = _stats(spark, sf)
     return rounded(stats.select("machine", "sample_rate"))
 
 
 @query("session_overview", sql(f"""select machine, n as total_samples, {r('n / (sample_rate * 3600e0)', 'duration_hours')},
   {rs('sample_rate', 'min_i_avg', 'max_i_avg')} from stats"""))
 def session_overview(spark, sf):
-    _, stats, _ = _stats(spark, sf)
+    _, stats = _stats(spark, sf)
     return rounded(session_stats.session_overview(stats))
 
 
@@ -218,14 +218,14 @@ def session_overview(spark, sf):
 @query("hours_slice", sql("""select machine, row_idx from readings join stats using (machine)
   where row_idx < floor(1 * sample_rate * 3600)"""))
 def hours_slice(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     return slices.first_hours(rows, stats, 1).select("machine", "row_idx")
 
 
 @query("default_hours_slice", sql("""select machine, row_idx from readings join stats using (machine)
   where row_idx < floor(least(4, greatest(1, floor(n / (sample_rate * 3600)))) * sample_rate * 3600)"""))
 def default_hours_slice(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     return slices.first_hours(rows, stats).select("machine", "row_idx")
 
 
@@ -265,7 +265,7 @@ def row_range_context(spark, sf):
 @query("downsample", sql("""select machine, row_idx from readings join stats using (machine)
   where row_idx % greatest(1, n // 2000) = 0"""))
 def downsample(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     return slices.thin_rows(rows, stats).select("machine", "row_idx")
 
 
@@ -371,7 +371,7 @@ def window_validation(spark, sf):
   {r('count(*) filter (is_valid) * 1e0 / count(*) * 100e0', 'valid_pct')}, {r('avg(avg_freq)', 'avg_freq')},
   {r('avg(validation_imbalance)', 'avg_phase_imbalance')}, {r('avg(avg_i_avg)', 'avg_i_avg')} from valid group by machine"""))
 def dataset_validation(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     settings = windows.window_settings(stats)
     return rounded(quality.dataset_verdict(stats, analysis.validated_windows(rows, settings=settings)))
 
@@ -485,13 +485,13 @@ def run_length(spark, sf):
 @query("smooth_labels_simultaneous", sql(f"select {_RUN} from together"))
 def smooth_labels_simultaneous(spark, sf):
     lab = _labelling(spark, sf)
-    return _runs(labels.smooth_simultaneous(lab.raw_runs.filter("merge_rule = 'simultaneous'"), lab.longest))
+    return _runs(labels.smooth_simultaneous(lab.raw_runs.filter("merge_rule = 'simultaneous'")))
 
 
 @query("smooth_labels_leftmost", sql(f"select {_RUN} from leftmost"))
 def smooth_labels_leftmost(spark, sf):
     lab = _labelling(spark, sf)
-    return _runs(labels.smooth_leftmost(lab.raw_runs.filter("merge_rule = 'leftmost'"), lab.stats, lab.longest))
+    return _runs(labels.smooth_leftmost(lab.raw_runs.filter("merge_rule = 'leftmost'"), lab.stats))
 
 
 _CYCLE = "machine, cast(cycle_id as bigint) as cycle_id, start_row, end_row, duration_s"
@@ -591,7 +591,7 @@ def job_lookup(spark, sf):
     "split_rows": """select machine, row_idx, case when row_idx < floor(n * 7e-1) then 'train'
       when row_idx < floor(n * (7e-1 + 15e-2)) then 'val' else 'test' end as split from readings join stats using (machine)"""}))
 def temporal_split(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     return lookback.temporal_split(rows, stats).groupBy("machine", "split").agg(
         F.count("*").alias("rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
 
@@ -604,7 +604,7 @@ _MOMENTS = [f"{p}_{c}" for c in features.CHANNELS for p in ("mean", "std")]
 
 @query("norm_stats", sql(f"select machine, {rs(*_MOMENTS)} from moments", _TRAIN))
 def norm_stats(spark, sf):
-    rows, stats, _ = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     return rounded(lookback.norm_stats(lookback.temporal_split(rows, stats).filter("split = 'train'")))
 
 
@@ -626,10 +626,10 @@ _LOOK = _TRAIN | {
   from looked where have = look_back""", _LOOK))
 def lookback_windows(spark, sf):
     """Normalised look-back arrays inside splits, shown by a few numbers of each array."""
-    rows, stats, longest = _stats(spark, sf)
+    rows, stats = _stats(spark, sf)
     split = lookback.temporal_split(rows, stats)
     normed = lookback.normalised(split, lookback.norm_stats(split.filter("split = 'train'")))
-    out = lookback.lookback(normed, ["machine", "split"], longest=longest)
+    out = lookback.lookback(normed, ["machine", "split"])
     return rounded(out.select(
         "machine", "split", "row_idx", F.size("x").alias("length"), F.expr("x[0][0]").alias("oldest_i1"),
         F.expr("element_at(element_at(x, -1), -1)").alias("newest_i_avg"),
@@ -645,7 +645,7 @@ def _predictions(spark, sf) -> DataFrame:
         return [{"_ls": F.lag("state_label", 5).over(w), "_lp": F.lag("cycle_pos", 5).over(w),
                  "_lj": F.lag(F.col("cycle_id") % 2, 5).over(w)}]
 
-    out = over_neighbours(labelled, ["machine"], "row_idx", lagged, before=5, longest=lab.longest)
+    out = over_neighbours(labelled, ["machine"], "row_idx", lagged, before=5)
     return with_exprs(
         with_profile(out, "look_back"),
         ml_state="case when row_idx < look_back - 1 then -1 else _ls end",
@@ -744,7 +744,7 @@ def _trained(spark, sf, profile=ROBO):
     mine = events.readings(spark, sf).filter(F.col("machine") == profile.profile)
     lab = Labelling(mine, (profile,))
     labelled = stage(lab.samples, "labelled")
-    samples, norm = lookback.training_sets(labelled, lab.stats, (profile,), longest=lab.longest)
+    samples, norm = lookback.training_sets(labelled, lab.stats, (profile,))
     return models.train(samples, norm, profile.look_back, grid=(0.001, 0.1), iterations=20), labelled, lab
 
 
@@ -759,7 +759,7 @@ def ml_predictions(spark, sf):
     trained, labelled, lab = _trained(spark, sf)
     path = new_path(spark, "models")
     models.save_models(trained, path)
-    return rounded(models.predict(labelled, models.load_models(spark, path), (ROBO,), lab.longest))
+    return rounded(models.predict(labelled, models.load_models(spark, path), (ROBO,)))
 
 
 @query("ml_evaluation")
@@ -785,7 +785,8 @@ def streaming_windows(spark, sf):
     """Windows closed by the watermark (10 s behind the latest reading)."""
     stream = streaming.as_stream(spark, events.readings(spark, sf), "window-input")
     both = streaming.run_to_table(streaming.stream_all_windows(stream), "windows-stream")
-    return rounded(both.filter("start_time >= timestamp '2024-01-01'"))
+    first = events.readings(spark, sf).groupBy("machine").agg(F.min("timestamp").alias("_first"))
+    return rounded(both.join(first, "machine").filter("start_time >= _first").drop("_first"))
 
 
 _RED_START = f"machine, end_time, state, {r('confidence')}, smoothed_state"

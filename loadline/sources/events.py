@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadline.plans.blocks import block_number, block_rows, number_rows
-from loadline.plans.staging import stage
+from loadline.plans.staging import on_remove, stage
 
 _tables: dict[tuple, DataFrame] = {}
+on_remove(_tables.clear)
 
 # Load step, base currents and noise of the derived sensor log.
 _CURRENTS = """

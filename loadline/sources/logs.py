@@ -33,39 +33,41 @@ def canonical_columns(headers: list[str], any_time_header: bool = False) -> dict
     return {h: c for h, c in named.items() if c}
 
 
-def scan_csv(spark: SparkSession, files: Sequence[str], any_time_header: bool = False,
-             same_header: bool = False) -> DataFrame:
+def header_groups(spark: SparkSession, files: Sequence[str]) -> list[list[str]]:
+    """Files grouped by their first line, all read in one job."""
+    lines = spark.read.text(list(files)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("pos"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    return [r.files for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files").collect()]
+
+
+def scan_csv(spark: SparkSession, files: Sequence[str], any_time_header: bool = False) -> DataFrame:
     """All columns as text under canonical names, with file rank, split and position.
 
-    Files are grouped by header, so each group is one scan; ``same_header`` looks at the
-    first file only.
+    Files are grouped by header, so each group is one scan.
     """
     def scan(paths):
         return spark.read.option("header", True).option("enforceSchema", False).csv(paths)
 
-    groups: dict[tuple, list[str]] = {}
-    for path in files:
-        header = tuple(scan([files[0] if same_header else path]).columns)
-        groups.setdefault(header, []).append(path)
     ranks = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "src_rank int, _file string")
     parts = []
-    for header, paths in groups.items():
-        names = canonical_columns(list(header), any_time_header)
+    for paths in header_groups(spark, files):
+        names = canonical_columns(scan(paths[:1]).columns, any_time_header)
         parts.append(scan(paths).select(
             *[F.col(f"`{h}`").alias(c) for h, c in names.items()],
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("src_block"),
             F.monotonically_increasing_id().alias("src_pos")))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return rows.join(F.broadcast(ranks) if len(files) <= 10_000 else ranks, "_file").drop("_file")
+    return rows.join(ranks, "_file").drop("_file")
 
 
-def load_log(spark: SparkSession, machine: str, source: str | Sequence[str], profiles=PROFILES,
-             same_header: bool = False) -> DataFrame:
+def load_log(spark: SparkSession, machine: str, source: str | Sequence[str], profiles=PROFILES) -> DataFrame:
     """Clean readings of one machine from its CSV log, by the rules of its profile."""
     profile = next(p for p in profiles if p.profile == machine.split("_")[0])
     files = list_files(spark, source)
-    rows = scan_csv(spark, files, profile.time_mode == "wrapping_clock", same_header)
+    rows = scan_csv(spark, files, profile.time_mode == "wrapping_clock")
     rows = rows.withColumn("machine", F.lit(machine))
     if "timestamp_str" not in rows.columns or profile.time_mode != "iso_fallback":
         raw = number_rows(rows, ["machine"], FILE_ORDER)

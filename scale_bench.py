@@ -18,7 +18,7 @@ from loadline.operators import lookback
 from loadline.operators.classify import sample_states, state_share
 from loadline.operators.session_stats import machine_stats
 from loadline.plans import state_analysis as analysis
-from loadline.plans.blocks import block_number, block_rows, longest_log
+from loadline.plans.blocks import block_number, block_rows
 from loadline.plans.labelling import Labelling
 from loadline.plans.staging import remove_staged, stage
 from loadline.session import build_session
@@ -49,7 +49,7 @@ def main() -> None:
     readings = long_logs(spark, sf_dir, rows)
     total = readings.count()
     stats = machine_stats(readings)
-    longest = longest_log(stats)
+    longest = stats.agg(F.max("n")).first()[0]
     lab = Labelling(readings)
 
     def noop(df):
@@ -63,7 +63,7 @@ def main() -> None:
         "smoothed_runs": lambda: noop(lab.runs),
         "cycle_features": lambda: noop(lab.features),
         "labelled_samples": lambda: noop(lab.samples),
-        "lookback": lambda: noop(lookback.lookback(readings, ["machine"], longest=longest)),
+        "lookback": lambda: noop(lookback.lookback(readings, ["machine"])),
     }
     seconds = {}
     for name, run in work.items():

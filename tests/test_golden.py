@@ -9,7 +9,9 @@ from loadline.functions import display, parsing
 from loadline.operators import classify, ingest, lookback, spectral, states, windows
 from loadline.operators.session_stats import machine_stats
 from loadline.plans.state_analysis import settings_of
-from loadline.profiles import FURNACE, PROFILES, override, profile_table
+from loadline.operators.ingest import wrapping_clock
+from loadline.operators.metrics import multi_task_loss
+from loadline.profiles import FURNACE, PROFILES, override, profile_table, with_profile
 
 
 def readings(spark, machine, values, start=0, frequency=50.0):
@@ -139,3 +141,23 @@ def test_training_sets_reject_short_splits(spark):
         {"state_label": F.lit(0), "cycle_pos": F.lit(None).cast("double"), "job_type": F.lit(-1)})
     with pytest.raises(ValueError, match="fewer than the look-back"):
         lookback.training_sets(rows, machine_stats(rows))
+
+
+def test_unknown_machine_fails(spark):
+    rows = spark.createDataFrame([("press_1", 1)], "machine string, x int")
+    with pytest.raises(Exception, match="no profile for machine press_1"):
+        with_profile(rows, "window_seconds").collect()
+
+
+def test_unreadable_clock_hides_no_wrap(spark):
+    rows = [("furnace", i, t) for i, t in enumerate(["59:50.0", "bad", "00:10.0"])]
+    raw = spark.createDataFrame(rows, "machine string, row_idx long, timestamp_str string")
+    got = wrapping_clock(raw, "2024-01-01 00:00:00").orderBy("row_idx").collect()
+    assert [str(r.timestamp) for r in got] == ["2024-01-01 00:59:50", "None", "2024-01-01 01:00:10"]
+
+
+def test_class_the_model_never_saw(spark):
+    row = spark.createDataFrame([("m", 2, 0.5, 5, [0.5, 0.5], [1.0], 0.5)],
+                                "machine string, state_label int, cycle_pos double, job_type int, state_probs array<double>, "
+                                "job_probs array<double>, ml_cycle_pos double")
+    assert multi_task_loss(row, ["machine"]).first().loss > 10

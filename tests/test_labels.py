@@ -29,10 +29,10 @@ def random_logs(seed, count, name):
     return logs
 
 
-def run_frame(spark, logs, min_run, longest):
+def run_frame(spark, logs, min_run):
     rows = [(m, i, v) for m, labels in logs.items() for i, v in enumerate(labels)]
     df = spark.createDataFrame(rows, "machine string, row_idx bigint, raw_label int")
-    runs = run_table(df, ["machine"], "row_idx", "raw_label", longest=longest)
+    runs = run_table(df, ["machine"], "row_idx", "raw_label")
     stats = df.groupBy("machine").agg(F.count("*").alias("n"))
     return stage(runs.withColumn("label_min_run", F.lit(min_run))), stage(stats)
 
@@ -46,36 +46,31 @@ def expand(runs):
     return out
 
 
-def longest_of(blocks, logs):
-    return max(map(len, logs.values())) if blocks > 1000 else None
-
-
 @pytest.mark.parametrize("min_run", [2, 3, 5])
 def test_leftmost_merge(spark, blocks, min_run):
     logs = random_logs(min_run, 250, "conveyer")
     logs |= {"conveyer_a": [1], "conveyer_b": [1, 2], "conveyer_c": [0, 1, 1, 2, 2, 2, 2, 2],
              "conveyer_d": [0] * 6 + [1] + [2] * 5 + [1] + [0] * 9, "conveyer_e": [0] * 4 + [1] + [2] * 9}
-    runs, stats = run_frame(spark, logs, min_run, longest_of(blocks, logs))
-    got = expand(smooth_leftmost(runs, stats, longest_of(blocks, logs)))
+    runs, stats = run_frame(spark, logs, min_run)
+    got = expand(smooth_leftmost(runs, stats))
     assert got == {m: loops.merge_leftmost(v, min_run) for m, v in logs.items()}
 
 
 @pytest.mark.parametrize("min_run", [3, 10])
 def test_simultaneous_merge(spark, blocks, min_run):
     logs = random_logs(min_run + 50, 80, "furnace")
-    runs, _ = run_frame(spark, logs, min_run, longest_of(blocks, logs))
-    got = expand(smooth_simultaneous(runs, longest_of(blocks, logs)))
+    runs, _ = run_frame(spark, logs, min_run)
+    got = expand(smooth_simultaneous(runs))
     assert got == {m: loops.merge_together(v, min_run) for m, v in logs.items()}
 
 
 def test_cycles(spark, blocks):
     logs = random_logs(9, 80, "furnace")
     logs["furnace_gold"] = [1, 1, 0, 1, 2, 1, 0, 1, 1]
-    longest = longest_of(blocks, logs)
-    runs, _ = run_frame(spark, logs, 3, longest)
+    runs, _ = run_frame(spark, logs, 3)
     for detect, loop in ((cycles_between_reds, loops.cycles_between_reds),
                          (cycles_of_green_runs, lambda v: loops.cycles_of_green(v, 3))):
-        _, cycles = detect(runs, longest)
+        _, cycles = detect(runs)
         got = {m: [] for m in logs}
         for c in sorted(cycles.collect(), key=lambda c: (c.machine, c.cycle_id)):
             assert c.cycle_id == len(got[c.machine])

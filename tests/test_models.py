@@ -30,7 +30,7 @@ def trained(spark):
     mine = events.readings(spark, "/root/testdata/sf0.01").filter("machine = 'robo'")
     lab = Labelling(mine, (ROBO,))
     labelled = stage(lab.samples)
-    samples, norm = lookback.training_sets(labelled, lab.stats, (ROBO,), longest=lab.longest)
+    samples, norm = lookback.training_sets(labelled, lab.stats, (ROBO,))
     return models.train(samples, norm, 30, grid=(0.001,), iterations=15), labelled, lab
 
 
@@ -57,6 +57,6 @@ def test_foreign_model(spark, trained):
         return pd.DataFrame({"ml_state": (newest > 0).astype(int) * 2, "ml_state_conf": 1.0,
                              "ml_cycle_pos": 0.5, "ml_job_type": 0})
 
-    out = models.predict_with(labelled, model.norm, 30, 2, constant, (ROBO,), lab.longest)
+    out = models.predict_with(labelled, model.norm, 30, 2, constant, (ROBO,))
     rows = {r.ml_state_name: r["count"] for r in out.groupBy("ml_state_name").count().collect()}
     assert sum(rows.values()) == labelled.count() and rows["–"] == 29 and rows["GREEN"] > 0 and rows["RED"] > 0

@@ -11,10 +11,6 @@ from loadline.plans.blocks import assign_intervals, carry_scan, number_rows, ove
 from loadline.plans.state_analysis import settings_of
 
 
-def longest_of(blocks, logs):
-    return max(map(len, logs.values())) if blocks > 1000 else None
-
-
 def state_logs(seed, count=40):
     rng = random.Random(seed)
     return {f"m{i}": [s for _ in range(rng.randint(1, 30))
@@ -29,14 +25,14 @@ def frame(spark, logs):
 
 def test_hysteresis_and_runs(spark, blocks):
     logs = state_logs(1)
-    df, longest = frame(spark, logs), longest_of(blocks, logs)
+    df = frame(spark, logs)
     for n, initial in ((3, None), (2, "RED"), (1, None)):
-        out = states.hysteresis(df, ["machine"], min_consecutive=n, initial=initial, longest=longest)
+        out = states.hysteresis(df, ["machine"], min_consecutive=n, initial=initial)
         got = {}
         for r in out.orderBy("machine", "window_index").collect():
             got.setdefault(r.machine, []).append(r.smoothed_state)
         assert got == {m: loops.smooth_states(v, n, initial) for m, v in logs.items()}
-    runs = states.run_table(df, ["machine"], "window_index", "state", longest=longest).orderBy("machine", "run_id")
+    runs = states.run_table(df, ["machine"], "window_index", "state").orderBy("machine", "run_id")
     got = {}
     for r in runs.collect():
         assert r.run_id == len(got.setdefault(r.machine, []))
@@ -72,12 +68,11 @@ def test_scan_neighbours_numbers_and_intervals(spark, blocks):
     values = [rng.randint(0, 9) for _ in range(n)]
     df = spark.createDataFrame([("a", i, v, rng.random()) for i, v in enumerate(values)],
                                "machine string, row_idx bigint, v bigint, z double")
-    longest = n if blocks > 1000 else None
     out = carry_scan(df, ["machine"], "row_idx", sums={"s": F.col("v")},
-                     lasts={"big": F.when(F.col("v") > 8, F.col("row_idx"))}, longest=longest)
+                     lasts={"big": F.when(F.col("v") > 8, F.col("row_idx"))})
     out = over_neighbours(out, ["machine"], "row_idx",
                           lambda w: [{"p": F.lag("v", 3).over(w), "q": F.lead("v", 2).over(w)}],
-                          before=3, after=2, longest=longest).orderBy("row_idx").collect()
+                          before=3, after=2).orderBy("row_idx").collect()
     assert [r.s for r in out] == [sum(values[:i + 1]) for i in range(n)]
     assert [r.big for r in out] == [max((j for j in range(i + 1) if values[j] > 8), default=None) for i in range(n)]
     assert [r.p for r in out] == [None] * 3 + values[:-3]
