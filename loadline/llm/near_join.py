@@ -11,9 +11,8 @@
 4. *Suffix filter.* Cell counts bound the symmetric difference of two sets from below; pairs beyond what
    the threshold allows are gone.  The rest is verified once, on the exact sets, and linked.
 5. *Rest.* Links join documents into components.  Only members of different components in one list can
-   still add anything; long lists get further stars with new leaders, then all cross-component pairs pass the
-   length, positional (at their first common prefix shingle) and suffix filters and are
-   verified.  So every link between components is found, but no pairs within a group are listed.
+   still add anything; long lists get another star with new leaders, then all cross-component pairs that pass the
+   length and positional filters in the join, and the suffix filter, are verified.  So every link between components is found, but no pairs within a group are listed.
 
 Shingles are compared by 64-bit hashes.  Defined cases: null or empty text (or only white
 space) has an empty set and links with nothing; fewer than ``k`` words count as one shingle; rows with one
@@ -37,8 +36,8 @@ from loadline.plans.staging import stage
 BUCKET_BITS = 22
 BLOCK_BITS = 16
 CELLS = 64
-#: Lists of more components than this get another star instead of all their pairs.
-LONG_LIST = 30
+#: Stars before the cross-component pairs; from the second on for lists of more than LONG_LIST components.
+STARS, LONG_LIST = 2, 30
 #: Estimated frequency from which a list is not funnelled through one task to see if it is single.
 WIDE_LIST = 1 << 14
 
@@ -174,19 +173,11 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     lists = stage(counted.unionByName(tokens.filter(wide)), "lists")
     fits = (F.greatest("n", "n2") * num <= F.least("n", "n2") * den)
 
-    def pairs_of(found: DataFrame) -> DataFrame:
-        return found.filter(fits).select(
-            F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"),
-            F.when(F.col("rep") < F.col("rep2"), F.col("n")).otherwise(F.col("n2")).alias("na"),
-            F.when(F.col("rep") < F.col("rep2"), F.col("n2")).otherwise(F.col("n")).alias("nb"),
-            F.when(F.col("rep") < F.col("rep2"), F.col("pos")).otherwise(F.col("pos2")).alias("pa"),
-            F.when(F.col("rep") < F.col("rep2"), F.col("pos2")).otherwise(F.col("pos")).alias("pb"))
-
     def stars(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         lead = rows.groupBy(F.col("token").alias("t2")).agg(F.max(F.struct("first", (-F.col("rep")).alias("m"), "n", "pos")).alias("l"))
         lead = lead.select("t2", (-F.col("l.m")).alias("rep2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-        met = rows.join(lead, F.col("token") == F.col("t2"))
-        return pairs_of(met.filter("rep <> rep2")).select("a", "b").distinct(), lead
+        met = rows.join(lead, (F.col("token") == F.col("t2")) & (F.col("rep") != F.col("rep2")) & fits)
+        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), lead
 
     def link(pairs: DataFrame) -> DataFrame:
         return stage(verified(stage(suffix_filtered(pairs, reps, num, den), "pairs"), docs, k, num, den), "links")
@@ -202,22 +193,21 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     pairs, lead = stars(lists)
     links = link(pairs)
     rest = lists
-    while True:
+    for turn in range(STARS):
         comp = stage(components(links), "components")
         rest = open_lists(rest, comp)
         # a leader has met its whole list
         rest = stage(rest.join(lead.select("t2", "rep2"), (F.col("token") == F.col("t2")) & (F.col("rep") == F.col("rep2")), "left_anti"), "open-lists")
-        long = rest.filter(F.col("comps") > LONG_LIST)
-        if long.isEmpty():
+        if turn == STARS - 1 or (long := rest.filter(F.col("comps") > LONG_LIST)).isEmpty():
             break
         pairs, lead = stars(long)
         links = stage(links.union(link(pairs)), "links")
     left = rest.select("token", "rep", "n", "pos", "comp")
     right = left.select(F.col("token").alias("t2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-    met = left.join(right, (F.col("token") == F.col("t2")) & (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits)
-    first = pairs_of(met).groupBy("a", "b").agg(F.min(F.struct("pa", "pb")).alias("p"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    room = 1 + F.least(F.col("na") - F.col("p.pa") - 1, F.col("nb") - F.col("p.pb") - 1)
-    more = link(first.filter(room >= needed(F.col("na"), F.col("nb"), num, den)).select("a", "b"))
+    # at its first common token a pair can still share no more than what follows; at later ones it need not pass
+    room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= needed(F.col("n"), F.col("n2"), num, den)
+    met = left.join(right, (F.col("token") == F.col("t2")) & (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits & room)
+    more = link(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
     if not more.isEmpty():
         comp = stage(components(links.union(more)), "components")
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
