@@ -18,7 +18,17 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The white space of `[\x20\x09-\x0D]`.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Most entries of a worker's word cache; a full cache is emptied, results do not change.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+
+_caches: list[dict] = []
+
+
+def only_cache(mine: dict) -> None:
+    """A worker serves tasks of many stages: empty and forget the word caches of all others."""
+    for other in _caches:
+        if other is not mine:
+            other.clear()
+    _caches[:] = [mine]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS
+from loadline.llm.common import CACHE_WORDS, only_cache
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 20
@@ -67,6 +67,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((1 + N) / (1 + df)) of every bucket, over all documents."""
 
     def count(batches):
+        only_cache(_buckets.known)
         total, n = np.zeros(1 << BUCKET_BITS, np.uint32), 0
         for batch in batches:
             for text in batch.column("text"):
@@ -216,6 +217,7 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
     held = spark.sparkContext.broadcast((idf, place, vectors.astype(np.float32), latent, np.array([p[0] for p in passages]), full, answers, ids))
 
     def run(batches):
+        only_cache(_buckets.known)
         idf, place, vectors, latent, owner, full, answers, ids = held.value
         for batch in batches:
             out = []

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, WordHashes, byte_rows, mix, words_of
+from loadline.llm.common import CACHE_WORDS, WordHashes, byte_rows, mix, only_cache, words_of
 from loadline.plans.staging import stage
 
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -89,6 +89,7 @@ def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, kind, keys, counts): packed partial counts of each task; kind 0 words, 1 pairs."""
 
     def run(batches):
+        only_cache(_hashes.known)
         names = ["shard", "kind", "keys", "counts"]
 
         def out(kind, owner, keys, counts):
@@ -228,6 +229,7 @@ def score_pass(docs: DataFrame, group: list[tuple], shards: int, total: int, dis
 
     def run(batches):
         model = Group(held.value, shards)
+        only_cache(model.known)
         whole = math.log10(total + distinct + 1)
 
         def rows(words: list[list[bytes]]):

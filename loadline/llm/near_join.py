@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import WordHashes, byte_rows, components, shingles, words_of
+from loadline.llm.common import WordHashes, byte_rows, components, only_cache, shingles, words_of
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 22
@@ -53,6 +53,7 @@ def log_frequencies(docs: DataFrame, k: int) -> np.ndarray:
     blocks = 1 << (BUCKET_BITS - BLOCK_BITS)
 
     def count(batches):
+        only_cache(_hashes.known)
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
             held, size = [], 0
@@ -89,6 +90,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(log_frequencies(docs, k))
 
     def run(batches):
+        only_cache(_hashes.known)
         rank = levels.value
         for batch in batches:
             n, same, cells, prefix = [], [], [], []
@@ -138,6 +140,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def sets(batches):
+        only_cache(_hashes.known)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([text_set(x, k).tobytes() for x in byte_rows(batch.column("text"))], pa.binary())], ["id", "items"])

@@ -14,18 +14,22 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, prefix_sums
+from loadline.llm.common import LOWER, only_cache, prefix_sums
 from loadline.plans.staging import stage
 
 DIMS, BITS, HASHED = 4, 8, 256
 END_ID = 1
-MARK = "|"
+#: Most entries of a worker's token cache, about 200 bytes each.
+CACHE_PARTS = 600_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -61,54 +65,62 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: How the tokenizer splits lower-case text: contractions, runs of letters, single digits, runs of other signs.
+CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
+ASCII_PARTS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+PARTS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+
+
 class WordTokens:
-    """Token ids of a text as bytes, word by word.
+    """Token ids of a text as bytes, part by part.
 
-    The tokenizer drops white space and never joins two words, so a text's ids are its words'
-    ids in order; each word is tokenized once a worker.  New words are encoded together,
-    ``MARK`` between them; words with the mark or control characters are encoded alone.
+    The tokenizer splits text into parts (``PARTS``) and encodes each on its own, so a text's ids
+    are its parts' ids in order and each part is encoded once a worker.  New parts of letters are encoded together
+    and cut where a token ends a part.  Texts with special tokens, or whose letters the tokenizer rewrites before it
+    splits them, are encoded whole.
     """
 
-    def __init__(self, path: str, wide: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint32 if wide or self.tokenizer.get_vocab_size() > 1 << 16 else np.uint16
-        self.mark = self.encode(MARK)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint32 if size > 1 << 16 else np.uint16
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if w.isprintable() and MARK not in w and w and "<" not in w]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo:lo + 2000]
-            ids = np.array(self.encode(f" {MARK} ".join(part)), self.dtype)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(self.mark) != 1 or len(cuts) != len(part) - 1:
-                for w in part:
-                    self.known[w] = np.array(self.encode(w), self.dtype).tobytes()
-                continue
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            data, width = ids.tobytes(), ids.itemsize
-            for w, a, b in zip(part, starts, ends):
-                self.known[w] = data[a * width:b * width]
-        alone = [w for w in new if w not in self.known]
-        for w in alone:
-            self.known[w] = np.array(self.encode(w), self.dtype).tobytes()
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        known = self.known
+        if len(known) > CACHE_PARTS:
+            known.clear()
+        new = [p for p in set(parts) if p not in known]
+        known.update((p, self.alone(p)) for p in new if not p.isalpha())
+        new = [p for p in new if p.isalpha()]
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(new):
+            known.update((p, self.alone(p)) for p in new)
+            return
+        data, width = ids.tobytes(), ids.itemsize
+        known.update((p, data[x * width:y * width]) for p, x, y in zip(new, [0, *cuts], cuts))
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+        if "<|" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+            return np.frombuffer(self.alone(text), self.dtype)
+        low = text.encode().translate(LOWER).decode()
+        parts = (ASCII_PARTS if low.isascii() else PARTS).findall(low)
         try:
-            data = b"".join(map(self.known.__getitem__, words))
+            data = b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            self.learn(set(words))
-            data = b"".join(map(self.known.__getitem__, words))
+            self.learn(parts)
+            data = b"".join(map(self.known.__getitem__, parts))
         return np.frombuffer(data, self.dtype)
 
 
@@ -131,6 +143,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
     def run(batches):
         tokens, project = word_tokens(tokenizer_path), projection()
+        only_cache(tokens.known)
         for batch in batches:
             packed, counts, points = [], [], []
             for text in batch.column("text"):

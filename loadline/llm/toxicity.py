@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, with_fields
+from loadline.llm.common import CACHE_WORDS, only_cache, with_fields
 from loadline.plans.staging import stage
 
 HASH_BITS = 20
@@ -51,10 +51,11 @@ class Features:
     def __init__(self, chosen: np.ndarray | None = None) -> None:
         self.chosen = chosen
         self.known: dict[str, int] = {}
+        only_cache(self.known)
         self.sets: list[np.ndarray] = [np.zeros(0, np.int64)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > (CACHE_WORDS if self.chosen is not None else CACHE_WORDS // 4):
             self.known.clear()
             self.sets = self.sets[:1]
         for w in words:
