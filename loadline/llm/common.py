@@ -31,6 +31,17 @@ def only_cache(mine: dict) -> None:
     _caches[:] = [mine]
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Texts can be long: hand tasks at most 1000 of them at once, on both sides of the JVM.
+
+    Only lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > 1000:
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, only_cache
+from loadline.llm.common import CACHE_WORDS, lean_batches, only_cache
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 20
@@ -179,6 +179,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: in
                likely: float = 0.6, block_items: int = 5000) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer_found) of every document and item that it contains."""
     spark = docs.sparkSession
+    lean_batches(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select("item_id", "text", answer.alias("answer")).filter("item_id IS NOT NULL").groupBy("item_id").agg(
         F.min("text").alias("text"), F.min("answer").alias("answer"))

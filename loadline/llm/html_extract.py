@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import with_fields
+from loadline.llm.common import lean_batches, with_fields
 from loadline.plans.staging import stage
 
 TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][\w:-]*)((?>[^<>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>""")
@@ -294,6 +294,7 @@ def own_content(found: list[Slot]) -> list[str]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with the main text of their html as ``text``, html dropped."""
+    lean_batches(pages.sparkSession)
     pages = pages.drop("text")
     wrappers = infer_wrappers(pages).select(F.col("host").alias("_host"), F.col("content").alias("_content"))
     joined = pages.withColumn("_key", host()).join(wrappers, F.col("_key") == F.col("_host"), "left").drop("_key", "_host")

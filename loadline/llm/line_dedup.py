@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import LOWER, SPACE, byte_rows, with_fields
+from loadline.llm.common import LOWER, SPACE, byte_rows, lean_batches, with_fields
 from loadline.plans.staging import stage
 
 SLOTS = 4
@@ -277,5 +277,6 @@ def dedup(docs: DataFrame, state: LineState) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = 64) -> DataFrame:
     """Build the state of ``docs`` and dedup them."""
+    lean_batches(docs.sparkSession)
     state = insert(empty_state(docs.sparkSession, shards, min_docs, min_chars), docs)
     return dedup(docs, state)

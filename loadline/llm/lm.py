@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, WordHashes, byte_rows, mix, only_cache, words_of
+from loadline.llm.common import CACHE_WORDS, WordHashes, byte_rows, lean_batches, mix, only_cache, words_of
 from loadline.plans.staging import stage
 
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -118,7 +118,7 @@ def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
             for text in byte_rows(batch.column("text")):
                 held += [np.array([BEGIN], np.uint64), _hashes(words_of(text)), np.array([END], np.uint64)]
                 size += len(held[-2]) + 2
-                if size > 6_000_000:
+                if size > 2_500_000:
                     yield from flush(held)
                     held, size = [], 0
         if held:
@@ -152,24 +152,31 @@ def build_filter(partial: DataFrame) -> DataFrame:
         build, "shard int, words binary, counts binary, distinct long, total long, bits long, cells binary")
 
 
+def gathered(filters: DataFrame) -> tuple:
+    """Some shards as plain arrays: shard, bits, bytes, cells, and their words in order with counts."""
+    rows = filters.select("shard", "words", "counts", "bits", "cells").toArrow()  # within broadcast_mb
+
+    def joined(column: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(column))])
+
+    sizes = np.array([len(x.as_buffer()) for x in rows.column("cells")], np.int64)
+    words, counts = joined("words", np.uint64), joined("counts", np.int64)
+    order = np.argsort(words)
+    return (np.asarray(rows.column("shard")).astype(np.int64), np.asarray(rows.column("bits")).astype(np.uint64), sizes,
+            joined("cells", np.uint8), words[order], counts[order])
+
+
 class Group:
     """Some shards of the filter in a worker: probes and word lookups."""
 
-    def __init__(self, rows: list[tuple], shards: int) -> None:
+    def __init__(self, held: tuple, shards: int) -> None:
+        ids, bits, sizes, self.cells, self.words, self.counts = held
         self.shards = shards
         self.bits = np.zeros(shards, np.uint64)
         self.offset = np.zeros(shards, np.uint64)
         self.here = np.zeros(shards, bool)
-        at, cells = 0, []
-        for shard, _, _, bits, data in rows:
-            self.bits[shard], self.offset[shard], self.here[shard] = bits, at * 8, True
-            cells.append(np.frombuffer(data, np.uint8))
-            at += len(data)
-        self.cells = np.concatenate(cells) if cells else np.zeros(1, np.uint8)
-        words = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-        counts = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
+        self.bits[ids], self.here[ids] = bits, True
+        self.offset[ids] = 8 * (np.cumsum(sizes) - sizes)
         self.known: dict[bytes, int] = {}
         self.size = 0
         self.table = np.zeros((3, 1024))  # exact count, quantised count, in this group
@@ -223,7 +230,7 @@ class Group:
             return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
-def score_pass(docs: DataFrame, group: list[tuple], shards: int, total: int, distinct: int, starts: int, mu: float, opening: bool) -> DataFrame:
+def score_pass(docs: DataFrame, group: tuple, shards: int, total: int, distinct: int, starts: int, mu: float, opening: bool) -> DataFrame:
     """A group's part of every row's sums; starts: training texts, the count of the begin mark, which the opening pass adds."""
     held = docs.sparkSession.sparkContext.broadcast(group)
 
@@ -271,6 +278,7 @@ def score_pass(docs: DataFrame, group: list[tuple], shards: int, total: int, dis
 
 def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: int = 64, broadcast_mb: int = 192) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``, learnt from ``train``."""
+    lean_batches(docs.sparkSession)
     filters = stage(build_filter(count_ngrams(train, shards)), "lm-filter")
     sizes = filters.select("shard", (F.length("cells") + F.length("words") * 2).alias("size"), "distinct", "total").collect()  # a row a shard
     total, distinct = sum(r["total"] for r in sizes), sum(r["distinct"] for r in sizes)
@@ -286,10 +294,9 @@ def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: i
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     sums = None
     for i, shard_ids in enumerate(groups):
-        table = filters.filter(F.col("shard").isin(shard_ids)).select("shard", "words", "counts", "bits", "cells").toArrow()  # within broadcast_mb
-        group = list(zip(*(table.column(c).to_pylist() for c in table.column_names)))
+        group = gathered(filters.filter(F.col("shard").isin(shard_ids)))
         part = score_pass(rows, group, shards, total, distinct, starts, mu, i == 0)
-        del table, group
+        del group
         if len(groups) > 1:
             part = stage(part, "lm-pass")
         sums = part if sums is None else sums.union(part)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import WordHashes, byte_rows, components, only_cache, shingles, words_of
+from loadline.llm.common import WordHashes, byte_rows, components, lean_batches, only_cache, shingles, words_of
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 22
@@ -167,6 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
 
 def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row; links have den*inter >= num*union."""
+    lean_batches(docs.sparkSession)
     prof = profiles(docs, k, num, den)
     classes = stage(prof.filter("n > 0 AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stage(prof.join(classes.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & (F.col("doc_id") == F.col("rep")), "left_semi"), "reps")

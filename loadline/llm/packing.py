@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import LOWER, only_cache, prefix_sums
+from loadline.llm.common import LOWER, lean_batches, only_cache, prefix_sums
 from loadline.plans.staging import stage
 
 DIMS, BITS, HASHED = 4, 8, 256
@@ -165,6 +165,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), a row a piece."""
+    lean_batches(docs.sparkSession)
     rows = stage(tokenize(docs, tokenizer_path, end_id), "tokens")
     places = prefix_sums(rows.select("row", "doc_id", "n_tokens", "key"), ["key", "doc_id", "row"], "n_tokens", "place", name="curve")
     placed = rows.join(places.select(F.col("row").alias("_row"), "place"), F.col("row") == F.col("_row"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, only_cache, with_fields
+from loadline.llm.common import CACHE_WORDS, lean_batches, only_cache, with_fields
 from loadline.plans.staging import stage
 
 HASH_BITS = 20
@@ -119,6 +119,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 6000, unlabelled: int = 12000,
           features: int = 1024) -> Model | None:
     """A model from ``labels`` (doc_id, toxic), or None without positives; ``prior`` defaults to the share of toxic labels."""
+    lean_batches(docs.sparkSession)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = stage(known, "labels")
     n, hits = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("int"))).first()
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 up)."""
+    lean_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
