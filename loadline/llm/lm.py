@@ -152,18 +152,27 @@ def build_filter(partial: DataFrame) -> DataFrame:
         build, "shard int, words binary, counts binary, distinct long, total long, bits long, cells binary")
 
 
-def gathered(filters: DataFrame) -> tuple:
-    """Some shards as plain arrays: shard, bits, bytes, cells, and their words in order with counts."""
-    rows = filters.select("shard", "words", "counts", "bits", "cells").toArrow()  # within broadcast_mb
-
-    def joined(column: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(column))])
-
-    sizes = np.array([len(x.as_buffer()) for x in rows.column("cells")], np.int64)
-    words, counts = joined("words", np.uint64), joined("counts", np.int64)
+def gathered(filters: DataFrame, shards: list) -> tuple:
+    """Some shards as plain arrays: shard, bits, bytes, cells, and their words in order with counts.
+
+    ``shards`` are rows (shard, distinct, cells' bytes); eight are fetched at a time, into arrays of known size.
+    """
+    ids, bits, sizes = [], [], []
+    cells = np.empty(sum(r["cells"] for r in shards), np.uint8)
+    words, counts = (np.empty(sum(r["distinct"] for r in shards), kind) for kind in (np.uint64, np.int64))
+    at = here = 0
+    for lo in range(0, len(shards), 8):
+        some = [r["shard"] for r in shards[lo:lo + 8]]
+        rows = filters.filter(F.col("shard").isin(some)).select("shard", "words", "counts", "bits", "cells").toArrow()
+        for shard, own, n, m, data in zip(*(rows.column(c) for c in rows.column_names)):
+            data, own = np.frombuffer(data.as_buffer(), np.uint8), np.frombuffer(own.as_buffer(), np.uint64)
+            cells[at:at + len(data)] = data
+            words[here:here + len(own)] = own
+            counts[here:here + len(own)] = np.frombuffer(n.as_buffer(), np.int64)
+            ids.append(shard.as_py()), bits.append(m.as_py()), sizes.append(len(data))
+            at, here = at + len(data), here + len(own)
     order = np.argsort(words)
-    return (np.asarray(rows.column("shard")).astype(np.int64), np.asarray(rows.column("bits")).astype(np.uint64), sizes,
-            joined("cells", np.uint8), words[order], counts[order])
+    return np.array(ids, np.int64), np.array(bits, np.uint64), np.array(sizes, np.int64), cells, words[order], counts[order]
 
 
 class Group:
@@ -280,21 +289,22 @@ def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: i
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``, learnt from ``train``."""
     lean_batches(docs.sparkSession)
     filters = stage(build_filter(count_ngrams(train, shards)), "lm-filter")
-    sizes = filters.select("shard", (F.length("cells") + F.length("words") * 2).alias("size"), "distinct", "total").collect()  # a row a shard
+    sizes = filters.select("shard", F.length("cells").alias("cells"), "distinct", "total").collect()  # a row a shard
     total, distinct = sum(r["total"] for r in sizes), sum(r["distinct"] for r in sizes)
     starts = train.count()
-    groups: list[list[int]] = [[]]
+    groups: list[list] = [[]]
     room = broadcast_mb << 20
     for r in sorted(sizes, key=lambda r: r["shard"]):
-        if groups[-1] and room < r["size"]:
+        size = r["cells"] + 16 * r["distinct"]
+        if groups[-1] and room < size:
             groups.append([])
             room = broadcast_mb << 20
-        groups[-1].append(r["shard"])
-        room -= r["size"]
+        groups[-1].append(r)
+        room -= size
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     sums = None
-    for i, shard_ids in enumerate(groups):
-        group = gathered(filters.filter(F.col("shard").isin(shard_ids)))
+    for i, own in enumerate(groups):
+        group = gathered(filters, own)  # within broadcast_mb
         part = score_pass(rows, group, shards, total, distinct, starts, mu, i == 0)
         del group
         if len(groups) > 1:
