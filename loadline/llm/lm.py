@@ -40,7 +40,7 @@ END = xxhash.xxh3_64_intdigest(b" end")
 BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 WORD_BASE, PAIR_BASE = 1.1, 1.5
 BITS, PROBES = 10, 4
-CHUNK = 400_000
+CHUNK = 200_000
 
 _hashes = WordHashes()
 
@@ -118,7 +118,7 @@ def count_ngrams(docs: DataFrame, shards: int) -> DataFrame:
             for text in byte_rows(batch.column("text")):
                 held += [np.array([BEGIN], np.uint64), _hashes(words_of(text)), np.array([END], np.uint64)]
                 size += len(held[-2]) + 2
-                if size > 2_500_000:
+                if size > 1_200_000:
                     yield from flush(held)
                     held, size = [], 0
         if held:
