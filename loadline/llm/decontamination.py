@@ -148,6 +148,57 @@ def randomised_svd(passages: DataFrame, columns: int, rank: int, over: int = 16)
     return basis @ vector[:, lead[value[lead] > 1e-9]]
 
 
+def block_points(at: np.ndarray, weight: np.ndarray, wanted: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Latent sums of the wanted blocks of ``STRIDE`` words; rows of other blocks are zero.
+
+    ``at`` is a word's column, -1 for none.
+    """
+    blocks = len(wanted)
+    out = np.zeros((blocks, vectors.shape[1]), np.float32)
+    owner = np.arange(len(at)) // STRIDE
+    known = np.flatnonzero((at >= 0) & wanted[owner])
+    for lo in range(0, len(known), 4096):
+        some = known[lo:lo + 4096]
+        rows = vectors[at[some]] * weight[some, None]
+        own = owner[some]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] += np.add.reduceat(rows, first, axis=0)
+    return out
+
+
+def close_windows(at: np.ndarray, weight: np.ndarray, starts: np.ndarray, norm: np.ndarray, vectors: np.ndarray, latent: np.ndarray,
+                  window: int, cosine: float):
+    """(start, passage, cosine) of windows, in order, at least as close as ``cosine``; norm: their squared lengths.
+
+    A window's point is the sum of its blocks, so words are projected once.  Passages have unit length, hence
+    a point shorter than ``cosine`` of its window's length has no candidate and is not compared.
+    """
+    blocks = -(-len(at) // STRIDE)
+    per = -(-window // STRIDE)
+    even = (starts % STRIDE == 0) & (window % STRIDE == 0)
+    wanted = np.zeros(blocks + per, bool)
+    for i in range(per):
+        wanted[starts[even] // STRIDE + i] = True
+    sums = block_points(at, weight, wanted[:blocks], vectors)
+    for lo in range(0, len(starts), 512):
+        here, fits = starts[lo:lo + 512], even[lo:lo + 512]
+        points = np.zeros((len(here), vectors.shape[1]), np.float32)
+        first = here[fits] // STRIDE
+        for i in range(per):
+            inside = first + i < blocks
+            points[np.flatnonzero(fits)[inside]] += sums[first[inside] + i]
+        for j in np.flatnonzero(~fits):
+            part = slice(here[j], here[j] + window)
+            known = at[part] >= 0
+            points[j] = weight[part][known] @ vectors[at[part][known]]
+        length = norm[lo:lo + 512]
+        near = np.flatnonzero(np.einsum("ij,ij->i", points, points) >= (0.999 * cosine) ** 2 * length)
+        if len(near):
+            close = points[near] @ latent.T / np.sqrt(length[near])[:, None]
+            for j, p in zip(*np.nonzero(close >= cosine)):
+                yield int(here[near[j]]), p, float(close[j, p])
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
     where: dict[str, int] = {}
@@ -236,15 +287,11 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
                 norm = every[ends] - every[starts]
                 some = np.flatnonzero((inside[ends] - inside[starts] >= cosine * cosine * norm) & (norm > 0))
                 best: dict[int, tuple[float, int]] = {}
-                for j in some:
-                    s, e = starts[j], ends[j]
-                    known = at[s:e] >= 0
-                    point = weight[s:e][known].astype(np.float32) @ vectors[at[s:e][known]]
-                    close = latent @ point / np.sqrt(norm[j])
-                    for p in np.flatnonzero(close >= cosine):
+                if len(some):
+                    for s, p, c in close_windows(at, weight.astype(np.float32), starts[some], norm[some], vectors, latent, window, cosine):
                         i = int(owner[p])
-                        if close[p] > best.get(i, (0, 0))[0]:
-                            best[i] = (float(close[p]), int(s))
+                        if c > best.get(i, (0, 0))[0]:
+                            best[i] = (c, s)
                 for i, (c, s) in best.items():
                     share, there = confirm(full[i], answers[i], own, s, window)
                     if share >= sure or (share >= likely and there):
