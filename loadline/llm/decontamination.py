@@ -21,6 +21,7 @@ item_id are one item (the smallest text and answer); an empty table gives an emp
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -161,11 +162,16 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def confirm(item: list[str], answer: list[str], text: list[str], at: int, window: int) -> tuple[float, bool]:
-    """Best share of the item's words in order in a stretch near ``at``, and whether its answer is there."""
+def confirm(item: list[str], answer: list[str], text: list[str], at: int, window: int, least: float = 0.0) -> tuple[float, bool]:
+    """Best share of the item's words in order in a stretch near ``at``, and whether its answer is there.
+
+    Words in any order bound the share from above: where they are fewer than ``least``, it is given as 0.
+    """
     n = len(item)
     size = n + n // 4 + 2
     low, high = max(0, at - n), min(len(text), at + window + n)
+    if (Counter(item) & Counter(text[low:high])).total() / n < least:
+        return 0.0, False
     best, found = 0, False
     for s in range(low, max(low + 1, high - n + 1), max(1, n // 8)):
         part = text[s:min(s + size, high)]
@@ -246,7 +252,7 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
                         if close[p] > best.get(i, (0, 0))[0]:
                             best[i] = (float(close[p]), int(s))
                 for i, (c, s) in best.items():
-                    share, there = confirm(full[i], answers[i], own, s, window)
+                    share, there = confirm(full[i], answers[i], own, s, window, min(sure, likely))
                     if share >= sure or (share >= likely and there):
                         out.append((doc, ids[i], c, share, there))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "cosine", "lcs", "answer_found"), x)) for x in out],
