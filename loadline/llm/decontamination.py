@@ -4,9 +4,10 @@
 2. Benchmark items are cut into passages of ``window`` words; their TF-IDF rows form a sparse matrix A. A
    distributed randomised SVD gives its ``rank`` leading right singular vectors V: tasks sum
    A'(A G) for a Gaussian G and, for the orthonormal basis Q of that, (A Q)'(A Q).
-3. Every window of every document whose TF-IDF weight lies enough on benchmark words is projected on V and
-   compared with all passages; cosines from ``cosine`` up are candidates.  The weight on benchmark words
-   bounds the cosine from above, so windows left out can't be candidates.
+3. Every window of every document that can reach ``cosine`` is projected on V and compared with all passages;
+   cosines from ``cosine`` up are candidates.  A word adds at most its weight times its largest entry in
+   any passage's latent row (passages times V'); the sum of that over a window bounds its cosine
+   with every passage from above, so windows left out can't be candidates.
 4. A candidate is confirmed by the longest common subsequence of words with the item: at least ``sure`` of the
    item's words, or at least ``likely`` and most of the item's answer words.
 
@@ -72,7 +73,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         total, n = np.zeros(1 << BUCKET_BITS, np.uint32), 0
         for batch in batches:
             for text in batch.column("text"):
-                own = np.unique(_buckets(words(text.as_py())))
+                own = np.unique(_buckets(list(set(words(text.as_py())))))
                 total[own] += 1
                 n += 1
         if n:
@@ -216,16 +217,22 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
     vectors = randomised_svd(matrix, len(vocabulary), min(rank, len(sparse)))
     latent = np.stack([np.array(v) @ vectors[at] for at, v in sparse]).astype(np.float32)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    vectors = vectors.astype(np.float32)
+    most = np.zeros(len(vocabulary), np.float32)  # of a word to the cosine with any passage, for each unit of weight
+    for lo in range(0, len(latent), 128):
+        np.maximum(most, (latent[lo:lo + 128] @ vectors.T).max(0), out=most)
+    gain = np.zeros(1 << BUCKET_BITS, np.float32)
+    gain[vocabulary] = most * idf[vocabulary]
     place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     full = {i: own for i, own in texts}
     answers = {i: (words(rows[i]["answer"]) or own[-ANSWER_WORDS:]) for i, own in texts}
     ids = [r["item_id"] for r in rows]
-    held = spark.sparkContext.broadcast((idf, place, vectors.astype(np.float32), latent, np.array([p[0] for p in passages]), full, answers, ids))
+    held = spark.sparkContext.broadcast((idf, place, gain, vectors, latent, np.array([p[0] for p in passages]), full, answers, ids))
 
     def run(batches):
         only_cache(_buckets.known)
-        idf, place, vectors, latent, owner, full, answers, ids = held.value
+        idf, place, gain, vectors, latent, owner, full, answers, ids = held.value
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -238,9 +245,9 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
                 square = weight * weight
                 starts = starts_of(len(b), window, STRIDE)
                 ends = np.minimum(starts + window, len(b))
-                every, inside = np.r_[0, np.cumsum(square)], np.r_[0, np.cumsum(square * (at >= 0))]
+                every, reach = np.r_[0, np.cumsum(square)], np.r_[0, np.cumsum(gain[b], dtype=float)]
                 norm = every[ends] - every[starts]
-                some = np.flatnonzero((inside[ends] - inside[starts] >= cosine * cosine * norm) & (norm > 0))
+                some = np.flatnonzero((reach[ends] - reach[starts] >= (cosine - 1e-4) * np.sqrt(norm)) & (norm > 0))
                 best: dict[int, tuple[float, int]] = {}
                 for j in some:
                     s, e = starts[j], ends[j]
