@@ -30,19 +30,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, lean_batches, only_cache, with_fields
+from loadline.llm.common import CACHE_WORDS, lean_batches, mix, only_cache, with_fields
 from loadline.plans.staging import stage
 
 HASH_BITS = 20
 WORD = re.compile(r"[^\W_]+")
-
-
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its character n-grams."""
-    marked = f"^{word}$"
-    grams = {marked[i:i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)}
-    grams.add(f" {word}")
-    return sorted({xxhash.xxh3_64_intdigest(g) >> (64 - HASH_BITS) for g in grams})
+#: Words hashed at once.
+LEARN_WORDS = 20_000
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hashed feature) of every word: itself and its character n-grams, by rolling hashes over all words at once."""
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    number = np.arange(len(words), dtype=np.int32)
+    owner = np.repeat(number, sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters up to the word's end
+    shift = np.uint64(64 - HASH_BITS)
+    owners, found = [number], [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> shift]
+    rolling = chars
+    for n in range(2, min(6, len(chars)) + 1):
+        rolling = rolling[:-1] * np.uint64(0x100000001B3) + chars[n - 1:]
+        if n >= 3:
+            inside = left[:len(rolling)] >= n
+            owners.append(owner[:len(rolling)][inside])
+            found.append(mix(rolling[inside] + np.uint64(n << 56)) >> shift)
+    return np.concatenate(owners), np.concatenate(found).astype(np.int32)
 
 
 class Features:
@@ -52,23 +65,26 @@ class Features:
         self.chosen = chosen
         self.known: dict[str, int] = {}
         only_cache(self.known)
-        self.sets: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.sets: list[np.ndarray] = [np.zeros(0, np.int32)]
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > (CACHE_WORDS if self.chosen is not None else CACHE_WORDS // 4):
             self.known.clear()
             self.sets = self.sets[:1]
-        for w in words:
-            if w not in self.known:
-                own = np.array(word_features(w), np.int64)
-                if self.chosen is not None:
-                    own = self.chosen[own]
-                    own = own[own >= 0]
-                if len(own):
-                    self.known[w] = len(self.sets)
-                    self.sets.append(own)
-                else:
-                    self.known[w] = 0
+        new = [w for w in words if w not in self.known]
+        for lo in range(0, len(new), LEARN_WORDS):
+            part = new[lo:lo + LEARN_WORDS]
+            owner, found = word_features(part)
+            if self.chosen is not None:
+                found = self.chosen[found]
+                owner, found = owner[found >= 0], found[found >= 0]
+            order = np.argsort(owner, kind="stable")
+            owner, found = owner[order], found[order]
+            self.known.update(dict.fromkeys(part, 0))
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for i, own in zip(owner[np.r_[0, cuts]].tolist() if len(owner) else (), np.split(found, cuts)):
+                self.known[part[i]] = len(self.sets)
+                self.sets.append(own)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = set(WORD.findall(text.lower())) if text else set()
