@@ -8,11 +8,14 @@
    cosines from ``cosine`` up are candidates.  A word adds at most its weight times its largest entry in
    any passage's latent row (passages times V'); the sum of that over a window bounds its cosine
    with every passage from above, so windows left out can't be candidates.
+   A latent space is made for at most ``rank`` passages, so it holds each of them whole and a window's cosine with
+   a passage is the same however large the benchmark is; one pass over the documents searches many spaces.
 4. A candidate is confirmed by the longest common subsequence of words with the item: at least ``sure`` of the
    item's words, or at least ``likely`` and most of the item's answer words.
 
 Words are lower-cased runs of letters and digits.  The benchmark is the stated query set, taken in blocks of
-``block_items``; what is broadcast is bounded by the block.  The answer is the item's ``answer``
+``block_items``, and in passes of whole items whose latent spaces take about ``PASS_MB``; only an item that alone takes
+more makes a pass larger.  The answer is the item's ``answer``
 column, or its last ``ANSWER_WORDS`` words where there is none.
 
 Defined cases: null or wordless texts and items match nothing; repeated documents are each reported; items of one
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadline.llm.common import CACHE_WORDS, lean_batches, only_cache
@@ -37,6 +40,9 @@ from loadline.plans.staging import stage
 BUCKET_BITS = 20
 ANSWER_WORDS = 5
 STRIDE = 8
+PASS_MB = 128
+#: Most words times latent spaces whose bounds are summed at once.
+CELLS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -207,32 +213,77 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: in
     return found
 
 
+class Space:
+    """A latent space of some passages: columns of its words, vectors, passages' latent rows and items."""
+
+    def __init__(self, spark: SparkSession, passages: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: np.ndarray) -> None:
+        own = np.unique(np.concatenate([at for _, at, _ in passages]))
+        sparse = [(np.searchsorted(own, at), value) for _, at, value in passages]
+        matrix = spark.createDataFrame([(at.tolist(), value.tolist()) for at, value in sparse], "at array<int>, value array<double>")
+        vectors = randomised_svd(matrix.repartition(1), len(own), len(sparse))  # at most rank passages
+        latent = np.stack([value @ vectors[at] for at, value in sparse]).astype(np.float32)
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.vectors = vectors.astype(np.float32)
+        self.column = np.full(len(vocabulary) + 1, -1, np.int32)  # the last one stands for all other words
+        self.column[np.searchsorted(vocabulary, own)] = np.arange(len(own), dtype=np.int32)
+        self.owner = np.array([i for i, _, _ in passages])
+
+    def most(self) -> np.ndarray:
+        """What each word adds at most to a cosine with any passage, for each unit of weight."""
+        gain = np.zeros(len(self.column), np.float32)
+        gain[self.column >= 0] = np.maximum((self.latent @ self.vectors.T).max(0), 0)
+        return gain
+
+    def close(self, columns: np.ndarray, weight: np.ndarray, norm: float) -> np.ndarray:
+        """Cosine of a window with every passage."""
+        at = self.column[columns]
+        known = at >= 0
+        return self.latent @ (weight[known] @ self.vectors[at[known]]) / np.sqrt(norm)
+
+
+def in_passes(passages: list[tuple[int, np.ndarray, np.ndarray]], rank: int) -> list[list[list]]:
+    """Passages cut into passes of whole items, each a list of groups of at most ``rank`` passages."""
+    passes, groups, size = [], [], 0
+    seen: set[int] = set()
+    for i, passage in enumerate(passages):
+        if groups and size >= PASS_MB << 20 and passage[0] != passages[i - 1][0]:
+            passes.append(groups)
+            groups, size = [], 0
+        if not groups or len(groups[-1]) == rank:
+            groups.append([])
+            seen.clear()
+        groups[-1].append(passage)
+        before = len(seen)
+        seen.update(passage[1].tolist())
+        size += 4 * rank * (len(seen) - before)
+    return [*passes, groups]
+
+
 def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -> DataFrame:
+    found = None
+    for groups in in_passes(passage_rows(texts, idf, window), rank):
+        some = _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, shape)
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, shape) -> DataFrame:
     spark = docs.sparkSession
-    passages = passage_rows(texts, idf, window)
-    vocabulary = np.unique(np.concatenate([p[1] for p in passages]))
-    column = {b: i for i, b in enumerate(vocabulary.tolist())}
-    sparse = [([column[b] for b in at.tolist()], value.tolist()) for _, at, value in passages]
-    matrix = spark.createDataFrame(sparse, "at array<int>, value array<double>").repartition(max(1, len(sparse) // 2000))
-    vectors = randomised_svd(matrix, len(vocabulary), min(rank, len(sparse)))
-    latent = np.stack([np.array(v) @ vectors[at] for at, v in sparse]).astype(np.float32)
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    vectors = vectors.astype(np.float32)
-    most = np.zeros(len(vocabulary), np.float32)  # of a word to the cosine with any passage, for each unit of weight
-    for lo in range(0, len(latent), 128):
-        np.maximum(most, (latent[lo:lo + 128] @ vectors.T).max(0), out=most)
-    gain = np.zeros(1 << BUCKET_BITS, np.float32)
-    gain[vocabulary] = most * idf[vocabulary]
-    place = np.full(1 << BUCKET_BITS, -1, np.int32)
+    vocabulary = np.unique(np.concatenate([at for group in groups for _, at, _ in group]))
+    spaces = [Space(spark, group, vocabulary) for group in groups]
+    place = np.full(1 << BUCKET_BITS, len(vocabulary), np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-    full = {i: own for i, own in texts}
-    answers = {i: (words(rows[i]["answer"]) or own[-ANSWER_WORDS:]) for i, own in texts}
+    gain = np.stack([s.most() for s in spaces], 1)
+    gain[:-1] *= idf[vocabulary][:, None]
+    here = {i for s in spaces for i in s.owner.tolist()}
+    full = {i: own for i, own in texts if i in here}
+    answers = {i: (words(rows[i]["answer"]) or own[-ANSWER_WORDS:]) for i, own in full.items()}
     ids = [r["item_id"] for r in rows]
-    held = spark.sparkContext.broadcast((idf, place, gain, vectors, latent, np.array([p[0] for p in passages]), full, answers, ids))
+    held = spark.sparkContext.broadcast((idf, place, gain, spaces, full, answers, ids))
 
     def run(batches):
         only_cache(_buckets.known)
-        idf, place, gain, vectors, latent, owner, full, answers, ids = held.value
+        idf, place, gain, spaces, full, answers, ids = held.value
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -245,19 +296,24 @@ def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -
                 square = weight * weight
                 starts = starts_of(len(b), window, STRIDE)
                 ends = np.minimum(starts + window, len(b))
-                every, reach = np.r_[0, np.cumsum(square)], np.r_[0, np.cumsum(gain[b], dtype=float)]
+                every = np.r_[0, np.cumsum(square)]
                 norm = every[ends] - every[starts]
-                some = np.flatnonzero((reach[ends] - reach[starts] >= (cosine - 1e-4) * np.sqrt(norm)) & (norm > 0))
+                need = (cosine - 1e-4) * np.sqrt(norm)
+                weight = weight.astype(np.float32)
                 best: dict[int, tuple[float, int]] = {}
-                for j in some:
-                    s, e = starts[j], ends[j]
-                    known = at[s:e] >= 0
-                    point = weight[s:e][known].astype(np.float32) @ vectors[at[s:e][known]]
-                    close = latent @ point / np.sqrt(norm[j])
-                    for p in np.flatnonzero(close >= cosine):
-                        i = int(owner[p])
-                        if close[p] > best.get(i, (0, 0))[0]:
-                            best[i] = (float(close[p]), int(s))
+                step = max(1, CELLS // len(b))
+                for lo in range(0, len(spaces), step):
+                    reach = np.zeros((len(b) + 1, min(step, len(spaces) - lo)))
+                    np.cumsum(gain[at, lo:lo + step], axis=0, dtype=float, out=reach[1:])
+                    some = (reach[ends] - reach[starts] >= need[:, None]) & (norm > 0)[:, None]
+                    for j, k in zip(*np.nonzero(some)):
+                        s, e = starts[j], ends[j]
+                        space = spaces[lo + k]
+                        close = space.close(at[s:e], weight[s:e], norm[j])
+                        for p in np.flatnonzero(close >= cosine):
+                            i = int(space.owner[p])
+                            if close[p] > best.get(i, (0, 0))[0]:
+                                best[i] = (float(close[p]), int(s))
                 for i, (c, s) in best.items():
                     share, there = confirm(full[i], answers[i], own, s, window, min(sure, likely))
                     if share >= sure or (share >= likely and there):

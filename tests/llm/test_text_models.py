@@ -241,6 +241,27 @@ def test_leaks_and_paraphrases(spark):
     assert decontamination.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_a_benchmark_larger_than_the_rank(spark):
+    """80 passages at rank 16: copies and paraphrases are candidates, also of an item with more passages than the rank."""
+    rng = random.Random(12)
+    items = [(i, invented(rng, 45, 4000)) for i in range(39)] + [(39, invented(rng, 400, 4000))]
+    rows = [(i, invented(rng, 150, 4000)) for i in range(40)]
+    rows += [(100 + i, f"{invented(rng, 41, 4000)} {t} {invented(rng, 33, 4000)}") for i, t in items]
+    kept = [(i, " ".join(w for j, w in enumerate(t.split()) if j % 7 != 3)) for i, t in items]
+    rows += [(200 + i, f"{invented(rng, 30, 4000)} {t} {invented(rng, 35, 4000)}") for i, t in kept]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), rank=16)
+    want = [(at + i, i) for at in (100, 200) for i, _ in items]
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == want
+
+
+def test_leak_passes_hold_whole_items(monkeypatch):
+    monkeypatch.setattr(decontamination, "PASS_MB", 0)
+    passages = [(i, np.arange(3), np.ones(3)) for i in (0, 0, 0, 1, 2, 2)]
+    got = decontamination.in_passes(passages, 2)
+    assert [[[p[0] for p in g] for g in one] for one in got] == [[[0, 0], [0]], [[1]], [[2, 2]]]
+
+
 def test_randomised_svd_spans_the_leading_directions(spark):
     rng = np.random.default_rng(5)
     dense = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 30))
