@@ -10,8 +10,9 @@
    with every passage from above, so windows left out can't be candidates.
    A latent space is made for at most ``rank`` passages, so it holds each of them whole and a window's cosine with
    a passage is the same however large the benchmark is; one pass over the documents searches many spaces.
-4. A candidate is confirmed by the longest common subsequence of words with the item: at least ``sure`` of the
-   item's words, or at least ``likely`` and most of the item's answer words.
+4. Overlapping candidate windows of an item are one stretch.  Every stretch is confirmed by the longest common
+   subsequence of words with the item: at least ``sure`` of the item's words, or at least ``likely`` and most of
+   the item's answer words.  The best confirmed stretch of a document and item is reported.
 
 Words are lower-cased runs of letters and digits.  The benchmark is the stated query set, taken in blocks of
 ``block_items``, and in passes of whole items whose latent spaces take about ``PASS_MB``; only an item that alone takes
@@ -169,23 +170,44 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def confirm(item: list[str], answer: list[str], text: list[str], at: int, window: int, least: float = 0.0) -> tuple[float, bool]:
-    """Best share of the item's words in order in a stretch near ``at``, and whether its answer is there.
+def confirm(item: list[str], answer: list[str], text: list[str], first: int, last: int, sure: float, likely: float) -> tuple[float, bool] | None:
+    """Best confirmed share of the item's words in order near ``text[first:last]``, and whether the answer is there; None if there is none.
 
-    Words in any order bound the share from above: where they are fewer than ``least``, it is given as 0.
+    Words in any order bound the share from above, so parts with too few of them are passed over.
     """
     n = len(item)
     size = n + n // 4 + 2
-    low, high = max(0, at - n), min(len(text), at + window + n)
+    least = min(sure, likely)
+    low, high = max(0, first - n), min(len(text), last + n)
     if (Counter(item) & Counter(text[low:high])).total() / n < least:
-        return 0.0, False
-    best, found = 0, False
+        return None
+    known = set(item)
+    count = np.r_[0, np.cumsum([w in known for w in text[low:high]])]
+    best = None
     for s in range(low, max(low + 1, high - n + 1), max(1, n // 8)):
-        part = text[s:min(s + size, high)]
-        c = common_length(item, part)
-        if c > best:
-            best, found = c, 10 * common_length(answer, part) >= 6 * len(answer)
-    return best / n, found
+        e = min(s + size, high)
+        most = int(count[e - low] - count[s - low]) / n
+        if most < least or (best and most < best[0]):
+            continue
+        part = text[s:e]
+        share = common_length(item, part) / n
+        if share < least or (best and share < best[0]):
+            continue
+        there = 10 * common_length(answer, part) >= 6 * len(answer)
+        if share >= sure or (share >= likely and there):
+            best = max(best or (share, there), (share, there))
+    return best
+
+
+def stretches(windows: list[tuple[int, float]], window: int) -> list[tuple[int, int, float]]:
+    """(first, last, cosine) of overlapping or touching windows (start, cosine); the greatest cosine."""
+    out: list[tuple[int, int, float]] = []
+    for s, c in sorted(windows):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], s + window, max(out[-1][2], c))
+        else:
+            out.append((s, s + window, c))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: int = 256, cosine: float = 0.35, sure: float = 0.75,
@@ -300,7 +322,7 @@ def _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, s
                 norm = every[ends] - every[starts]
                 need = (cosine - 1e-4) * np.sqrt(norm)
                 weight = weight.astype(np.float32)
-                best: dict[int, tuple[float, int]] = {}
+                near: dict[int, dict[int, float]] = {}  # item -> start of a window -> cosine
                 step = max(1, CELLS // len(b))
                 for lo in range(0, len(spaces), step):
                     reach = np.zeros((len(b) + 1, min(step, len(spaces) - lo)))
@@ -311,12 +333,13 @@ def _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, s
                         space = spaces[lo + k]
                         close = space.close(at[s:e], weight[s:e], norm[j])
                         for p in np.flatnonzero(close >= cosine):
-                            i = int(space.owner[p])
-                            if close[p] > best.get(i, (0, 0))[0]:
-                                best[i] = (float(close[p]), int(s))
-                for i, (c, s) in best.items():
-                    share, there = confirm(full[i], answers[i], own, s, window, min(sure, likely))
-                    if share >= sure or (share >= likely and there):
+                            at_s = near.setdefault(int(space.owner[p]), {})
+                            at_s[int(s)] = max(at_s.get(int(s), 0.0), float(close[p]))
+                for i, windows in near.items():
+                    leaks = [(*leak, c) for first, last, c in stretches(list(windows.items()), window)
+                             if (leak := confirm(full[i], answers[i], own, first, last, sure, likely))]
+                    if leaks:
+                        share, there, c = max(leaks)
                         out.append((doc, ids[i], c, share, there))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "cosine", "lcs", "answer_found"), x)) for x in out],
                                              pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_found", pa.bool_())]))

@@ -255,6 +255,24 @@ def test_leaks_of_a_benchmark_larger_than_the_rank(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == want
 
 
+def test_leak_away_from_the_nearest_window(spark):
+    """An item's opening on a stride boundary is nearer than the whole item, or a paraphrase, off the stride far from it."""
+    rng = random.Random(13)
+    opening = invented(rng, 32, 4000)
+    items = [(i, f"{opening} {invented(rng, 28, 4000)}") for i in range(2)] + [(2 + i, invented(rng, 60, 4000)) for i in range(6)]
+    rows = [(i, invented(rng, 200, 4000)) for i in range(40)]
+    for i, t in items:
+        own = t.split()
+        quoted = f"{invented(rng, 64, 4000)} {' '.join(own[:32])} {invented(rng, 101, 4000)}"
+        rows.append((100 + i, quoted))
+        rows.append((200 + i, f"{quoted} {t} {invented(rng, 50, 4000)}"))
+        rows.append((300 + i, f"{quoted} {' '.join(w for j, w in enumerate(own) if j % 7 != 3)} {invented(rng, 50, 4000)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(at + i, i) for at in (200, 300) for i, _ in items]
+    assert all(r["lcs"] == 1.0 for r in found if r["doc_id"] < 300)
+
+
 def test_leak_passes_hold_whole_items(monkeypatch):
     monkeypatch.setattr(decontamination, "PASS_MB", 0)
     passages = [(i, np.arange(3), np.ones(3)) for i in (0, 0, 0, 1, 2, 2)]
