@@ -62,6 +62,11 @@ class Slot:
     def __init__(self, path: str, text: str, links: int, outside: bool) -> None:
         self.path, self.text, self.links, self.outside = path, text, links, outside
 
+    @property
+    def key(self) -> str:
+        """Identity in expressions and totals: the path, marked if outside (a path starts with a tag or is empty)."""
+        return "!" + self.path if self.outside else self.path
+
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """A path step, and whether it marks something outside the article."""
@@ -155,13 +160,13 @@ def slots(page: str | None) -> list[Slot]:
 
 
 def expression(found: list[Slot]) -> list[tuple[str, bool, bool]]:
-    """A page's own expression: (path, repeated, optional) with runs of one path folded."""
+    """A page's own expression: (key, repeated, optional) with runs of one key folded."""
     out: list[tuple[str, bool, bool]] = []
     for s in found:
-        if out and out[-1][0] == s.path:
-            out[-1] = (s.path, True, False)
+        if out and out[-1][0] == s.key:
+            out[-1] = (s.key, True, False)
         else:
-            out.append((s.path, False, False))
+            out.append((s.key, False, False))
     return fold(out)
 
 
@@ -202,8 +207,8 @@ def align(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]]) -> l
 
 
 def content_paths(wrapper: list[tuple[str, bool, bool]], stats: dict[str, tuple]) -> list[str]:
-    """Paths of the wrapper's content slots; stats: path -> (chars, link chars, pages, least and greatest text hash, outside)."""
-    inside = [p for p, _, _ in wrapper if p in stats and not stats[p][5]]
+    """Paths of the wrapper's content slots; stats: key -> (chars, link chars, pages, least and greatest text hash)."""
+    inside = [p for p, _, _ in wrapper if p in stats and not p.startswith("!")]
     fixed = {p for p in inside if stats[p][2] >= 3 and stats[p][3] == stats[p][4]}
     if 2 * len(fixed) < len(inside) or any(stats[p][3] != stats[p][4] and stats[p][0] > sum(stats[f][0] for f in fixed) for p in inside):
         inside = [p for p in inside if p not in fixed]
@@ -245,19 +250,19 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 per: dict[str, list] = {}
                 for s in found:
                     h = xxhash.xxh3_64_intdigest(s.text) >> 1
-                    x = per.setdefault(s.path, [0, 0, h, h, s.outside])
+                    x = per.setdefault(s.key, [0, 0, h, h])
                     x[0] += len(s.text)
                     x[1] += s.links
                     x[2], x[3] = min(x[2], h), max(x[3], h)
-                stats.append([{"path": p, "chars": x[0], "links": x[1], "low": x[2], "high": x[3], "outside": x[4]} for p, x in per.items()])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("outside", pa.bool_())]))
+                stats.append([{"key": k, "chars": x[0], "links": x[1], "low": x[2], "high": x[3]} for k, x in per.items()])
+            kind = pa.list_(pa.struct([("key", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(exprs), pa.array(stats, kind)], ["host", "expr", "stats"])
 
     parsed = stage(pages.select(host().alias("host"), "html").filter("host IS NOT NULL").mapInArrow(
-        read, "host string, expr string, stats array<struct<path:string,chars:long,links:long,low:long,high:long,outside:boolean>>"), "pages")
-    totals = parsed.select("host", F.explode("stats").alias("s")).groupBy("host", "s.path").agg(
+        read, "host string, expr string, stats array<struct<key:string,chars:long,links:long,low:long,high:long>>"), "pages")
+    totals = parsed.select("host", F.explode("stats").alias("s")).groupBy("host", "s.key").agg(
         F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.count(F.lit(1)).alias("pages"), F.min("s.low").alias("low"),
-        F.max("s.high").alias("high"), F.max("s.outside").alias("outside"))
+        F.max("s.high").alias("high"))
     distinct = parsed.groupBy("host", "expr").agg(F.count(F.lit(1)).alias("n"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +280,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def judge(wrapper: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
         if not len(wrapper):
             return pd.DataFrame({"host": [], "wrapper": [], "content": []})
-        by = {r.path: (r.chars, r.links, r.pages, r.low, r.high, r.outside) for r in stats.itertuples()}
+        by = {r.key: (r.chars, r.links, r.pages, r.low, r.high) for r in stats.itertuples()}
         expr = wrapper["expr"].iloc[0]
         return pd.DataFrame({"host": [wrapper["host"].iloc[0]], "wrapper": [expr], "content": [content_paths([tuple(x) for x in json.loads(expr)], by)]})
 
@@ -287,8 +292,8 @@ def own_content(found: list[Slot]) -> list[str]:
     """Content paths of a page without a host."""
     by: dict[str, tuple] = {}
     for s in found:
-        chars, links, *_ = by.get(s.path, (0, 0))
-        by[s.path] = (chars + len(s.text), links + s.links, 1, 0, 0, s.outside)
+        chars, links, *_ = by.get(s.key, (0, 0))
+        by[s.key] = (chars + len(s.text), links + s.links, 1, 0, 0)
     return content_paths(expression(found), by)
 
 
@@ -306,7 +311,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for page, content in zip(batch.column("html"), batch.column("_content").to_pylist()):
                 found = slots(page.as_py())
                 allowed = set(own_content(found) if content is None else content)
-                out.append("\n\n".join(s.text for s in found if s.path in allowed))
+                out.append("\n\n".join(s.text for s in found if not s.outside and s.path in allowed))
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in shape.names]
             yield pa.RecordBatch.from_arrays(columns, shape.names)
 

@@ -329,6 +329,15 @@ def test_html_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_outside_slot_leaves_its_path(spark):
+    """Hidden or marked elements go alone: plain ones of the same path stay, on their page and all others of the host."""
+    marked = ["<p hidden>no</p>", "<p style='display:none'>no</p>", "<p role='alert'>no</p>", "<p id='ad-3'>no</p>", "<p aria-hidden='true'>no</p>"]
+    rows = [(i, f"https://a.example/{i}", f"<body><article><h1>T {i}</h1><p>Text {i}.</p>{marked[i] if i < 5 else ''}<p>More {i}.</p></article></body>") for i in range(12)]
+    rows.append((50, None, f"<body><article><p>Text.</p>{''.join(marked)}</article></body>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i}\n\nText {i}.\n\nMore {i}." for i in range(12)} | {50: "Text."}
+
+
 def test_align_is_union_free():
     a = [("h", False, False), ("p", True, False)]
     b = [("h", False, False), ("n", False, False), ("p", False, False)]
