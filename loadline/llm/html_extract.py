@@ -6,8 +6,9 @@
    stays a repeated group.  There are no alternatives, so the result is union-free.  Equal expressions are merged first
    and the rest is aligned in salted groups, so a host with a third of all pages is no task of its own.
 3. A wrapper's slots are judged with the host's totals: slots in menus, headers, footers, sidebars, notices, adverts, forms
-   and comments are out; so are texts that never change on a host whose other slots do.  The content is what lies under
-   article or main, or else under the deepest element with most of the running text.
+   and comments are out.  The content is what lies under article or main, or else under the deepest element with most
+   of the running text; there, texts that never change on most of a host's distinct pages, while others do, are out.
+   Pages with the same slots are one page, so copies are no evidence.
 4. Every page is parsed along its host's wrapper and its content slots are joined.
 
 A slot's text has its character references decoded, runs of white space turned into one space, and no white space at its
@@ -206,18 +207,18 @@ def align(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]]) -> l
     return fold(out)
 
 
-def content_paths(wrapper: list[tuple[str, bool, bool]], stats: dict[str, tuple]) -> list[str]:
-    """Paths of the wrapper's content slots; stats: key -> (chars, link chars, pages, least and greatest text hash)."""
+def content_paths(wrapper: list[tuple[str, bool, bool]], stats: dict[str, tuple], distinct: int = 1) -> list[str]:
+    """Paths of the wrapper's content slots; stats: key -> (chars, link chars, pages, least and greatest text hash) over ``distinct`` pages."""
     inside = [p for p, _, _ in wrapper if p in stats and not p.startswith("!")]
-    fixed = {p for p in inside if stats[p][2] >= 3 and stats[p][3] == stats[p][4]}
-    if 2 * len(fixed) < len(inside) or any(stats[p][3] != stats[p][4] and stats[p][0] > sum(stats[f][0] for f in fixed) for p in inside):
-        inside = [p for p in inside if p not in fixed]
-    if not inside:
-        return []
     for tag in MAIN:
         under = [p for p in inside if any(s.split(".")[0] == tag for s in p.split("/"))]
         if under:
             return under
+    fixed = {p for p in inside if stats[p][2] >= 3 and 2 * stats[p][2] > distinct and stats[p][3] == stats[p][4]}
+    if 2 * len(fixed) < len(inside) or any(stats[p][3] != stats[p][4] and stats[p][0] > sum(stats[f][0] for f in fixed) for p in inside):
+        inside = [p for p in inside if p not in fixed]
+    if not inside:
+        return []
     mass: dict[str, int] = {}
     for p in inside:
         worth = max(0, stats[p][0] - 2 * stats[p][1])
@@ -243,10 +244,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            exprs, stats = [], []
+            exprs, stats, whole = [], [], []
             for page in batch.column("html"):
                 found = slots(page.as_py())
                 exprs.append(json.dumps(expression(found)))
+                whole.append(xxhash.xxh3_128_digest("\0".join(x for s in found for x in (s.key, s.text, str(s.links))).encode("utf-8", "surrogatepass")))
                 per: dict[str, list] = {}
                 for s in found:
                     h = xxhash.xxh3_64_intdigest(s.text) >> 1
@@ -256,10 +258,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     x[2], x[3] = min(x[2], h), max(x[3], h)
                 stats.append([{"key": k, "chars": x[0], "links": x[1], "low": x[2], "high": x[3]} for k, x in per.items()])
             kind = pa.list_(pa.struct([("key", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(exprs), pa.array(stats, kind)], ["host", "expr", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(exprs), pa.array(stats, kind), pa.array(whole, pa.binary())], ["host", "expr", "stats", "page"])
 
     parsed = stage(pages.select(host().alias("host"), "html").filter("host IS NOT NULL").mapInArrow(
-        read, "host string, expr string, stats array<struct<key:string,chars:long,links:long,low:long,high:long>>"), "pages")
+        read, "host string, expr string, stats array<struct<key:string,chars:long,links:long,low:long,high:long>>, page binary"), "pages")
+    parsed = parsed.dropDuplicates(["host", "page"])
     totals = parsed.select("host", F.explode("stats").alias("s")).groupBy("host", "s.key").agg(
         F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.count(F.lit(1)).alias("pages"), F.min("s.low").alias("low"),
         F.max("s.high").alias("high"))
@@ -282,7 +285,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             return pd.DataFrame({"host": [], "wrapper": [], "content": []})
         by = {r.key: (r.chars, r.links, r.pages, r.low, r.high) for r in stats.itertuples()}
         expr = wrapper["expr"].iloc[0]
-        return pd.DataFrame({"host": [wrapper["host"].iloc[0]], "wrapper": [expr], "content": [content_paths([tuple(x) for x in json.loads(expr)], by)]})
+        return pd.DataFrame({"host": [wrapper["host"].iloc[0]], "wrapper": [expr], "content": [content_paths([tuple(x) for x in json.loads(expr)], by, int(wrapper["n"].iloc[0]))]})
 
     return stage(wrappers.groupBy("host").cogroup(totals.groupBy("host")).applyInPandas(
         judge, "host string, wrapper string, content array<string>"), "wrappers")

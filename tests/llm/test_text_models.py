@@ -338,6 +338,19 @@ def test_html_outside_slot_leaves_its_path(spark):
     assert got == {i: f"T {i}\n\nText {i}.\n\nMore {i}." for i in range(12)} | {50: "Text."}
 
 
+def test_html_constant_slots(spark):
+    """Constant texts stay under article and on few or copied pages; elsewhere one on most distinct pages goes."""
+    rows = [(i, f"https://a.example/{i}", f"<body><article><h2>Summary</h2><p>Text {i}.</p></article></body>") for i in range(8)]
+    plain = "<body><div class='text'><p>Text {0} with many words in it.</p>{1}</div></body>"
+    rows += [(20 + i, f"https://b.example/{i}", plain.format(i, "<h4>Our motto</h4>")) for i in range(8)]
+    rows += [(40 + i, f"https://c.example/{i}", plain.format(i, "")) for i in range(4)]
+    rows += [(50 + i, f"https://c.example/c{i}", plain.format("copied", "<pre>code</pre>")) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Summary\n\nText {i}." for i in range(8)}
+    want |= {at + i: f"Text {i} with many words in it." for at, n in ((20, 8), (40, 4)) for i in range(n)}
+    assert got == want | {50 + i: "Text copied with many words in it.\n\ncode" for i in range(9)}
+
+
 def test_align_is_union_free():
     a = [("h", False, False), ("p", True, False)]
     b = [("h", False, False), ("n", False, False), ("p", False, False)]
