@@ -9,7 +9,8 @@
    and comments are out.  The content is what lies under article or main, or else under the deepest element with most
    of the running text; there, texts that never change on most of a host's distinct pages, while others do, are out.
    Pages with the same slots are one page, so copies are no evidence.
-4. Every page is parsed along its host's wrapper and its content slots are joined.
+4. Every page is parsed and its slots at the wrapper's content paths are joined.  Slots are told apart by path and
+   outside mark alone: the wrapper's order, repeats and optional marks are not used.
 
 A slot's text has its character references decoded, runs of white space turned into one space, and no white space at its
 ends; slots are joined by two line feeds.
