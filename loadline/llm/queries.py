@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadline.llm import (
-    chat, decontamination, html_extract, line_dedup, lm, near_join, packing, pivot_search, sharding, toxicity,
+    chat, decontamination, hard_negatives, html_extract, line_dedup, lm, near_join, packing, pivot_search, runs, sharding, simhash, toxicity,
 )
 from loadline.llm.common import crc_mod, table
 
@@ -89,6 +89,45 @@ def near_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, seed=42, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def hard_negative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"),
+        F.transform("embedding", lambda x: F.when(pivot_search.finite(x), F.floor(x.cast("double") * 256).cast("double"))).alias("vec"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """In documents with crc32(doc_id) % 10 = 0 the words from a on repeat the first p of them."""
+    space = "[\\x20\\x09-\\x0D]+"
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split("text", space), lambda w: w != "")
+    picked = (docs.withColumn("_w", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_w").cast("long"))
+              .withColumn("_a", F.when(F.col("_n") > 0, g % F.col("_n")))
+              .withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)).cast("long")))
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get(
+        "_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return picked.withColumn("text", F.when(F.col("_n") > 0, F.array_join(turned, " ")).otherwise(F.col("text"))).drop("_w", "_n", "_a", "_p")
+
+
+def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, min_length=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("n"), (-r.start).alias("s"), (-r.period).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
+        (-F.col("best.q")).alias("period"), F.floor(1000 * F.col("best.n") / -F.col("best.q")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op2_latent_decontamination": decontamination_query,
@@ -100,4 +139,7 @@ QUERIES = {
     "op8_html_wrappers": html_query,
     "op9_ngram_join": near_join_query,
     "op10_differencing_shards": sharding_query,
+    "op11_simhash_tiles": simhash_query,
+    "op12_gnat_negatives": hard_negative_query,
+    "op13_periodic_runs": runs_query,
 }
