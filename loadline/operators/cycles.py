@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadline.functions.columns import with_exprs
+from loadline.functions.display import job_name_table
 from loadline.plans.blocks import assign_intervals
 from loadline.plans.staging import small_table
+from loadline.profiles import PROFILES, with_profile
 
 KEYS = ["machine"]
 GREEN_FEATURES = ["log_duration", "mean_green", "max_green", "std_green", "green_fraction", "amber_fraction"]
@@ -97,6 +99,14 @@ def job_summary(cycles: DataFrame, load: str = "mean_iavg") -> DataFrame:
     return size.join(exact_median(cycles, keys, "duration_s", "median_duration"), keys)
 
 
+def named_jobs(jobs: DataFrame, profiles=PROFILES) -> DataFrame:
+    """Jobs with the name of their type, by the number of types: the profile's, or the number of cycles if less."""
+    sized = with_profile(jobs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "job_types", "extra_job_name", profiles=profiles)
+    kinds = with_exprs(sized, job_types="int(least(job_types, _n))").drop("_n")
+    return (jobs.join(small_table(kinds, "job-kinds"), KEYS)
+            .join(job_name_table(jobs.sparkSession), ["extra_job_name", "job_types", "job_type"], "left").drop("extra_job_name", "job_types"))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width bins between each key's minimum and maximum (empty bins are absent)."""
     ends = small_table(df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadline.functions.columns import with_exprs
@@ -83,19 +83,57 @@ def lookback(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int
     return reduce(DataFrame.unionByName, parts)
 
 
-def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Look-back samples of all splits and the train channel statistics.
+def lookback_moments(rows: DataFrame, keys: list[str], profiles=PROFILES, look_back: int | None = None) -> DataFrame:
+    """``look_mean`` and ``look_power``: mean and mean square of each channel over the last L rows.
 
-    Windows never cross a split.  Raises if a split is shorter than the look-back.
+    Differences of prefix sums inside blocks, so a row costs the same whatever L is and no array is built.  Rows
+    without L rows before them are left out.
     """
+    parts = []
+    for (default, channels), names in _by_shape(profiles).items():
+        length = look_back or default
+        names_of = channels.split(",")
+        mine = rows.filter(profile_of().isin(names))
+
+        def sums(w, length=length, names_of=names_of):
+            upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            running = {f"_{k}_{c}": F.sum(v).over(upto) for c in names_of for k, v in (("s", F.col(c)), ("q", F.col(c) * F.col(c)))}
+            first = F.col("_n") == length
+            before = {f"_b{x}": F.when(first, F.lit(0.0)).otherwise(F.lag(x, length).over(w)) for x in running}
+            return [running | {"_n": F.count(F.lit(1)).over(upto)}, before]
+
+        found = over_neighbours(mine, keys, "row_idx", sums, before=length).filter(F.col("_n") >= length)
+        arrays = {out: F.array(*[(F.col(f"_{k}_{c}") - F.col(f"_b_{k}_{c}")) / length for c in names_of])
+                  for out, k in (("look_mean", "s"), ("look_power", "q"))}
+        parts.append(found.withColumns(arrays).drop("_n", *[f"{p}_{k}_{c}" for p in ("", "_b") for k in "sq" for c in names_of]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def short_logs(stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> DataFrame:
+    """(machine, split, rows, look_back): splits with fewer rows than the look-back; their machine trains no model."""
     lengths = {p.profile: look_back or p.look_back for p in profiles}
     needed = F.create_map(*[F.lit(v) for pair in lengths.items() for v in pair])[profile_of()]
-    short = split_sizes(stats).filter(F.col("rows") < needed).limit(1).collect()
-    if short:
-        raise ValueError(f"{short[0].machine}: {short[0].split} has {short[0].rows} rows, fewer than the look-back")
-    split = temporal_split(labelled, stats)
+    return split_sizes(stats).withColumn("look_back", needed).filter(F.col("rows") < F.col("look_back"))
+
+
+def training_rows(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, statistics, left out): normalised labelled rows with their split, statistics of the train rows.
+
+    Machines with a split shorter than the look-back are left out and listed; all others go on.
+    """
+    short = small_table(short_logs(stats, profiles, look_back), "short-logs")
+    split = temporal_split(labelled, stats).join(short.select("machine").distinct(), "machine", "left_anti")
     means = norm_stats(split.filter("split = 'train'"))
-    samples = lookback(normalised(split, means), ["machine", "split"], profiles, look_back)
+    return normalised(split, means), means, short
+
+
+def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Look-back samples of all splits as arrays, and the train channel statistics.
+
+    Windows never cross a split.  Machines with a split shorter than the look-back are left out (``short_logs``).
+    """
+    rows, means, _ = training_rows(labelled, stats, profiles, look_back)
+    samples = lookback(rows, ["machine", "split"], profiles, look_back)
     targets = samples.select(
         "machine", "split", "row_idx", "x", F.col("state_label").alias("state"),
         F.coalesce("cycle_pos", F.lit(-1.0)).alias("cycle_pos"), "job_type")

@@ -35,16 +35,10 @@ def block_number(order: str, rows: int) -> Column:
     return F.expr(f"`{order}` div {rows}")
 
 
-def over_neighbours(
-    df: DataFrame, keys: list[str], order: str,
-    columns: Callable[[WindowSpec], list[dict[str, Column]]],
-    before: int = 1, after: int = 0, keep_block: bool = False,
-) -> DataFrame:
-    """Add window columns that look at most ``before`` rows back and ``after`` ahead.
+def sent_to_blocks(df: DataFrame, order: str, before: int = 0, after: int = 0) -> tuple[DataFrame, Column]:
+    """Rows with the block they are sent to, and the block they belong to.
 
-    ``columns`` gets the ordered window and returns one or more dicts of new columns,
-    applied in turn.  With ``keep_block`` the block column stays, and the result is still
-    hash partitioned by ``(keys, block)``.
+    The last ``before`` rows of a block also go to the next one, the first ``after`` rows to the one before.
     """
     rows = block_rows(df)
     if max(before, after) >= rows:
@@ -56,7 +50,21 @@ def over_neighbours(
     targets = (F.when(ends & starts, F.array(own, own + 1, own - 1))
                .when(ends, F.array(own, own + 1)).when(starts, F.array(own, own - 1))
                .otherwise(F.array(own)))
-    out = df.withColumn(BLOCK, F.explode(targets) if before or after else own)
+    return df.withColumn(BLOCK, F.explode(targets) if before or after else own), own
+
+
+def over_neighbours(
+    df: DataFrame, keys: list[str], order: str,
+    columns: Callable[[WindowSpec], list[dict[str, Column]]],
+    before: int = 1, after: int = 0, keep_block: bool = False,
+) -> DataFrame:
+    """Add window columns that look at most ``before`` rows back and ``after`` ahead.
+
+    ``columns`` gets the ordered window and returns one or more dicts of new columns,
+    applied in turn.  With ``keep_block`` the block column stays, and the result is still
+    hash partitioned by ``(keys, block)``.
+    """
+    out, own = sent_to_blocks(df, order, before, after)
     window = Window.partitionBy(*keys, BLOCK).orderBy(order)
     for step in columns(window):
         out = out.withColumns(step)

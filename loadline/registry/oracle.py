@@ -26,7 +26,8 @@ def _profile_rows() -> str:
               "valid_window_fraction", "red_max_rms", "red_max_variance", "green_min_rms", "green_min_thd",
               "green_min_variance", "green_min_imbalance", "intensity_cut", "dominant_factor",
               "dominant_confidence", "state_red", "state_amber", "state_green", "label_red_max",
-              "label_red_inclusive", "label_green_min", "label_min_run", "job_types", "extra_job_name", "look_back"]
+              "label_red_inclusive", "label_green_min", "label_min_run", "job_types", "job_features", "cycle_rule", "extra_job_name",
+              "look_back", "model_channels"]
 
     def lit(v):
         if v is None:
@@ -319,6 +320,66 @@ CTES |= {
 }
 
 
+def _draw(round_no: int) -> str:
+    """The integer draw of k-means++ in (0, 1)."""
+    base = f"((cycle_id * 7919 + start_no * 104729 + {round_no * 1299709 + 42}) % 1000003)"
+    return f"((({base} * {base} * {base} + start_no * 7919) % 1000003 + 1) / 1000004e0)"
+
+
+def _square(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: pow({a}[i] - {b}[i], 2)))"
+
+
+# K-means over lists: one row per machine and start, all points of the machine beside it.
+CTES |= {
+    "job_raw": f"""select k.machine, k.cycle_id, any_value(job_features) as job_features, any_value(cycle_rule) as cycle_rule, any_value(job_types) as job_types,
+      cast(count(*) as double) as duration_s, case when k.machine = 'furnace' then ln(1e0 + count(*)) else log10(count(*) + 1e0) end as log_duration,
+      avg(i_avg) as mean_iavg, stddev_pop(i_avg) as std_iavg, avg(i1) as mean_i1, avg((i2 + i3) / 2e0) as mean_i23,
+      coalesce(avg(i_avg) filter (s.value = 2), 0e0) as mean_green, coalesce(max(i_avg) filter (s.value = 2), 0e0) as max_green,
+      coalesce(stddev_pop(i_avg) filter (s.value = 2), 0e0) as std_green,
+      count(*) filter (s.value = 2) * 1e0 / count(*) as green_fraction, count(*) filter (s.value = 1) * 1e0 / count(*) as amber_fraction
+      from cycles k join readings r on r.machine = k.machine and r.row_idx between k.start_row and k.end_row
+      join smooth s on s.machine = r.machine and r.row_idx between s.start_row and s.end_row
+      join profiles p on p.profile = k.machine group by k.machine, k.cycle_id""",
+    "job_long": f"""select machine, cycle_id, cycle_rule, job_types, unnest(range(1, len(string_split(job_features, ',')) + 1)) as pos,
+      unnest(list_transform(string_split(job_features, ','), lambda f: case f {' '.join(f"when '{c}' then {c}" for c in ('log_duration', 'mean_iavg', 'std_iavg', 'mean_i1', 'mean_i23', 'mean_green', 'max_green', 'std_green', 'green_fraction', 'amber_fraction'))} end)) as v from job_raw""",
+    "job_z": """select machine, cycle_id, cycle_rule, pos, least(job_types, count(*) over (partition by machine, pos)) as k,
+      (v - avg(v) over (partition by machine, pos)) / case when stddev_pop(v) over (partition by machine, pos) < 1e-12 then 1e0
+        else stddev_pop(v) over (partition by machine, pos) end as z from job_long""",
+    "job_x": """select machine, cast(cycle_id as bigint) as cycle_id, cycle_rule, k, list(z order by pos) as x from job_z
+      group by machine, cycle_id, cycle_rule, k""",
+    "job_p": """select machine, max(k) as k, list(x order by cycle_id) as xs from job_x group by machine""",
+    "job_s": "select distinct machine, unnest(range(0, 10)) as start_no from job_x",
+}
+_centres = "cast([] as double[][])"
+CTES["seed0"] = f"select machine, start_no, {_centres} as cs from job_s"
+for _i in range(3):
+    CTES[f"draw{_i}"] = f"""select x.machine, c.start_no, cycle_id, x, cs, case when len(cs) = 0 then 1e0 when len(cs) >= k then 0e0
+        else list_min(list_transform(cs, lambda c: {_square('c', 'x')})) end as near, {_draw(_i)} as u
+      from job_x x join seed{_i} c on c.machine = x.machine"""
+    CTES[f"seed{_i + 1}"] = f"""select machine, start_no, case when count(*) filter (near > 0) = 0 then any_value(cs)
+        else list_append(any_value(cs), arg_min(x, (-ln(u) / near, cycle_id)) filter (near > 0)) end as cs from draw{_i} group by machine, start_no"""
+_near_all = f"list_transform(xs, lambda x: list_transform(cs, lambda c: {_square('c', 'x')}))"
+_labels = "list_transform(ds, lambda d: list_position(d, list_min(d)))"
+_mean = """list_transform(range(1, len(cs) + 1), lambda j: case when list_contains(ls, j)
+    then list_transform(range(1, len(cs[1]) + 1), lambda q: list_avg(list_transform(list_filter(list_zip(xs, ls), lambda m: m[2] = j), lambda m: m[1][q])))
+    else cs[j] end)"""
+CTES |= {
+    "lloyd": f"""select machine, start_no, xs, cs, cast('infinity' as double) as moved, 0 as step from seed3 join job_p using (machine)
+      union all
+      select machine, start_no, xs, after as cs, list_sum(list_transform(range(1, len(cs) + 1), lambda j: {_square('cs[j]', 'after[j]')})) as moved, step + 1 as step
+      from (select *, {_mean} as after from (select *, {_labels} as ls from (select *, {_near_all} as ds from lloyd where moved > 1e-4 and step < 300)))""",
+    "ended": """select * from (select *, max(step) over (partition by machine, start_no) as last_step from lloyd) where step = last_step""",
+    "judged": f"""select *, list_sum(list_transform(ds, lambda d: list_min(d))) as cost from (select *, {_near_all} as ds from ended)""",
+    "chosen": "select * from (select *, row_number() over (partition by machine order by round(cost, 9), start_no) as pick from judged) where pick = 1",
+    "clustered": f"""select x.machine, x.cycle_id, x.cycle_rule, x.x, list_position(ds, list_min(ds)) as cluster from (
+      select x.*, list_transform(cs, lambda c: {_square('c', 'x.x')}) as ds from job_x x join chosen c on c.machine = x.machine) x""",
+    "job_rank": """select machine, cluster, cast(row_number() over (partition by machine order by avg(case when cycle_rule = 'non_red' then x[2] else x[1] end), cluster) - 1 as int) as job_type
+      from clustered group by machine, cluster""",
+    "jobs": "select machine, cycle_id, job_type from clustered join job_rank using (machine, cluster)",
+}
+
+
 def sql(final: str, extra: dict[str, str] | None = None) -> str:
     """``final`` with the CTEs it needs, directly or through others."""
     ctes = CTES | (extra or {})
@@ -334,5 +395,5 @@ def sql(final: str, extra: dict[str, str] | None = None) -> str:
 
     visiting: set[str] = set()
     visit(final)
-    body = ",\n".join(f"{name} as {'' if name == 'walk' else 'materialized '}({ctes[name]})" for name in ordered)
+    body = ",\n".join(f"{name} as {'' if name in ('walk', 'lloyd') else 'materialized '}({ctes[name]})" for name in ordered)
     return f"with recursive {body}\n{final}" if ordered else final

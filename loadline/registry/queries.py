@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from loadline.operators import (
 from loadline.plans import state_analysis as analysis
 from loadline.plans.blocks import over_neighbours
 from loadline.plans.labelling import Labelling
-from loadline.plans.staging import new_path, stage
+from loadline.plans.staging import new_path, on_remove, stage
 from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, with_profile
 from loadline.registry.oracle import r, rs, rules, runs_sql, sql
 from loadline.sources import events, logs
@@ -303,13 +304,12 @@ def state_share(spark, sf):
     return rounded(classify.state_share(classify.sample_states(events.readings(spark, sf))))
 
 
-@query("job_names")
+@query("job_names", sql("""select machine, cycle_id, job_type, case k when 1 then 'Standard'
+    when 2 then ['Light Load', 'Heavy Load'][job_type + 1] else ['Light Load', 'Medium Load', 'Heavy Load'][job_type + 1] end as job_name
+  from jobs join profiles p on p.profile = machine join (select machine, least(any_value(job_types), count(*)) as k from job_raw group by machine) using (machine)"""))
 def job_names(spark, sf):
-    """Name of the job type of every cycle, by number of types and machine family."""
-    lab = _labelling(spark, sf)
-    wide = with_profile(lab.jobs, "job_types", "extra_job_name")
-    return wide.join(display.job_name_table(spark), ["extra_job_name", "job_types", "job_type"], "left").select(
-        "machine", "cycle_id", "job_type", "job_name")
+    """Name of the job type of every cycle, by the number of types that its machine has."""
+    return cycles.named_jobs(_labelling(spark, sf).jobs).select("machine", "cycle_id", "job_type", "job_name")
 
 
 # ---------------------------------------------------------------- windows
@@ -556,19 +556,23 @@ def duration_histogram(spark, sf):
     return rounded(cycles.histogram(_labelling(spark, sf).cycles, ["machine"], "duration_s", 40))
 
 
-@query("job_clusters")
+@query("job_clusters", sql("select machine, cycle_id, job_type from jobs"))
 def job_clusters(spark, sf):
     return _labelling(spark, sf).jobs
 
 
-@query("job_cluster_summary")
+@query("job_cluster_summary", sql(f"""select machine, job_type, count(*) as segments, {r('median(duration_s)', 'median_duration')},
+  {r("avg(case when machine = 'furnace' then mean_green else mean_iavg end)", 'mean_load')} from job_raw join jobs using (machine, cycle_id) group by machine, job_type"""))
 def job_cluster_summary(spark, sf):
     lab = _labelling(spark, sf)
     load = lab.features.withColumn("load", F.coalesce("mean_iavg", "mean_green"))
     return rounded(cycles.job_summary(load.join(lab.jobs, ["machine", "cycle_id"]), "load"))
 
 
-@query("labelled_readings")
+@query("labelled_readings", sql(f"""select l.machine, l.row_idx, ts as timestamp, {rs('i1', 'i2', 'i3', 'i_avg', 'frequency')}, state_label, l.cycle_id,
+  {r('cycle_pos')}, coalesce(j.job_type, -1) as job_type from labelled l
+  left join cycles k on k.machine = l.machine and l.row_idx between k.start_row and k.end_row
+  left join jobs j on j.machine = k.machine and j.cycle_id = k.cycle_id"""))
 def labelled_readings(spark, sf):
     return rounded(_labelling(spark, sf).samples)
 
@@ -636,6 +640,22 @@ def lookback_windows(spark, sf):
         F.expr("element_at(x[cast(size(x) div 2 as int)], 1)").alias("middle_i1")))
 
 
+@query("lookback_moments", sql(f"""select machine, split, row_idx, {r('m_first', 'mean_first')}, {r('m_last', 'mean_last')}, {r('p_first', 'power_first')}, {r('p_last', 'power_last')} from (
+  select *, count(*) over w as have, avg(z_i1) over w as m_first, avg(z_i_avg) over w as m_last, avg(z_i1 * z_i1) over w as p_first, avg(z_i_avg * z_i_avg) over w as p_last
+  from normed join profiles p on p.profile = machine where look_back = 120 window w as (partition by machine, split order by row_idx rows between 119 preceding and current row)
+  union all select *, count(*) over w, avg(z_i1) over w, avg(z_i_avg) over w, avg(z_i1 * z_i1) over w, avg(z_i_avg * z_i_avg) over w
+  from normed join profiles p on p.profile = machine where look_back = 30 window w as (partition by machine, split order by row_idx rows between 29 preceding and current row))
+  where have = look_back""", _LOOK))
+def lookback_moments(spark, sf):
+    """Mean and mean square of every channel over the look-back, from prefix sums."""
+    rows, stats = _stats(spark, sf)
+    split = lookback.temporal_split(rows, stats)
+    normed = lookback.normalised(split, lookback.norm_stats(split.filter("split = 'train'")))
+    out = lookback.lookback_moments(normed, ["machine", "split"])
+    return rounded(out.select("machine", "split", "row_idx", F.expr("look_mean[0]").alias("mean_first"), F.element_at("look_mean", -1).alias("mean_last"),
+                              F.expr("look_power[0]").alias("power_first"), F.element_at("look_power", -1).alias("power_last")))
+
+
 def _predictions(spark, sf) -> DataFrame:
     """Labels of five rows before in place of a model; none for the first L - 1 rows."""
     lab = _labelling(spark, sf)
@@ -739,35 +759,103 @@ def confidence_histogram(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-def _trained(spark, sf, profile=ROBO):
-    """Models of one machine kind, on labels of its whole log."""
-    mine = events.readings(spark, sf).filter(F.col("machine") == profile.profile)
-    lab = Labelling(mine, (profile,))
-    labelled = stage(lab.samples, "labelled")
-    samples, norm = lookback.training_sets(labelled, lab.stats, (profile,))
-    return models.train(samples, norm, profile.look_back, grid=(0.001, 0.1), iterations=20), labelled, lab
+_models: dict[tuple, tuple] = {}
+on_remove(_models.clear)
+
+
+def _trained(spark, sf):
+    """Models of every machine kind with the default candidates, on labels of the whole logs."""
+    key = (spark.sparkContext.applicationId, sf, spark.conf.get("spark.loadline.blockRows", ""))
+    if key not in _models:
+        lab = _labelling(spark, sf)
+        labelled = stage(lab.samples, "labelled")
+        trained = models.train(labelled, lab.stats)
+        path = new_path(spark, "models")
+        models.save_models(trained, path)
+        _models[key] = models.load_models(spark, path), trained.left_out, labelled, lab.stats
+    return _models[key]
 
 
 @query("ml_training_history")
 def ml_training_history(spark, sf):
-    trained, _, _ = _trained(spark, sf)
-    return rounded(trained.history)
+    """Train and validation metrics of every candidate of every machine kind."""
+    return rounded(_trained(spark, sf)[0].history)
+
+
+_KINDS = {"trainable": """select s.machine, s.n, p.look_back from stats s join profiles p on p.profile = s.machine
+  where least(floor(n * 7e-1), floor(n * (7e-1 + 15e-2)) - floor(n * 7e-1), n - floor(n * (7e-1 + 15e-2))) >= look_back"""}
+
+
+@query("ml_candidates", sql("""select machine as profile, 3 as candidates, 1 as chosen, true as falls, true as finite from trainable""", _KINDS))
+def ml_candidates(spark, sf):
+    """Candidates per machine kind; the one with least validation loss is the model, and all beat the loss of no information."""
+    trained, _, _, _ = _trained(spark, sf)
+    regs = spark.createDataFrame([(k, m.reg) for k, m in trained.kinds.items()], "profile string, reg double")
+    seen = trained.history.join(regs, "profile")
+    return seen.groupBy("profile").agg(
+        F.count("*").cast("int").alias("candidates"),
+        F.count_if((F.col("reg_param") == F.col("reg"))).cast("int").alias("chosen"),
+        F.bool_and(F.col("train_loss") < 2.5).alias("falls"),
+        F.bool_and(~F.isnan("val_loss") & (F.col("val_loss") < float("inf"))).alias("finite"))
 
 
 @query("ml_predictions")
 def ml_predictions(spark, sf):
-    trained, labelled, lab = _trained(spark, sf)
-    path = new_path(spark, "models")
-    models.save_models(trained, path)
-    return rounded(models.predict(labelled, models.load_models(spark, path), (ROBO,)))
+    """Predictions of saved and reloaded models for every reading of every machine."""
+    trained, _, labelled, _ = _trained(spark, sf)
+    return rounded(models.predict(labelled, trained))
+
+
+@query("ml_prediction_check", sql("""select s.machine, s.n as rows, case when t.machine is null then 0 else s.n - p.look_back + 1 end as predicted,
+    true as first_unpredicted, true as in_range, true as named, t.machine is not null as beats_majority
+  from stats s join profiles p on p.profile = s.machine left join trainable t on t.machine = s.machine""", _KINDS))
+def ml_prediction_check(spark, sf):
+    """Rows with a prediction, ranges and names, and whether the states beat the largest class."""
+    trained, _, labelled, _ = _trained(spark, sf)
+    out = with_profile(models.predict(labelled, trained), "look_back")
+    some = F.col("ml_state") >= 0
+    full = F.col("row_idx") >= F.col("look_back") - 1
+    shown = F.col("ml_state_name").isin("RED", "AMBER", "GREEN") & (F.col("ml_job_name") != "–")
+    counted = out.groupBy("machine").agg(
+        F.count("*").alias("rows"), F.count_if(some).alias("predicted"),
+        F.bool_and(full | ~some).alias("first_unpredicted"),
+        F.bool_and(F.when(some, F.col("ml_cycle_pos").between(0, 1) & F.col("ml_state_conf").between(1 / 3 - 1e-9, 1)).otherwise(
+            F.col("ml_cycle_pos").isNull() & (F.col("ml_job_type") == -1))).alias("in_range"),
+        F.bool_and(F.when(some, shown).otherwise(F.col("ml_state_name") == "–")).alias("named"),
+        F.count_if(some & (F.col("ml_state") == F.col("state_label"))).alias("_hits"),
+        *[F.count_if(some & (F.col("state_label") == c)).alias(f"_n{c}") for c in range(3)])
+    return counted.withColumn("beats_majority", F.col("_hits") > F.greatest("_n0", "_n1", "_n2")).drop("_hits", "_n0", "_n1", "_n2")
+
+
+@query("ml_range", sql("""select machine, row_idx, row_idx >= look_back - 1 and t.machine is not null as predicted, true as same
+  from readings r join profiles p on p.profile = r.machine left join (select machine as m, machine from trainable) t on t.m = r.machine
+  where row_idx >= 100 and row_idx < 400""".replace("select machine, row_idx,", "select r.machine, row_idx,"), _KINDS))
+def ml_range(spark, sf):
+    """A range predicted from itself and the look-back rows before it, next to the predictions on whole logs."""
+    trained, _, labelled, _ = _trained(spark, sf)
+    part = models.predict_range(labelled, trained, 100, 400)
+    whole = models.predict(labelled, trained).select("machine", "row_idx", F.struct("ml_state", "ml_job_type", F.round("ml_cycle_pos", 9)).alias("_whole"))
+    return part.join(whole, ["machine", "row_idx"]).select(
+        "machine", "row_idx", (F.col("ml_state") >= 0).alias("predicted"),
+        F.struct("ml_state", "ml_job_type", F.round("ml_cycle_pos", 9)).eqNullSafe(F.col("_whole")).alias("same"))
 
 
 @query("ml_evaluation")
 def ml_evaluation(spark, sf):
-    """Metrics on the last 15 % of the log."""
-    trained, labelled, lab = _trained(spark, sf)
-    last = lookback.last_rows(labelled, lab.stats)
-    return rounded(metrics.evaluation(models.predict(last, trained, (ROBO,))))
+    """Metrics on the last 15 % of every log."""
+    trained, _, labelled, stats = _trained(spark, sf)
+    return rounded(metrics.evaluation(models.predict(lookback.last_rows(labelled, stats), trained)))
+
+
+@query("short_logs", sql("""select s.machine, split, rows, p.look_back from (
+    select machine, unnest(['train', 'val', 'test']) as split,
+      unnest([floor(n * 7e-1), floor(n * (7e-1 + 15e-2)) - floor(n * 7e-1), n - floor(n * (7e-1 + 15e-2))])::bigint as rows from stats) s
+  join profiles p on p.profile = s.machine where rows < p.look_back * 4""".replace("p.look_back from", "p.look_back * 4 as look_back from")))
+def short_logs(spark, sf):
+    """Splits that are shorter than a look-back of four times the default."""
+    _, stats = _stats(spark, sf)
+    wide = tuple(replace(p, look_back=4 * p.look_back) for p in PROFILES)
+    return lookback.short_logs(stats, wide)
 
 
 # ---------------------------------------------------------------- streams
