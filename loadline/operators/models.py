@@ -233,7 +233,8 @@ def inverse(gram: np.ndarray, reg: float) -> np.ndarray:
     """Inverse of gram + reg, the constant without penalty; a tiny ridge keeps dependent columns apart."""
     ridge = np.full(len(gram), max(reg, 1e-8 * np.trace(gram) / len(gram)) + 1e-12)
     ridge[-1] = 1e-10
-    return np.linalg.inv(gram + np.diag(ridge))
+    value, vector = np.linalg.eigh(gram + np.diag(ridge))
+    return (vector / np.maximum(value, 1e-12)) @ vector.T
 
 
 @dataclass
@@ -382,9 +383,8 @@ def _applied(readings: DataFrame, norm: DataFrame, lengths: dict[str, tuple[int,
 
     Blocks of rows with the rows before them, so a long log is many tasks; all columns pass through untouched.
     """
-    spark = readings.sparkSession
-    size = block_rows(readings)
-    names = [c for c in ("i1", "i2", "i3", "i_avg")]
+    size, columns = block_rows(readings), readings.columns
+    names = ("i1", "i2", "i3", "i_avg")
     scaled = normalised(readings.withColumns({f"_raw_{c}": F.col(c) for c in names}), norm)
     # machines without statistics have no model; they come back without predictions
     sent, _ = sent_to_blocks(scaled, "row_idx", before=max([n for n, _ in lengths.values()] or [1]) - 1)
@@ -408,7 +408,7 @@ def _applied(readings: DataFrame, norm: DataFrame, lengths: dict[str, tuple[int,
             for at, got in score(profile, x):
                 for name in values:
                     values[name][skip + at.start:skip + at.stop] = got[name]
-        out = {c: own.column(f"_raw_{c}" if c in names else c) for c in readings.columns}
+        out = {c: own.column(f"_raw_{c}" if c in names else c) for c in columns}
         masked = values["ml_state"] < 0
         out |= {n: pa.array(v, mask=masked) for n, v in values.items()}
         return pa.table(out)
