@@ -1,22 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of all words over all documents, in ``BUCKETS`` hashed counters (4 MB).
-2. Benchmark items are cut into passages of ``window`` words; their TF-IDF rows form a sparse matrix A. A
-   distributed randomised SVD gives its ``rank`` leading right singular vectors V: tasks sum
-   A'(A G) for a Gaussian G and, for the orthonormal basis Q of that, (A Q)'(A Q).
-3. Every window of every document that can reach ``cosine`` is projected on V and compared with all passages;
-   cosines from ``cosine`` up are candidates.  A word adds at most its weight times its largest entry in
-   any passage's latent row (passages times V'); the sum of that over a window bounds its cosine
-   with every passage from above, so windows left out can't be candidates.
-   A latent space is made for at most ``rank`` passages, so it holds each of them whole and a window's cosine with
-   a passage is the same however large the benchmark is; one pass over the documents searches many spaces.
+1. Document frequencies of all words over all documents, in 2^``BUCKET_BITS`` hashed counters (4 MB).
+2. Benchmark items are cut into passages of ``window`` words; their TF-IDF rows are written as a table, whole items dealt to
+   spaces of about ``SPACE_PASSAGES`` passages.  For each space a distributed randomised SVD with power iterations gives its
+   leading right singular vectors V, ``rank`` of them, at most a ``TRUNCATION``-th of the passages.
+3. Every window of every document is compared with all passages in the latent space.  The space keeps a share of a passage,
+   |V'a|^2 of 1, that differs between passages and falls as the benchmark grows; the score of a window w and a passage a is
+   (V'a . V'w) / (|V'a|^2 |w|), so a verbatim copy scores 1 whatever was cut off.  Scores from ``cosine`` up are candidates.
+   A word adds at most its weight times its largest entry in any scaled row of ``NEIGHBOURS`` passages; the sum of that over
+   a window bounds its score with these passages from above, so windows left out can't be candidates.  The rest is projected
+   and compared by one matrix product for many windows.
 4. Overlapping candidate windows of an item are one stretch.  Every stretch is confirmed by the longest common
    subsequence of words with the item: at least ``sure`` of the item's words, or at least ``likely`` and most of
    the item's answer words.  The best confirmed stretch of a document and item is reported.
 
 Words are lower-cased runs of letters and digits.  The benchmark is the stated query set, taken in blocks of
-``block_items``, and in passes of whole items whose latent spaces take about ``PASS_MB``; only an item that alone takes
-more makes a pass larger.  The answer is the item's ``answer``
+``block_items``, and in passes of spaces that take about ``PASS_MB``.  The answer is the item's ``answer``
 column, or its last ``ANSWER_WORDS`` words where there is none.
 
 Defined cases: null or wordless texts and items match nothing; repeated documents are each reported; items of one
@@ -25,63 +24,90 @@ item_id are one item (the smallest text and answer); an empty table gives an emp
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, lean_batches, only_cache
+from loadline.llm.common import byte_rows, lean_batches, mix, only_cache
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 20
 ANSWER_WORDS = 5
 STRIDE = 8
 PASS_MB = 128
-#: Most words times latent spaces whose bounds are summed at once.
-CELLS = 1_000_000
-WORD = re.compile(r"[^\W_]+")
-
-
-class Buckets:
-    """Hashed bucket of each word, remembered per worker."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = xxhash.xxh3_64_intdigest(w) >> (64 - BUCKET_BITS)
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-
-_buckets = Buckets()
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+SPACE_PASSAGES, TRUNCATION = 768, 2
+#: Passages whose words' bounds are taken together.
+NEIGHBOURS = 32
+#: Most words times latent spaces whose bounds are summed at once, and windows compared at once.
+CELLS, WINDOWS = 1_000_000, 2048
+#: A-Z to a-z; ASCII signs to a space; bytes of other characters unchanged.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Base of the rolling hash and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 16
+
+
+def plain(text: str | bytes | None) -> bytes:
+    """Lower-cased words of a text between spaces: only bytes of letters and digits, and spaces."""
+    if not text:
+        return b""
+    data = text.encode() if isinstance(text, str) else text
+    if not data.isascii():
+        low = data.decode().lower()
+        for c in set(low):
+            if c > "\x7f" and not c.isalnum():
+                low = low.replace(c, " ")
+        data = low.encode()
+    return data.translate(PLAIN)
+
+
+def words(text: str | bytes | None) -> list[str]:
+    return [w.decode() for w in plain(text).split()]
+
+
+_powers = np.cumprod(np.full(HASH_BYTES, BASE, np.uint64))
+_inverses = np.cumprod(np.full(HASH_BYTES, INVERSE, np.uint64))
+
+
+def buckets(text: str | bytes | None) -> np.ndarray:
+    """Hashed bucket of every word, in order, by a rolling hash over all bytes at once."""
+    data = plain(text)
+    found = []
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + HASH_BYTES)
+        if end < len(data):  # cut between words; a longer word is cut into pieces
+            space = data.rfind(b" ", at, end)
+            end = space if space > at else end
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        inside = part != 32
+        change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            change = np.concatenate([[0], change])
+        if inside[-1]:
+            change = np.concatenate([change, [len(part)]])
+        starts, stops = change[::2], change[1::2]
+        rolling = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _powers[:len(part)], dtype=np.uint64)])
+        found.append(mix((rolling[stops] - rolling[starts]) * _inverses[starts]))
+        at = end
+    return (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((1 + N) / (1 + df)) of every bucket, over all documents."""
 
     def count(batches):
-        only_cache(_buckets.known)
+        only_cache({})
         total, n = np.zeros(1 << BUCKET_BITS, np.uint32), 0
         for batch in batches:
-            for text in batch.column("text"):
-                own = np.unique(_buckets(list(set(words(text.as_py())))))
-                total[own] += 1
+            for text in byte_rows(batch.column("text")):
+                total[buckets(text)] += 1  # once a bucket, however often it is named
                 n += 1
         if n:
             parts = total.reshape(16, -1)
@@ -108,51 +134,58 @@ def starts_of(n: int, window: int, stride: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - window + 1, stride), n - window))
 
 
-def passage_rows(items: list[tuple[int, list[str]]], idf: np.ndarray, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(item number, buckets, unit TF-IDF weights) of every passage."""
+def passage_rows(text: str | None, idf: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, unit TF-IDF weights) of every passage of an item."""
     out = []
-    for i, own in items:
-        b = _buckets(own)
-        for s in starts_of(len(b), window, window // 2) if len(b) else ():
-            at, tf = np.unique(b[s:s + window], return_counts=True)
-            value = tf * idf[at]
-            out.append((i, at, value / (np.linalg.norm(value) or 1.0)))
+    b = buckets(text)
+    for s in starts_of(len(b), window, window // 2) if len(b) else ():
+        at, tf = np.unique(b[s:s + window], return_counts=True)
+        value = tf * idf[at].astype(np.float64)
+        out.append((at, value / (np.linalg.norm(value) or 1.0)))
     return out
 
 
-def randomised_svd(passages: DataFrame, columns: int, rank: int, over: int = 16) -> np.ndarray:
-    """Leading right singular vectors (columns, rank) of sparse rows (at array<int>, value array<double>)."""
-    width = rank + over
+def randomised_svd(passages: DataFrame, columns: int, rank: int, over: int = 16, turns: int = 2, own: np.ndarray | None = None) -> np.ndarray:
+    """Leading right singular vectors (columns, rank) of sparse rows A (at array<int>, value array<double>).
 
-    def sketch(batches):
-        test = np.random.default_rng(3).standard_normal((columns, width))
-        total = np.zeros((columns, width))
-        for batch in batches:
-            for at, value in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist()):
-                v = np.array(value)
-                total[at] += v[:, None] * (v @ test[at])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+    Tasks sum A'(A G) for a Gaussian G, and again for the orthonormal basis of that (``turns`` power iterations).
+    ``own`` names the column of each sorted entry of ``at``, if these are no column numbers.
+    """
+    width = min(rank + over, columns)
+    place = (lambda at: np.searchsorted(own, at)) if own is not None else np.asarray
+
+    def spread(basis):
+        def run(batches):
+            start = basis if basis is not None else np.random.default_rng(3).standard_normal((columns, width))
+            total = np.zeros((columns, start.shape[1]))
+            for batch in batches:
+                for at, value in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist()):
+                    at, v = place(at), np.array(value)
+                    total[at] += v[:, None] * (v @ start[at])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        return run
 
     def gram(basis):
         def run(batches):
-            total = np.zeros((width, width))
+            total = np.zeros((basis.shape[1], basis.shape[1]))
             for batch in batches:
                 for at, value in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist()):
-                    y = np.array(value) @ basis[at]
+                    y = np.array(value) @ basis[place(at)]
                     total += np.outer(y, y)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
         return run
 
-    def summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    def summed(parts: DataFrame, rows: int) -> np.ndarray:
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"part": [sum(np.frombuffer(x) for x in rows["part"]).tobytes()]})
 
-        some = parts.groupBy(F.spark_partition_id() % 8).applyInPandas(add, "part binary").collect()  # 8 partial sums
-        return sum((np.frombuffer(r[0]) for r in some), np.zeros(shape[0] * shape[1])).reshape(shape)
+        some = parts.groupBy(F.spark_partition_id() % 2).applyInPandas(add, "part binary").collect()  # 2 partial sums
+        return sum(np.frombuffer(r[0]) for r in some).reshape(rows, -1)
 
-    basis, _ = np.linalg.qr(summed(passages.mapInArrow(sketch, "part binary"), (columns, width)))
-    width = basis.shape[1]
-    value, vector = np.linalg.eigh(summed(passages.mapInArrow(gram(basis), "part binary"), (width, width)))
+    basis = None
+    for _ in range(1 + turns):
+        basis, _ = np.linalg.qr(summed(passages.mapInArrow(spread(basis), "part binary"), columns))
+    value, vector = np.linalg.eigh(summed(passages.mapInArrow(gram(basis), "part binary"), basis.shape[1]))
     lead = np.argsort(-value)[:rank]
     return basis @ vector[:, lead[value[lead] > 1e-9]]
 
@@ -210,7 +243,7 @@ def stretches(windows: list[tuple[int, float]], window: int) -> list[tuple[int,
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: int = 256, cosine: float = 0.35, sure: float = 0.75,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: int = 256, cosine: float = 0.4, sure: float = 0.75,
                likely: float = 0.6, block_items: int = 5000) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer_found) of every document and item that it contains."""
     spark = docs.sparkSession
@@ -227,122 +260,154 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 32, rank: in
     idf = inverse_frequencies(docs)
     blocks = -(-n_items // block_items)
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()  # about block_items
-        texts = [(i, own) for i, r in enumerate(rows) if (own := words(r["text"]))]
-        if not texts:
-            continue
-        found = found.union(_search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape))
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)  # about block_items
+        full = {r["item_id"]: (own, words(r["answer"]) or own[-ANSWER_WORDS:]) for r in part.collect() if (own := words(r["text"]))}
+        for spaces in in_passes(latent_spaces(part, idf, window, rank)):
+            found = found.union(_search(docs, spaces, full, idf, window, cosine, sure, likely, shape))
     return found
 
 
 class Space:
-    """A latent space of some passages: columns of its words, vectors, passages' latent rows and items."""
-
-    def __init__(self, spark: SparkSession, passages: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: np.ndarray) -> None:
-        own = np.unique(np.concatenate([at for _, at, _ in passages]))
-        sparse = [(np.searchsorted(own, at), value) for _, at, value in passages]
-        matrix = spark.createDataFrame([(at.tolist(), value.tolist()) for at, value in sparse], "at array<int>, value array<double>")
-        vectors = randomised_svd(matrix.repartition(1), len(own), len(sparse))  # at most rank passages
-        latent = np.stack([value @ vectors[at] for at, value in sparse]).astype(np.float32)
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        self.vectors = vectors.astype(np.float32)
-        self.column = np.full(len(vocabulary) + 1, -1, np.int32)  # the last one stands for all other words
-        self.column[np.searchsorted(vocabulary, own)] = np.arange(len(own), dtype=np.int32)
-        self.owner = np.array([i for i, _, _ in passages])
+    """A latent space: its words' buckets, their right singular vectors, the passages' scaled latent rows and items."""
+
+    def __init__(self, own: np.ndarray, vectors: np.ndarray, items: list[int], latent: np.ndarray) -> None:
+        self.own, self.vectors, self.items = own, vectors.astype(np.float32), items
+        kept = (latent ** 2).sum(1, keepdims=True)  # of 1
+        self.latent = (latent / np.maximum(kept, 1e-6)).astype(np.float32)
 
     def most(self) -> np.ndarray:
-        """What each word adds at most to a cosine with any passage, for each unit of weight."""
-        gain = np.zeros(len(self.column), np.float32)
-        gain[self.column >= 0] = np.maximum((self.latent @ self.vectors.T).max(0), 0)
-        return gain
-
-    def close(self, columns: np.ndarray, weight: np.ndarray, norm: float) -> np.ndarray:
-        """Cosine of a window with every passage."""
-        at = self.column[columns]
-        known = at >= 0
-        return self.latent @ (weight[known] @ self.vectors[at[known]]) / np.sqrt(norm)
-
-
-def in_passes(passages: list[tuple[int, np.ndarray, np.ndarray]], rank: int) -> list[list[list]]:
-    """Passages cut into passes of whole items, each a list of groups of at most ``rank`` passages."""
-    passes, groups, size = [], [], 0
-    seen: set[int] = set()
-    for i, passage in enumerate(passages):
-        if groups and size >= PASS_MB << 20 and passage[0] != passages[i - 1][0]:
-            passes.append(groups)
-            groups, size = [], 0
-        if not groups or len(groups[-1]) == rank:
-            groups.append([])
-            seen.clear()
-        groups[-1].append(passage)
-        before = len(seen)
-        seen.update(passage[1].tolist())
-        size += 4 * rank * (len(seen) - before)
-    return [*passes, groups]
-
-
-def _search(docs, rows, texts, idf, window, rank, cosine, sure, likely, shape) -> DataFrame:
-    found = None
-    for groups in in_passes(passage_rows(texts, idf, window), rank):
-        some = _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, shape)
-        found = some if found is None else found.union(some)
-    return found
+        """What each word adds at most to a score with any of ``NEIGHBOURS`` passages, for each unit of weight; a column a group."""
+        starts = np.arange(0, len(self.items), NEIGHBOURS)
+        out = np.zeros((len(self.own), len(starts)), np.float32)
+        for lo in range(0, len(self.own), 4096):
+            out[lo:lo + 4096] = np.maximum(np.maximum.reduceat(self.vectors[lo:lo + 4096] @ self.latent.T, starts, axis=1), 0)
+        return out
+
 
+def latent_spaces(items: DataFrame, idf: np.ndarray, window: int, rank: int) -> list[Space]:
+    """Spaces of about ``SPACE_PASSAGES`` passages of whole items."""
+    held = items.sparkSession.sparkContext.broadcast(idf)
 
-def _search_pass(docs, rows, texts, groups, idf, window, cosine, sure, likely, shape) -> DataFrame:
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, *p) for i, text in zip(batch.column("item_id").to_pylist(), byte_rows(batch.column("text"))) for p in passage_rows(text, held.value, window)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+                                              pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["item_id", "at", "value"])
+
+    passages = stage(items.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, at array<int>, value array<double>"), "passages")
+    n = passages.count()
+    spaces = []
+    count = -(-n // SPACE_PASSAGES)
+    dealt = F.pmod(F.xxhash64("item_id"), F.lit(max(1, count)))
+    for number in range(count):
+        part = passages.filter(dealt == number)
+        own = np.sort(np.array([r[0] for r in part.select(F.explode("at")).distinct().collect()], np.int64))  # words of a space
+        size = part.count()
+        if not size:
+            continue
+        vectors = randomised_svd(part, len(own), min(rank, max(1, -(-size // TRUNCATION))), own=own)
+
+        def project(batches, own=own, vectors=vectors):
+            for batch in batches:
+                rows = [(np.array(v) @ vectors[np.searchsorted(own, at)]).astype(np.float64).tobytes()
+                        for at, v in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(rows, pa.binary())], ["item_id", "row"])
+
+        got = part.select("item_id", "at", "value").mapInArrow(project, "item_id long, row binary").collect()  # rank numbers a passage
+        got.sort(key=lambda r: r[0])  # passages of one item are neighbours
+        spaces.append(Space(own, vectors, [r[0] for r in got], np.stack([np.frombuffer(r[1]) for r in got])))
+    return spaces
+
+
+def in_passes(spaces: list[Space]) -> list[list[Space]]:
+    """Spaces in groups of about ``PASS_MB``; only a single space can take more."""
+    passes: list[list[Space]] = []
+    size = 0
+    for space in spaces:
+        own = space.vectors.nbytes + space.latent.nbytes
+        if not passes or size + own > PASS_MB * (1 << 20):
+            passes.append([])
+            size = 0
+        passes[-1].append(space)
+        size += own
+    return passes
+
+
+def _search(docs, spaces, full, idf, window, cosine, sure, likely, shape) -> DataFrame:
     spark = docs.sparkSession
-    vocabulary = np.unique(np.concatenate([at for group in groups for _, at, _ in group]))
-    spaces = [Space(spark, group, vocabulary) for group in groups]
-    place = np.full(1 << BUCKET_BITS, len(vocabulary), np.int32)
+    vocabulary = np.unique(np.concatenate([s.own for s in spaces]))
+    place = np.full(1 << BUCKET_BITS, len(vocabulary), np.int32)  # the last place stands for all other words
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-    gain = np.stack([s.most() for s in spaces], 1)
-    gain[:-1] *= idf[vocabulary][:, None]
-    here = {i for s in spaces for i in s.owner.tolist()}
-    full = {i: own for i, own in texts if i in here}
-    answers = {i: (words(rows[i]["answer"]) or own[-ANSWER_WORDS:]) for i, own in full.items()}
-    ids = [r["item_id"] for r in rows]
-    held = spark.sparkContext.broadcast((idf, place, gain, spaces, full, answers, ids))
+    bounds = [s.most() * idf[s.own][:, None] for s in spaces]
+    group_of = np.repeat(np.arange(len(spaces)), [b.shape[1] for b in bounds])  # the space of each group of passages
+    gain = np.zeros((len(vocabulary) + 1, len(group_of)), np.float32)
+    column = np.full((len(spaces), len(vocabulary) + 1), -1, np.int32)
+    for k, s in enumerate(spaces):
+        at = np.searchsorted(vocabulary, s.own)
+        gain[np.ix_(at, np.flatnonzero(group_of == k))] = bounds[k]
+        column[k, at] = np.arange(len(s.own), dtype=np.int32)
+    here = {i for s in spaces for i in s.items}
+    held = spark.sparkContext.broadcast((idf, place, gain, group_of, column, spaces, {i: x for i, x in full.items() if i in here}))
 
     def run(batches):
-        only_cache(_buckets.known)
-        idf, place, gain, spaces, full, answers, ids = held.value
+        only_cache({})
+        idf, place, gain, group_of, column, spaces, full = held.value
+        kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_found", pa.bool_())])
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = words(text.as_py())
-                if not own:
+            texts = list(byte_rows(batch.column("text")))
+            near: dict[int, dict[int, dict[int, float]]] = {}  # text -> item -> start of a window -> score
+            waiting: list[list] = [[] for _ in spaces]
+
+            def compare(k: int) -> None:
+                if not waiting[k]:
+                    return
+                close = np.stack([z for _, _, z in waiting[k]]) @ spaces[k].latent.T
+                for w, p in zip(*np.nonzero(close >= cosine)):
+                    row, start, _ = waiting[k][w]
+                    at = near.setdefault(row, {}).setdefault(spaces[k].items[p], {})
+                    at[start] = max(at.get(start, 0.0), float(close[w, p]))
+                waiting[k].clear()
+
+            for row, text in enumerate(texts):
+                b = buckets(text)
+                if not len(b):
                     continue
-                b = _buckets(own)
                 weight = idf[b].astype(np.float64)
                 at = place[b]
-                square = weight * weight
                 starts = starts_of(len(b), window, STRIDE)
                 ends = np.minimum(starts + window, len(b))
-                every = np.r_[0, np.cumsum(square)]
-                norm = every[ends] - every[starts]
-                need = (cosine - 1e-4) * np.sqrt(norm)
+                every = np.r_[0, np.cumsum(weight * weight)]
+                norm = np.sqrt(every[ends] - every[starts])
+                need = (cosine - 1e-4) * norm
                 weight = weight.astype(np.float32)
-                near: dict[int, dict[int, float]] = {}  # item -> start of a window -> cosine
                 step = max(1, CELLS // len(b))
-                for lo in range(0, len(spaces), step):
-                    reach = np.zeros((len(b) + 1, min(step, len(spaces) - lo)))
+                near_space = np.zeros((len(starts), len(spaces)), bool)
+                for lo in range(0, len(group_of), step):
+                    reach = np.zeros((len(b) + 1, min(step, len(group_of) - lo)))
                     np.cumsum(gain[at, lo:lo + step], axis=0, dtype=float, out=reach[1:])
-                    some = (reach[ends] - reach[starts] >= need[:, None]) & (norm > 0)[:, None]
-                    for j, k in zip(*np.nonzero(some)):
-                        s, e = starts[j], ends[j]
-                        space = spaces[lo + k]
-                        close = space.close(at[s:e], weight[s:e], norm[j])
-                        for p in np.flatnonzero(close >= cosine):
-                            at_s = near.setdefault(int(space.owner[p]), {})
-                            at_s[int(s)] = max(at_s.get(int(s), 0.0), float(close[p]))
-                for i, windows in near.items():
+                    j, g = np.nonzero((reach[ends] - reach[starts] >= need[:, None]) & (norm > 0)[:, None])
+                    near_space[j, group_of[lo + g]] = True
+                for j, k in zip(*np.nonzero(near_space)):
+                    s, e = starts[j], ends[j]
+                    c = column[k, at[s:e]]
+                    known = c >= 0
+                    waiting[k].append((row, int(s), weight[s:e][known] @ spaces[k].vectors[c[known]] / np.float32(norm[j])))
+                    if len(waiting[k]) == WINDOWS:
+                        compare(k)
+            for k in range(len(spaces)):
+                compare(k)
+            out = []
+            ids = batch.column("doc_id").to_pylist()
+            for row, by_item in near.items():
+                own = words(texts[row])
+                for i, windows in by_item.items():
+                    item, answer = full[i]
                     leaks = [(*leak, c) for first, last, c in stretches(list(windows.items()), window)
-                             if (leak := confirm(full[i], answers[i], own, first, last, sure, likely))]
+                             if (leak := confirm(item, answer, own, first, last, sure, likely))]
                     if leaks:
                         share, there, c = max(leaks)
-                        out.append((doc, ids[i], c, share, there))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "cosine", "lcs", "answer_found"), x)) for x in out],
-                                             pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_found", pa.bool_())]))
+                        out.append({"doc_id": ids[row], "item_id": i, "cosine": c, "lcs": share, "answer_found": there})
+            yield pa.RecordBatch.from_pylist(out, kind)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
 
