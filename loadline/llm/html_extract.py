@@ -1,22 +1,29 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
-1. Each page becomes a stream of text slots, each with the path of its block elements.  Slots of one path in a row fold
-   to a repeated group: the page's own expression.
-2. Expressions of one host are aligned pairwise: slots found in both stay, others become optional, a repeat in either
-   stays a repeated group.  There are no alternatives, so the result is union-free.  Equal expressions are merged first
-   and the rest is aligned in salted groups, so a host with a third of all pages is no task of its own.
-3. A wrapper's slots are judged with the host's totals: slots in menus, headers, footers, sidebars, notices, adverts, forms
-   and comments are out.  The content is what lies under article or main, or else under the deepest element with most
-   of the running text; there, texts that never change on most of a host's distinct pages, while others do, are out.
-   Pages with the same slots are one page, so copies are no evidence.
-4. Every page is parsed and its slots at the wrapper's content paths are joined.  Slots are told apart by path and
-   outside mark alone: the wrapper's order, repeats and optional marks are not used.
+1. *Stream.* Each page becomes a stream of text slots.  Slots of one section (the nearest div, section, article, ... above them)
+   in a row are a unit, whose key is the path of the section; equal units in a row fold to a repeated group.  Units under the
+   page's main or article, and units outside of any article (menus, headers, footers, sidebars, notices, adverts, forms, comments),
+   are marked in their keys.  This is the page's own expression.
+2. *Wrapper.* Expressions of one host are aligned pairwise by key, and by text where units of one key differ in it: units found in
+   both stay, others become optional, a repeat in either stays a repeated group.  There are no alternatives, so the result is
+   union-free.  Units of one key at different places stay different units.  Equal expressions are merged first, the
+   rest in a tree of groups of at most ``GROUP`` expressions until one a host is left.
+3. *Judgement.* A unit keeps the running text (without links and without constant texts) of all pages that have it.  Units under
+   main or article are content.  For pages without these, content is the unit that holds most of the running text and all
+   below it, or else the units under the deepest path with most of it.  A text in one unit on most of a host's distinct pages
+   is constant; it is left out of pages without main or article.
+4. *Matching.* Every page's expression is aligned with its host's wrapper, which names the unit of each of its slots; slots of
+   content units are joined.  Main or article decide page by page, so other pages of a host may have none.
+
+Which elements are main: those of main (or its role), else top-level articles.  Class and id words mark what is outside,
+if a name consists of such words and of words for parts of a layout; html, body, main, the chosen articles and what is around them are
+never outside by a word, nor is a heading by its id, or by its class inside main or article.
 
 A slot's text has its character references decoded, runs of white space turned into one space, and no white space at its
 ends; slots are joined by two line feeds.
 
 Defined cases: null or empty html gives empty text; a null url, or one without a host, is judged by its own page alone;
-cut-off pages end where they end; repeated rows are rows of their own; an empty table gives an empty result; other
+cut-off pages end where they end; repeated rows are rows of their own and no further evidence; an empty table gives an empty result; other
 columns are passed through, ``text`` is replaced.
 """
 
@@ -25,8 +32,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -54,35 +61,75 @@ modal newsletter subscribe subscription share sharing social comment comments co
 login signup pagination pager toolbar skip hidden""".split())
 #: Start tags that end an open element of the named kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-MAIN = ("article", "main")
-SALTS = 16
+#: Words that go with a mark and change nothing ("post-comments", "ad-slot-3", "site-header").
+LAYOUT = frozenset("""area bar block body bottom box btn button buttons column container content footer icon icons inner item items left link links
+list main mobile outer page panel post posts primary right section secondary site slot small teaser teasers text title top unit widget widgets
+wrap wrapper""".split())
+#: Elements that make a unit of the slots in them.
+SECTIONS = frozenset("html body div section article main td th aside header footer nav form center dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Expressions that are aligned in one task, and steps of a path; deeper elements share the path of the last step.
+GROUP, MAX_DEPTH = 24, 64
+ENDS = frozenset("ul ol dl table div section article body".split())
+
+
+class Element:
+    """An open or closed element; ``strong``: it or one around it is outside by tag, role or style; ``weak``: by a word."""
+
+    __slots__ = ("tag", "parent", "depth", "path", "strong", "weak", "section", "main", "inside", "out")
+
+    def __init__(self, tag: str, parent: "Element | None", step: str, strong: bool, weak: bool, main: bool) -> None:
+        self.tag, self.parent, self.weak, self.main = tag, parent, weak, main
+        self.depth = parent.depth + 1 if parent else 1
+        self.path = step if parent is None else parent.path if self.depth > MAX_DEPTH else f"{parent.path}/{step}"
+        self.strong = strong or (parent is not None and parent.strong)
+        self.section = self if tag in SECTIONS or parent is None else parent.section
+        self.inside = False
+        self.out: bool | None = None
+
+    def line(self) -> "Iterator[Element]":
+        at: Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
 
 
 class Slot:
-    __slots__ = ("path", "text", "links", "outside")
+    __slots__ = ("at", "text", "links", "outside", "inside")
 
-    def __init__(self, path: str, text: str, links: int, outside: bool) -> None:
-        self.path, self.text, self.links, self.outside = path, text, links, outside
+    def __init__(self, at: Element | None, text: str, links: int) -> None:
+        self.at, self.text, self.links = at, text, links
+        self.outside = self.inside = False
 
     @property
     def key(self) -> str:
-        """Identity in expressions and totals: the path, marked if outside (a path starts with a tag or is empty)."""
-        return "!" + self.path if self.outside else self.path
+        """Key of the slot's unit: its section's path, marked if outside or under main or article."""
+        return ("!" if self.outside else "*" if self.inside else "") + (self.at.section.path if self.at else "")
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """A path step, and whether it marks something outside the article."""
-    out = tag in OUTSIDE
+def marked(name: str) -> bool:
+    """Whether a class or id name says that its element is not the article."""
+    parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p and not p.isdigit()]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT for p in parts)
+
+
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(path step, strong, weak, main) of a start tag."""
+    strong, weak, main = tag in OUTSIDE, False, tag == "main"
     names: list[str] = []
     if attributes.strip(" /"):
         given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-        names = (given.get("class", "") + " " + given.get("id", "")).split()
-        parts = {p for n in names for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", n)}
-        out = out or bool({p.lower() for p in parts} & MARKS) or given.get("role", "").lower() in ROLES
+        names = given.get("class", "").split()
+        ids = [] if tag in HEADINGS else given.get("id", "").split()
+        role = given.get("role", "").lower()
         style = given.get("style", "").replace(" ", "").lower()
         bare = ATTRIBUTE.sub("", attributes).lower().split()
-        out = out or "display:none" in style or "visibility:hidden" in style or "hidden" in bare or given.get("aria-hidden") == "true" or "hidden" in given
-    return ".".join([tag, *sorted(n for n in names if not any(c.isdigit() for c in n))]), out
+        strong = (strong or role in ROLES or "display:none" in style or "visibility:hidden" in style or "hidden" in bare or "hidden" in given
+                  or given.get("aria-hidden") == "true")
+        weak = tag not in ("html", "body") and any(map(marked, names + ids))
+        main = main or role == "main"
+        names += ids
+    return ".".join([tag, *sorted(n for n in names if not any(c.isdigit() for c in n))]), strong, weak, main
 
 
 def slots(page: str | None) -> list[Slot]:
@@ -90,7 +137,8 @@ def slots(page: str | None) -> list[Slot]:
     found: list[Slot] = []
     if not page:
         return found
-    stack: list[tuple[str, str, bool]] = []  # tag, step, outside (this or an outer one)
+    stack: list[Element] = []
+    wanted: list[Element] = []  # main elements and articles
     held: list[str] = []
     links = linked = 0
     at, size = 0, len(page)
@@ -100,7 +148,7 @@ def slots(page: str | None) -> list[Slot]:
         text = " ".join(html_lib.unescape("".join(held)).split())
         held.clear()
         if text:
-            found.append(Slot("/".join(s for _, s, _ in stack), text, min(links, len(text)), bool(stack) and stack[-1][2]))
+            found.append(Slot(stack[-1] if stack else None, text, min(links, len(text))))
         links = 0
 
     while at < size:
@@ -128,8 +176,8 @@ def slots(page: str | None) -> list[Slot]:
         if tag in INLINE:
             if tag == "a":
                 linked = 0 if close else 1
-            step, out = _named(tag, attributes) if attributes else (tag, False)
-            if not out and not any(t == tag for t, _, _ in stack):
+            strong, weak = _named(tag, attributes)[1:3] if attributes else (False, False)
+            if not (strong or weak) and not any(e.tag == tag for e in stack):
                 continue  # only an inline element that marks something outside becomes a step
         if tag == "br":
             held.append(" ")
@@ -140,100 +188,182 @@ def slots(page: str | None) -> list[Slot]:
         flush()
         if close:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
             continue
-        ends = CLOSES.get(tag, set())
-        if tag not in INLINE and any(t == "p" for t, _, _ in stack):
-            ends = ends | {"p"}
+        ends = CLOSES.get(tag, ())
+        closes_p = tag not in INLINE
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
+            open_ = stack[i].tag
+            if open_ in ends or (closes_p and open_ == "p"):
                 del stack[i:]
                 break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
+            if open_ in ENDS:
                 break
-        step, out = _named(tag, attributes)
-        out = out or (tag == "header" and not any(t in MAIN for t, _, _ in stack))
-        if not attributes.endswith("/") or tag not in VOID:
-            stack.append((tag, step, out or (bool(stack) and stack[-1][2])))
+        step, strong, weak, main = _named(tag, attributes)
+        if tag == "header" and not any(e.main or e.tag == "article" for e in stack):
+            strong = True
+        element = Element(tag, stack[-1] if stack else None, step, strong, weak, main)
+        if main or tag == "article":
+            wanted.append(element)
+        stack.append(element)
     flush()
+    _settle(found, wanted)
     return found
 
 
-def expression(found: list[Slot]) -> list[tuple[str, bool, bool]]:
-    """A page's own expression: (key, repeated, optional) with runs of one key folded."""
-    out: list[tuple[str, bool, bool]] = []
+def _settle(found: list[Slot], wanted: list[Element]) -> None:
+    """Choose main or articles, then set which slots are inside and which outside."""
+    regions = [e for e in wanted if e.main and not e.strong]
+    if not regions:
+        articles = [e for e in wanted if not e.strong and not any(x.tag == "article" for x in e.line() if x is not e)]
+        regions = [e for e in articles if not any(x.weak for x in e.line())]
+        if not regions and articles:  # a word marks the article or what is around it: the largest that is not marked itself
+            chars = {id(e): 0 for e in articles if not e.weak}
+            for s in found:
+                for e in s.at.line() if s.at else ():
+                    if id(e) in chars:
+                        chars[id(e)] += len(s.text)
+            regions = sorted((e for e in articles if not e.weak), key=lambda e: -chars[id(e)])[:1]
+    safe = {id(x) for e in regions for x in e.line()}
+    chosen = {id(e) for e in regions}
     for s in found:
-        if out and out[-1][0] == s.key:
-            out[-1] = (s.key, True, False)
-        else:
-            out.append((s.key, False, False))
-    return fold(out)
+        new = []
+        for e in s.at.line() if s.at else ():
+            if e.out is not None:
+                break
+            new.append(e)
+        for e in reversed(new):
+            up = e.parent
+            e.inside = id(e) in chosen or (up is not None and up.inside)
+            word = e.weak and id(e) not in safe and not (e.inside and e.tag in HEADINGS)
+            e.out = e.strong or word or (up is not None and up.out)
+        if s.at:
+            s.inside, s.outside = s.at.inside, s.at.out
+
+
+# ---------------------------------------------------------------- expressions
+
+class Unit:
+    """A unit of an expression: key, repeated, optional, text if it is one on all its pages, running text and pages."""
+
+    __slots__ = ("key", "repeated", "optional", "text", "worth", "pages")
+
+    def __init__(self, key: str, repeated: bool, optional: bool, text: int | None, worth: int, pages: int) -> None:
+        self.key, self.repeated, self.optional, self.text, self.worth, self.pages = key, repeated, optional, text, worth, pages
+
+    def row(self) -> list:
+        return [self.key, self.repeated, self.optional, self.text, self.worth, self.pages]
 
 
-def fold(items: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
-    """Paths that come again later become repeated groups at their first place."""
-    where: dict[str, int] = {}
-    out: list[tuple[str, bool, bool]] = []
-    for path, repeated, optional in items:
-        if path in where:
-            out[where[path]] = (path, True, out[where[path]][2] and optional)
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def units(found: list[Slot]) -> tuple[list[Unit], list[int]]:
+    """A page's expression, and the number of the unit that holds each slot.
+
+    Equal keys in a row are one unit, a repeated group if they come from different sections.
+    """
+    out: list[Unit] = []
+    of: list[int] = []
+    last = None
+    for s in found:
+        key, section = s.key, s.at.section if s.at else None
+        worth = max(0, len(s.text) - 2 * s.links)
+        if out and out[-1].key == key:
+            u = out[-1]
+            u.repeated = u.repeated or section is not last
+            u.text = None if u.text is None else text_hash(f"{u.text} {s.text}")
+            u.worth += worth
         else:
-            where[path] = len(out)
-            out.append((path, repeated, optional))
-    return out
+            out.append(Unit(key, False, False, text_hash(s.text), worth, 1))
+        last = section
+        of.append(len(out) - 1)
+    return out, of
 
 
-def align(a: list[tuple[str, bool, bool]], b: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
-    """One expression that matches what either matches: common slots in order, others optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [(p, r or r2, o or o2) for (p, r, o), (_, r2, o2) in zip(a, b)]
+def paired(a: list[Unit], b: list[Unit]) -> list[tuple[int | None, int | None]]:
+    """Alignment of two expressions: (place in a, place in b), None where a unit has no partner.
+
+    Equal keys may pair, the more so with equal texts, or both with changing ones.
+    """
+    if [x.key for x in a] == [y.key for y in b]:
+        return [(i, i) for i in range(len(a))]
     n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1), np.int32)
+
+    def worth(x: Unit, y: Unit) -> int:
+        return 0 if x.key != y.key else 3 if x.text is not None and x.text == y.text else 1 if x.text is not None and y.text is not None and min(x.pages, y.pages) > 1 else 2
+
+    best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1, j], best[i, j + 1])
-    out, i, j = [], 0, 0
+            w = worth(a[i], b[j])
+            row[j] = max(below[j], row[j + 1], below[j + 1] + w if w else 0)
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
     while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append((a[i][0], a[i][1] or b[j][1], a[i][2] or b[j][2]))
+        w = worth(a[i], b[j]) if i < n and j < m else 0
+        if w and best[i][j] == best[i + 1][j + 1] + w:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1, j] >= best[i, j + 1]):
-            out.append((a[i][0], a[i][1], True))
+        elif j == m or (i < n and best[i][j] == best[i + 1][j]):
+            out.append((i, None))
             i += 1
         else:
-            out.append((b[j][0], b[j][1], True))
+            out.append((None, j))
             j += 1
-    return fold(out)
-
-
-def content_paths(wrapper: list[tuple[str, bool, bool]], stats: dict[str, tuple], distinct: int = 1) -> list[str]:
-    """Paths of the wrapper's content slots; stats: key -> (chars, link chars, pages, least and greatest text hash) over ``distinct`` pages."""
-    inside = [p for p, _, _ in wrapper if p in stats and not p.startswith("!")]
-    for tag in MAIN:
-        under = [p for p in inside if any(s.split(".")[0] == tag for s in p.split("/"))]
-        if under:
-            return under
-    fixed = {p for p in inside if stats[p][2] >= 3 and 2 * stats[p][2] > distinct and stats[p][3] == stats[p][4]}
-    if 2 * len(fixed) < len(inside) or any(stats[p][3] != stats[p][4] and stats[p][0] > sum(stats[f][0] for f in fixed) for p in inside):
-        inside = [p for p in inside if p not in fixed]
-    if not inside:
-        return []
+    return out
+
+
+def align(a: list[Unit], b: list[Unit]) -> list[Unit]:
+    """One expression that matches what either matches: common units in order, others optional."""
+    out = []
+    for i, j in paired(a, b):
+        if i is not None and j is not None:
+            x, y = a[i], b[j]
+            out.append(Unit(x.key, x.repeated or y.repeated, x.optional or y.optional, x.text if x.text == y.text else None, x.worth + y.worth, x.pages + y.pages))
+        else:
+            x = a[i] if i is not None else b[j]
+            out.append(Unit(x.key, x.repeated, True, x.text, x.worth, x.pages))
+    return out
+
+
+def content_units(wrapper: list[Unit]) -> set[int]:
+    """Units of the wrapper whose slots are the text of a page without main or article."""
+    inside = [i for i, u in enumerate(wrapper) if u.key[:1] not in "!*" or not u.key]
+    # a unit with one text on several pages is part of the template
+    worth = {i: 0 if wrapper[i].text is not None and wrapper[i].pages >= 3 else wrapper[i].worth for i in inside}
+    total = sum(worth.values())
+    if not total:
+        return set(inside)
+    most = max(inside, key=lambda i: (worth[i], -i))
+    top = wrapper[most].key
+    below = {i for i in inside if i == most or wrapper[i].key.startswith(f"{top}/")}
+    if 4 * sum(worth[i] for i in below) >= 3 * total:
+        return below
     mass: dict[str, int] = {}
-    for p in inside:
-        worth = max(0, stats[p][0] - 2 * stats[p][1])
-        steps = p.split("/")
-        for i in range(len(steps)):
-            key = "/".join(steps[:i + 1])
-            mass[key] = mass.get(key, 0) + worth
-    total = max(mass.values())
-    deep = max((k for k, v in mass.items() if 4 * v >= 3 * total), key=lambda k: (k.count("/"), mass[k], k))
-    if deep in inside:  # a text block itself: its siblings belong to it
-        deep = deep.rpartition("/")[0]
-    return [p for p in inside if not deep or p == deep or p.startswith(deep + "/")]
+    for i in inside:
+        steps = wrapper[i].key.split("/")
+        for d in range(len(steps)):
+            path = "/".join(steps[:d + 1])
+            mass[path] = mass.get(path, 0) + worth[i]
+    deep = max((p for p, v in mass.items() if 4 * v >= 3 * total), key=lambda p: (p.count("/"), mass[p], p), default="")
+    return {i for i in inside if not deep or wrapper[i].key == deep or wrapper[i].key.startswith(f"{deep}/")}
+
+
+def packed(expression: list[Unit]) -> str:
+    return json.dumps([u.row() for u in expression])
+
+
+def unpacked(text: str) -> list[Unit]:
+    return [Unit(*row) for row in json.loads(text)]
 
 
+# ---------------------------------------------------------------- jobs
+
 def host():
     """Lower-cased host of the url; null if there is none."""
     found = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -241,81 +371,94 @@ def host():
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, content): the wrapper as JSON, its content paths."""
+    """(host, wrapper, constant): the wrapper as JSON, and hashes of (unit key, text) that most of the host's pages have."""
 
     def read(batches):
         for batch in batches:
-            exprs, stats, whole = [], [], []
+            exprs, texts, whole = [], [], []
             for page in batch.column("html"):
                 found = slots(page.as_py())
-                exprs.append(json.dumps(expression(found)))
-                whole.append(xxhash.xxh3_128_digest("\0".join(x for s in found for x in (s.key, s.text, str(s.links))).encode("utf-8", "surrogatepass")))
-                per: dict[str, list] = {}
-                for s in found:
-                    h = xxhash.xxh3_64_intdigest(s.text) >> 1
-                    x = per.setdefault(s.key, [0, 0, h, h])
-                    x[0] += len(s.text)
-                    x[1] += s.links
-                    x[2], x[3] = min(x[2], h), max(x[3], h)
-                stats.append([{"key": k, "chars": x[0], "links": x[1], "low": x[2], "high": x[3]} for k, x in per.items()])
-            kind = pa.list_(pa.struct([("key", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(exprs), pa.array(stats, kind), pa.array(whole, pa.binary())], ["host", "expr", "stats", "page"])
+                expression, _ = units(found)
+                exprs.append(packed(expression))
+                own = [text_hash(f"{s.key}\0{s.text}") for s in found if not s.outside and not s.inside]
+                texts.append(sorted(set(own)))
+                whole.append(xxhash.xxh3_128_digest("\0".join(f"{s.key}\0{s.text}\0{s.links}" for s in found).encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(exprs), pa.array(texts, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
+                ["host", "expr", "texts", "page"])
 
     parsed = stage(pages.select(host().alias("host"), "html").filter("host IS NOT NULL").mapInArrow(
-        read, "host string, expr string, stats array<struct<key:string,chars:long,links:long,low:long,high:long>>, page binary"), "pages")
-    parsed = parsed.dropDuplicates(["host", "page"])
-    totals = parsed.select("host", F.explode("stats").alias("s")).groupBy("host", "s.key").agg(
-        F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.count(F.lit(1)).alias("pages"), F.min("s.low").alias("low"),
-        F.max("s.high").alias("high"))
-    distinct = parsed.groupBy("host", "expr").agg(F.count(F.lit(1)).alias("n"))
+        read, "host string, expr string, texts array<long>, page binary"), "pages")
+    parsed = parsed.dropDuplicates(["host", "page"])  # copies are no evidence
+    size = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    often = parsed.select("host", F.explode("texts").alias("t")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3")
+    # of the texts of a page on average at most two are on more than half of a host's pages
+    constant = often.join(size, "host").filter("2 * c > n").groupBy("host").agg(F.collect_list("t").alias("constant"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "expr"], ascending=[False, True])
-        whole: list[tuple[str, bool, bool]] | None = None
+        whole = None
         for text in rows["expr"]:
-            own = [tuple(x) for x in json.loads(text)]
-            whole = own if whole is None else align(whole, own)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "expr": [json.dumps(whole)], "n": [int(rows["n"].sum())]})
-
-    shape = "host string, expr string, n long"
-    some = distinct.groupBy("host", F.pmod(F.xxhash64("expr"), F.lit(SALTS))).applyInPandas(merge, shape)
-    wrappers = some.groupBy("host").applyInPandas(merge, shape)
-
-    def judge(wrapper: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-        if not len(wrapper):
-            return pd.DataFrame({"host": [], "wrapper": [], "content": []})
-        by = {r.key: (r.chars, r.links, r.pages, r.low, r.high) for r in stats.itertuples()}
-        expr = wrapper["expr"].iloc[0]
-        return pd.DataFrame({"host": [wrapper["host"].iloc[0]], "wrapper": [expr], "content": [content_paths([tuple(x) for x in json.loads(expr)], by, int(wrapper["n"].iloc[0]))]})
-
-    return stage(wrappers.groupBy("host").cogroup(totals.groupBy("host")).applyInPandas(
-        judge, "host string, wrapper string, content array<string>"), "wrappers")
-
-
-def own_content(found: list[Slot]) -> list[str]:
-    """Content paths of a page without a host."""
-    by: dict[str, tuple] = {}
-    for s in found:
-        chars, links, *_ = by.get(s.key, (0, 0))
-        by[s.key] = (chars + len(s.text), links + s.links, 1, 0, 0)
-    return content_paths(expression(found), by)
+            whole = unpacked(text) if whole is None else align(whole, unpacked(text))
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "expr": [packed(whole)], "n": [int(rows["n"].sum())]})
+
+    kind = "host string, expr string, n long"
+    now = parsed.select("host", "expr", F.lit(1).cast("long").alias("n"))
+    while True:
+        sized = now.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
+        dealt = now.join(sized, F.col("host") == F.col("_h")).withColumn("_g", F.pmod(F.xxhash64("expr", "n"), F.col("_groups")))
+        now = stage(dealt.select("host", "expr", "n", "_g").groupBy("host", "_g").applyInPandas(merge, kind), "wrappers")
+        if (now.groupBy("host").count().agg(F.max("count")).first()[0] or 1) == 1:
+            break
+    wrappers = now.select(F.col("host").alias("_host"), F.col("expr").alias("wrapper"))
+    return stage(wrappers.join(constant, F.col("_host") == F.col("host"), "left").select(F.col("_host").alias("host"), "wrapper", "constant"), "host-wrappers")
+
+
+def page_text(found: list[Slot], wrapper: list[Unit] | None, constant: set[int], known: dict[str, set[int]]) -> str:
+    """Text of a page by its host's wrapper; without one by its own expression.
+
+    ``known`` keeps which units are content, by expression.
+    """
+    expression, of = units(found)
+    main = any(u.key.startswith("*") for u in expression)
+    if main:
+        kept = [s.text for s, u in zip(found, of) if expression[u].key.startswith("*")]
+        return "\n\n".join(kept)
+    name = "\0".join(u.key for u in expression)
+    if wrapper is None:
+        allowed = content_units(expression)
+    elif name in known:
+        allowed = known[name]
+    else:
+        good = content_units(wrapper)
+        allowed = known[name] = {i for i, j in paired(expression, wrapper) if i is not None and j in good}
+    own = [s for s, u in zip(found, of) if u in allowed and not s.outside]
+    changing = [s for s in own if text_hash(f"{s.key}\0{s.text}") not in constant]
+    # where nothing but constant texts is there, they are the page
+    return "\n\n".join(s.text for s in (changing or own))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with the main text of their html as ``text``, html dropped."""
     lean_batches(pages.sparkSession)
     pages = pages.drop("text")
-    wrappers = infer_wrappers(pages).select(F.col("host").alias("_host"), F.col("content").alias("_content"))
-    joined = pages.withColumn("_key", host()).join(wrappers, F.col("_key") == F.col("_host"), "left").drop("_key", "_host")
+    found = infer_wrappers(pages).select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("constant").alias("_constant"))
+    # a wrapper goes with each of its pages: send it by number of the host, once a batch
+    joined = pages.withColumn("_key", host()).join(found, F.col("_key") == F.col("_host"), "left").drop("_key")
     shape = with_fields(pages.drop("html"), text="string")
 
     def run(batches):
+        wrappers: dict[str, tuple] = {}
         for batch in batches:
             out = []
-            for page, content in zip(batch.column("html"), batch.column("_content").to_pylist()):
-                found = slots(page.as_py())
-                allowed = set(own_content(found) if content is None else content)
-                out.append("\n\n".join(s.text for s in found if not s.outside and s.path in allowed))
+            names, htmls = batch.column("_host").to_pylist(), batch.column("html")
+            for i, name in enumerate(names):
+                if name is not None and name not in wrappers:
+                    if len(wrappers) > 1000:
+                        wrappers.clear()
+                    wrappers[name] = unpacked(batch.column("_wrapper")[i].as_py()), set(batch.column("_constant")[i].as_py() or ()), {}
+                wrapper, constant, known = wrappers[name] if name is not None else (None, set(), {})
+                out.append(page_text(slots(htmls[i].as_py()), wrapper, constant, known))
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in shape.names]
             yield pa.RecordBatch.from_arrays(columns, shape.names)
 
