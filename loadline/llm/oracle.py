@@ -37,4 +37,16 @@ ORACLE = {
               FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
                    AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op9_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+                  ELSE [array_to_string(a[i:i + 3], ' ') for i in range(1, len(a) - 2)] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+        links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, x.b FROM reach r JOIN sides x ON x.a = r.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(n.doc_id) OVER (PARTITION BY n.same), w.doc_id) AS class_id, component_id
+        FROM w JOIN least USING (doc_id) LEFT JOIN n ON n.doc_id = w.doc_id""",
 }

@@ -273,18 +273,69 @@ def test_leak_away_from_the_nearest_window(spark):
     assert all(r["lcs"] == 1.0 for r in found if r["doc_id"] < 300)
 
 
-def test_leak_passes_hold_whole_items(monkeypatch):
+def test_passes_hold_spaces_up_to_their_size(monkeypatch):
+    spaces = [decontamination.Space(np.arange(100), np.ones((100, 10)), [0], np.ones((1, 10))) for _ in range(5)]
+    monkeypatch.setattr(decontamination, "PASS_MB", 9000 / (1 << 20))
+    assert [len(x) for x in decontamination.in_passes(spaces)] == [2, 2, 1]
     monkeypatch.setattr(decontamination, "PASS_MB", 0)
-    passages = [(i, np.arange(3), np.ones(3)) for i in (0, 0, 0, 1, 2, 2)]
-    got = decontamination.in_passes(passages, 2)
-    assert [[[p[0] for p in g] for g in one] for one in got] == [[[0, 0], [0]], [[1]], [[2, 2]]]
+    assert [len(x) for x in decontamination.in_passes(spaces)] == [1] * 5
+
+
+def plain_leak(item, answer, text, sure=0.75, likely=0.6):
+    """Whether some stretch of the text of about the item's length holds the item, by common subsequences of all stretches."""
+    n = len(item)
+    size = n + n // 4 + 2
+    for s in range(0, max(1, len(text) - n // 2)):
+        part = text[s:s + size]
+        share = decontamination.common_length(item, part) / n
+        if share >= sure or (share >= likely and 10 * decontamination.common_length(answer, part) >= 6 * len(answer)):
+            return True
+    return False
+
+
+def test_leaks_equal_a_scan_of_all_stretches(spark):
+    """Every document against every item; with an answer column that decides between paraphrases."""
+    rng = random.Random(21)
+    items = [(i, invented(rng, rng.randrange(15, 60), 900), invented(rng, 4, 900) if i % 2 else None) for i in range(24)]
+    rows = []
+    for i, text, answer in items:
+        own = text.split()
+        for kind, share in (("whole", 1.0), ("most", 0.85), ("some", 0.66), ("few", 0.3)):
+            kept = [w for w in own if rng.random() < share]
+            tail = f" {answer}" if answer and kind == "some" and i % 4 == 1 else ""
+            rows.append((len(rows), f"{invented(rng, 60, 900)} {' '.join(kept)}{tail} {invented(rng, 60, 900)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string, answer string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    want = {(d, i) for d, t in rows for i, text, answer in items
+            if plain_leak(text.split(), (answer or " ".join(text.split()[-5:])).split(), t.split())}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 40
+    clear = {(d, i) for d, t in rows for i, text, _ in items if f" {text} " in t}
+    assert clear <= got
+
+
+def test_words_and_buckets_agree():
+    texts = ["", " .,- ", "Don't STOP_here 42x", "Größe – “zitiert” … naïve İstanbul", "a—b c’d", "日本語 テスト", "x\u00a0y"]
+    for text in texts:
+        own = decontamination.words(text)
+        assert own == [w for w in re.findall(r"[^\W_]+", text.lower())]
+        assert decontamination.buckets(text).tolist() == [int(decontamination.buckets(w)[0]) for w in own]
+    rng = random.Random(8)
+    long = invented(rng, 30000)
+    assert decontamination.buckets(long).tolist() == [int(decontamination.buckets(w)[0]) for w in long.split()]
 
 
 def test_randomised_svd_spans_the_leading_directions(spark):
     rng = np.random.default_rng(5)
     dense = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 30))
     rows = spark.createDataFrame([(list(range(30)), x.tolist()) for x in dense], "at array<int>, value array<double>")
-    got = decontamination.randomised_svd(rows, 30, 5)
+    got = decontamination.randomised_svd(rows.repartition(3), 30, 5)
+    noisy = dense + 0.01 * rng.normal(size=dense.shape)
+    some = spark.createDataFrame([(list(range(30)), x.tolist()) for x in noisy], "at array<int>, value array<double>")
+    cut = decontamination.randomised_svd(some, 30, 3, over=2)  # truncated: less than the rows and columns hold
+    assert cut.shape == (30, 3)
+    top = np.linalg.svd(noisy, full_matrices=False)[2][:3]
+    assert np.allclose(cut @ cut.T, top.T @ top, atol=1e-3)
     _, _, want = np.linalg.svd(dense, full_matrices=False)
     assert np.allclose(got @ got.T, want[:5].T @ want[:5], atol=1e-6)
 
@@ -351,10 +402,113 @@ def test_html_constant_slots(spark):
     assert got == want | {50 + i: "Text copied with many words in it.\n\ncode" for i in range(9)}
 
 
+def read_pages(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(frame.repartition(3)).collect()}
+
+
+def body_text(rng, n=3):
+    return [" ".join(invented(rng, 30).split()) + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("around", [
+    '<body class="post no-sidebar">{}</body>', '<body class="menu-open"><div id="skip-link-target">{}</div></body>', '<div class="search"><div>{}</div></div>',
+    '<body id="comments">{}</body>'])
+def test_html_words_around_the_article_do_not_hide_it(spark, around):
+    rng = random.Random(30)
+    paras = body_text(rng)
+    inner = ('<h2 id="share-price-history">Prices</h2>' + "".join(f"<p>{p}</p>" for p in paras)
+             + '<p class="search-results">Found</p><div class="form-group">Kept</div><div class="comments">Nice</div><ul class="share-buttons"><li>Tweet</li></ul>')
+    got = read_pages(spark, [(1, "http://a.b/1", around.format(f"<nav>Home</nav><article>{inner}</article><footer>Imprint</footer>"))])
+    assert got[1].split("\n\n") == ["Prices", *paras, "Found", "Kept"]
+
+
+def test_html_cards_in_main_and_a_list_of_articles(spark):
+    rng = random.Random(31)
+    paras = body_text(rng)
+    page = "<header>Site</header><main><h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "<article><h3>Card</h3></article><aside>More</aside></main>"
+    many = "<div><article><p>One</p></article><article><p>Two</p></article></div><div class='comments'><article class='comment'><p>No</p></article></div>"
+    got = read_pages(spark, [(1, "http://a.b/1", page), (2, "http://a.b/2", many), (3, "http://a.b/3", "<div role='main'><p>Here</p></div><p>Not</p>")])
+    assert got[1].split("\n\n") == ["Title", *paras, "Card"]
+    assert got[2].split("\n\n") == ["One", "Two"] and got[3] == "Here"
+
+
+def test_html_two_templates_on_one_host(spark):
+    """Pages with article and pages without it; the latter by the wrapper, also where units are missing or repeated."""
+    rng = random.Random(32)
+    rows, want = [], {}
+    for i in range(40):
+        paras = body_text(rng, rng.randrange(2, 6))
+        if i % 2:
+            html = f"<nav>Home</nav><article>{''.join(f'<p>{p}</p>' for p in paras)}</article>"
+        else:
+            quote = "<blockquote>" + paras[1] + "</blockquote>" if i % 4 else f"<p>{paras[1]}</p>"
+            blurb = f"<div><p>See also {invented(rng, 3)}</p></div>" if i % 3 else ""
+            html = ("<body><div><p>Our site about everything</p></div><div class='ad-slot'>Buy</div><h1 class='x'></h1>" + f"<section>{i}</section>" * (i % 5 == 0)
+                    + f"<div><p>{paras[0]}</p>{quote}{''.join(f'<p>{p}</p>' for p in paras[2:])}</div><hr><section><p>Tags</p></section>{blurb}<div><p>All rights reserved by us</p></div></body>")
+        rows.append((i, f"https://u@Host.example:80/{i}", html))
+        want[i] = paras
+    rows.append((100, "https://host.example/100", rows[1][2]))
+    got = read_pages(spark, rows)
+    for i, paras in want.items():
+        assert got[i].split("\n\n")[:len(paras)] == paras if i % 2 else all(p in got[i] for p in paras), (i, got[i])
+        assert "Home" not in got[i] and "Buy" not in got[i] and "All rights" not in got[i] and "Our site" not in got[i]
+        if not i % 2:
+            assert "See also" not in got[i] and "Tags" not in got[i]
+    assert got[100] == got[1]
+
+
+def test_html_constant_texts(spark):
+    rng = random.Random(33)
+    rows, want = [], {}
+    for i in range(12):
+        paras = body_text(rng)
+        rows.append((i, f"http://c.d/{i}", f"<article><h2>Summary</h2>{''.join(f'<p>{p}</p>' for p in paras)}</article>"))
+        rows.append((50 + i, f"http://e.f/{i}", f"<div><p>Welcome to our pages</p>{''.join(f'<p>{p}</p>' for p in paras)}</div>"))
+        want[i], want[50 + i] = ["Summary", *paras], paras
+    # three copies of one page are no evidence that its texts are constant
+    rows += [(90 + i, f"http://g.h/{i}", "<div><p>One and only text of this host</p></div>") for i in range(3)]
+    got = read_pages(spark, rows)
+    assert {i: t.split("\n\n") for i, t in got.items() if i < 90} == want
+    assert {got[90 + i] for i in range(3)} == {"One and only text of this host"}
+
+
+def test_html_many_shapes_of_a_host_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP", 4)
+    rng = random.Random(34)
+    rows, want = [], {}
+    for i in range(60):
+        paras = body_text(rng, 2)
+        extra = "".join(f"<section class='s{chr(97 + k)}'>x{rng.random()}</section>" for k in range(8) if rng.random() < 0.5)
+        rows.append((i, f"http://t.u/{i}", f"{extra}<div class='text'>{''.join(f'<p>{p}</p>' for p in paras)}</div>"))
+        want[i] = "\n\n".join(paras)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrappers = html_extract.infer_wrappers(frame).collect()
+    assert len(wrappers) == 1
+    keys = [u.key for u in html_extract.unpacked(wrappers[0]["wrapper"])]
+    assert keys.count("div.text") == 1 and len(keys) <= 9 * 3
+    assert read_pages(spark, rows) == want
+
+
+def test_html_deep_and_broken_pages(spark):
+    deep = "<div>" * 5000 + "text" + "</div>" * 5000
+    got = read_pages(spark, [(1, None, deep), (2, "no host", "<p>a<p>b<div>c"), (3, None, None), (4, "http://x.y/", "<!-- <p>x"), (5, "http://x.y/", "plain &amp; simple")])
+    assert got == {1: "text", 2: "a\n\nb\n\nc", 3: "", 4: "", 5: "plain & simple"}
+
+
 def test_align_is_union_free():
-    a = [("h", False, False), ("p", True, False)]
-    b = [("h", False, False), ("n", False, False), ("p", False, False)]
-    assert html_extract.align(a, b) == [("h", False, False), ("n", False, True), ("p", True, False)]
+    unit = html_extract.Unit
+
+    def expr(*keys):
+        return [unit(k, False, False, hash(k), 1, 1) for k in keys]
+
+    got = html_extract.align(expr("h", "p", "p"), expr("h", "n", "p"))
+    assert [(u.key, u.optional, u.pages) for u in got] in (
+        [("h", False, 2), ("n", True, 1), ("p", False, 2), ("p", True, 1)], [("h", False, 2), ("p", True, 1), ("n", True, 1), ("p", False, 2)],
+        [("h", False, 2), ("n", True, 1), ("p", True, 1), ("p", False, 2)])
+    same = [unit("d", False, False, 1, 5, 1), unit("d", True, False, 2, 50, 1)]
+    other = [unit("d", False, False, 1, 5, 1), unit("d", False, False, 3, 60, 1)]
+    assert [(u.text, u.worth, u.repeated) for u in html_extract.align(same, other)] == [(1, 10, False), (None, 110, True)]
 
 
 def test_pipeline_stages(spark, sf_dir):
