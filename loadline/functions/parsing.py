@@ -38,16 +38,25 @@ def iso_timestamp(text: Column | str) -> Column:
     return F.trim(text).try_cast("timestamp")
 
 
+# Accepted header spellings.
+HEADERS = {
+    "timestamp": "timestamp_str", "time": "timestamp_str", "datetime": "timestamp_str",
+    "i1": "i1", "i2": "i2", "i3": "i3",
+    "iavg": "i_avg_src", "iaverage": "i_avg_src",
+    "freq": "frequency", "frequency": "frequency", "hz": "frequency",
+}
+
+
 def canonical_name(header: str, any_time_header: bool) -> str | None:
     """Canonical column of a raw header, or None if it is not a known one."""
     plain = header.strip().lower().replace(" ", "").replace("_", "")
     if any_time_header and ("time" in plain or "stamp" in plain):
         return "timestamp_str"
-    # Accepted header spellings.
-    known = {
-        "timestamp": "timestamp_str", "time": "timestamp_str", "datetime": "timestamp_str",
-        "i1": "i1", "i2": "i2", "i3": "i3",
-        "iavg": "i_avg_src", "iaverage": "i_avg_src",
-        "freq": "frequency", "frequency": "frequency", "hz": "frequency",
-    }
-    return known.get(plain)
+    return HEADERS.get(plain)
+
+
+def canonical_column(header: str, any_time_header: Column) -> Column:
+    """The same for a column of headers."""
+    plain = F.regexp_replace(F.lower(F.trim(header)), "[ _]", "")
+    known = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])
+    return F.when(any_time_header & (plain.contains("time") | plain.contains("stamp")), "timestamp_str").otherwise(F.try_element_at(known, plain))

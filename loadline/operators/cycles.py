@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadline.functions.columns import with_exprs
 from loadline.functions.display import job_name_table
-from loadline.plans.blocks import assign_intervals
-from loadline.plans.staging import small_table
+from loadline.plans.blocks import assign_intervals, exact_median
+from loadline.plans.staging import small_table, stage
 from loadline.profiles import PROFILES, with_profile
 
 KEYS = ["machine"]
@@ -75,12 +75,6 @@ def run_cycle_features(samples: DataFrame) -> DataFrame:
         .select(*KEYS, "cycle_id", *RUN_FEATURES))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Median per key over a value-count table, so the buffer holds distinct values only."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5, _n)").alias(out))
-
-
 def cycle_summary(stats: DataFrame, cycles: DataFrame) -> DataFrame:
     """Count, mean, population std and median of cycle durations; zeros without cycles."""
     spread = cycles.groupBy(*KEYS).agg(
@@ -99,6 +93,11 @@ def job_summary(cycles: DataFrame, load: str = "mean_iavg") -> DataFrame:
     return size.join(exact_median(cycles, keys, "duration_s", "median_duration"), keys)
 
 
+def hours_of(log_duration: str) -> Column:
+    """Hours of a duration given as log1p of its seconds."""
+    return F.expm1(F.col(log_duration)) / 3600.0
+
+
 def named_jobs(jobs: DataFrame, profiles=PROFILES) -> DataFrame:
     """Jobs with the name of their type, by the number of types: the profile's, or the number of cycles if less."""
     sized = with_profile(jobs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "job_types", "extra_job_name", profiles=profiles)
@@ -109,8 +108,8 @@ def named_jobs(jobs: DataFrame, profiles=PROFILES) -> DataFrame:
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width bins between each key's minimum and maximum (empty bins are absent)."""
-    ends = small_table(df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")), "histogram-ends")
+    df = stage(df.select(*keys, value).filter(F.col(value).isNotNull()), "histogram")
+    ends = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     placed = df.join(ends, keys).withColumn("bin", F.expr(f"""
         case when {value} is null then null when _hi = _lo then 0
              else least({bins - 1}, cast(floor(({value} - _lo) / (_hi - _lo) * {bins}) as int)) end"""))

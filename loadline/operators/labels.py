@@ -6,6 +6,8 @@ len); smoothing and cycle detection never touch the samples.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,17 +123,14 @@ def smooth(runs: DataFrame, stats: DataFrame, profiles=PROFILES) -> DataFrame:
         done.append(smooth_simultaneous(runs.filter("merge_rule = 'simultaneous'")))
     if "leftmost" in rules:
         done.append(smooth_leftmost(runs.filter("merge_rule = 'leftmost'"), stats))
-    out = done[0]
-    for other in done[1:]:
-        out = out.unionByName(other)
-    return out
+    return reduce(DataFrame.unionByName, done) if done else runs.select(*KEYS, "run_id", "value", "start", "end", "len")
 
 
 def cycles_between_reds(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Non-RED stretches after a RED run that hold a GREEN run; the last may be open.
 
     Returns the runs with their ``cycle_key`` and the cycles (machine, cycle_key,
-    cycle_id, start, end).  Runs outside cycles get distinct negative keys: as NULLs they
+    cycle_start, cycle_end).  Runs outside cycles get distinct negative keys: as NULLs they
     would all meet in one task of the later join.
     """
     red = F.when(F.col("value") == 0, 1).otherwise(0).cast("bigint")
@@ -142,7 +141,7 @@ def cycles_between_reds(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
               .agg(F.min("start").alias("cycle_start"), F.max("end").alias("cycle_end"),
                    F.bool_or(F.col("value") == 2).alias("_green"))
               .filter("_green").drop("_green"))
-    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id")
+    return keyed, cycles
 
 
 def cycles_of_green_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +150,12 @@ def cycles_of_green_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "cycle_key", F.expr("case when value = 2 and len >= label_min_run then run_id else -1 - run_id end"))
     cycles = keyed.filter("cycle_key >= 0").select(
         *KEYS, "cycle_key", F.col("start").alias("cycle_start"), F.col("end").alias("cycle_end"))
-    return keyed, dense_number(cycles, KEYS, "cycle_key", "cycle_id")
+    return keyed, cycles
+
+
+def numbered_cycles(cycles: DataFrame) -> DataFrame:
+    """Cycles with ``cycle_id`` 0, 1, ... per machine, in order."""
+    return dense_number(cycles, KEYS, "cycle_key", "cycle_id")
 
 
 def label_intervals(smoothed: DataFrame, profiles=PROFILES) -> DataFrame:
@@ -159,16 +163,10 @@ def label_intervals(smoothed: DataFrame, profiles=PROFILES) -> DataFrame:
     runs = with_profile(smoothed, "label_min_run", "cycle_rule", profiles=profiles)
     columns = [*KEYS, "start", "end", F.col("value").alias("state_label"),
                "cycle_id", "cycle_start", "cycle_end", "cycle_rule"]
-    parts = []
-    for rule, detect in (("non_red", cycles_between_reds), ("green_runs", cycles_of_green_runs)):
-        if rule not in {p.cycle_rule for p in profiles}:
-            continue
-        keyed, cycles = detect(runs.filter(F.col("cycle_rule") == rule))
-        parts.append(keyed.join(cycles, [*KEYS, "cycle_key"], "left").select(*columns))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    return stage(out, "label-intervals")
+    found = [detect(runs.filter(F.col("cycle_rule") == rule))
+             for rule, detect in (("non_red", cycles_between_reds), ("green_runs", cycles_of_green_runs)) if rule in {p.cycle_rule for p in profiles}]
+    keyed, cycles = (reduce(DataFrame.unionByName, part) for part in zip(*[(k.select(*runs.columns, "cycle_key"), c) for k, c in found]))
+    return stage(keyed.join(numbered_cycles(cycles), [*KEYS, "cycle_key"], "left").select(*columns), "label-intervals")
 
 
 def cycle_table(intervals: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.plans.blocks import previous
+from loadline.plans.blocks import median_of_counts, previous, ranged_counts
 from loadline.plans.staging import small_table
 
 
@@ -13,25 +13,22 @@ def machine_stats(readings: DataFrame) -> DataFrame:
     """n, t_first, t_last (in row order), sample_rate, min / max i_avg per machine.
 
     The rate is 1 / exact median time step (1.0 for fewer than two rows or a step <= 0).
-    Steps are counted per distinct value first, so the median is taken over a small
-    value-count table.
     """
     steps = previous(readings, ["machine"], "row_idx", _prev="timestamp").withColumn(
         "_step", F.unix_micros("timestamp") - F.unix_micros("_prev"))
-    by_step = steps.groupBy("machine", "_step").agg(
+    by_step = ranged_counts(steps.groupBy("machine", "_step").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by("timestamp", "row_idx").alias("_first"), F.min("row_idx").alias("_lo"),
         F.max_by("timestamp", "row_idx").alias("_last"), F.max("row_idx").alias("_hi"),
-        F.min("i_avg").alias("_min"), F.max("i_avg").alias("_max"))
-    step = F.expr("percentile(_step, 0.5, _n)") / 1e6
+        F.min("i_avg").alias("_min"), F.max("i_avg").alias("_max")), ["machine"], "_step")
+    whole = by_step.groupBy("machine").agg(
+        F.sum("_n").alias("n"),
+        F.min_by("_first", "_lo").alias("t_first"), F.max_by("_last", "_hi").alias("t_last"),
+        F.min("_min").alias("min_i_avg"), F.max("_max").alias("max_i_avg"))
+    middle = median_of_counts(by_step, ["machine"], "_step", "_n", "_median")
     return small_table(
-        by_step.groupBy("machine").agg(
-            F.sum("_n").alias("n"),
-            F.min_by("_first", "_lo").alias("t_first"), F.max_by("_last", "_hi").alias("t_last"),
-            F.min("_min").alias("min_i_avg"), F.max("_max").alias("max_i_avg"),
-            step.alias("_median_step"))
-        .withColumn("sample_rate", F.when(F.col("_median_step") > 0, 1.0 / F.col("_median_step"))
-                    .otherwise(1.0)).drop("_median_step"),
+        whole.join(middle, "machine", "left")
+        .withColumn("sample_rate", F.when(F.col("_median") > 0, 1e6 / F.col("_median")).otherwise(1.0)).drop("_median"),
         "machine-stats")
 
 

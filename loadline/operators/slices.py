@@ -42,17 +42,21 @@ def context_rows(readings: DataFrame, centres: DataFrame, seconds: float) -> Dat
 
 
 def window_context(readings: DataFrame, windows: DataFrame, sizes: float = 3.0) -> DataFrame:
-    """Rows from ``sizes`` window lengths before a window to as many after it."""
+    """Rows from ``sizes`` window lengths before a chosen window to as many after it.
+
+    Time is cut into cells as wide as the machine's longest context, so a window meets the rows of at most two cells.
+    """
     length = F.unix_micros("end_time") - F.unix_micros("start_time")
-    middle = windows.select(
+    reach = windows.select(
         "machine", "window_index",
         ((F.unix_micros("start_time") - length * sizes)).cast("bigint").alias("_from"),
         ((F.unix_micros("end_time") + length * sizes)).cast("bigint").alias("_to"))
-    cell_us = 60_000_000
-    cells = F.explode(F.sequence(F.floor(F.col("_from") / cell_us), F.floor(F.col("_to") / cell_us)))
+    widest = reach.groupBy("machine").agg(F.max(F.col("_to") - F.col("_from")).alias("_cell_us"))
+    sized = reach.join(widest, "machine")
+    cells = F.explode(F.sequence(F.floor(F.col("_from") / F.col("_cell_us")), F.floor(F.col("_to") / F.col("_cell_us"))))
     at = F.unix_micros("timestamp")
-    return (readings.withColumn("_cell", F.floor(at / cell_us))
-            .join(middle.withColumn("_cell", cells), ["machine", "_cell"])
+    return (readings.join(widest, "machine").withColumn("_cell", F.floor(at / F.col("_cell_us"))).drop("_cell_us")
+            .join(sized.withColumn("_cell", cells).drop("_cell_us"), ["machine", "_cell"])
             .filter(F.unix_micros("timestamp").between(F.col("_from"), F.col("_to")))
             .drop("_cell", "_from", "_to"))
 

@@ -34,10 +34,8 @@ def run_table(df: DataFrame, keys: list[str], order: str, value: str,
     pieces = stage(pieces, name)
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = stage(
-        pieces.groupBy(*keys, BLOCK).agg(F.max("_seq").alias("_n"))
-        .select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
-        f"{name}-carry")
+    carry = (pieces.groupBy(*keys, BLOCK).agg(F.max("_seq").alias("_n"))
+             .select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
     return (pieces.join(carry, [*keys, BLOCK])
             .withColumn("run_id", F.col("_before") + F.col("_seq") - 1)
             .groupBy(*keys, "run_id")

@@ -101,12 +101,10 @@ def carry_scan(
         *[F.max_by(out, order).alias(out) for out in lasts])
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = stage(
-        totals.select(
-            *keys, BLOCK,
-            *[F.sum(out).over(earlier).alias(f"_carry_{out}") for out in sums],
-            *[F.last(out, ignorenulls=True).over(earlier).alias(f"_carry_{out}") for out in lasts]),
-        f"{name}-carry")
+    carry = totals.select(
+        *keys, BLOCK,
+        *[F.sum(out).over(earlier).alias(f"_carry_{out}") for out in sums],
+        *[F.last(out, ignorenulls=True).over(earlier).alias(f"_carry_{out}") for out in lasts])
     joined = local.join(carry, [*keys, BLOCK])
     joined = joined.withColumns(
         {out: F.col(out) + F.coalesce(f"_carry_{out}", F.lit(0)) for out in sums}
@@ -137,14 +135,38 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "ro
     counts = ordered.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(base))
     earlier = (Window.partitionBy(*keys).orderBy(part)
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = stage(
-        counts.select(*keys, part, (F.coalesce(F.sum(n).over(earlier), F.lit(0))
-                                    - F.col(base)).alias(base)),
-        "ordered-offsets")
+    offsets = counts.select(*keys, part, (F.coalesce(F.sum(n).over(earlier), F.lit(0)) - F.col(base)).alias(base))
     return (ordered.join(offsets, [*keys, part])
             .withColumn(out, F.col(pos) + F.col(base)).drop(part, pos, base))
 
 
+def ranged_counts(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A written table of counts per key and value, sorted by ranges, which split hot keys."""
+    return stage(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "counts")
+
+
+def median_of_counts(ranged: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
+    """Median of ``value`` per key from ``ranged_counts``: no task holds the values of a key.
+
+    Counts before a value, inside its range and of earlier ranges, tell which values hold the middle ranks.  NULLs do not
+    count; a key without values is absent.
+    """
+    some = ranged.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(count).alias("_n"), "_part")
+    parts = some.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    line = Window.partitionBy(*keys).orderBy("_part")
+    base = parts.select(*keys, "_part", F.coalesce(F.sum("_in").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+                        F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
+    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = some.withColumn("_to", F.sum("_n").over(upto)).join(base, [*keys, "_part"]).withColumn("_to", F.col("_to") + F.col("_base"))
+    holds = [F.expr(f"case when _to - _n <= ({rank}) and ({rank}) < _to then double(_v) else 0D end") for rank in ("(_all - 1) div 2", "_all div 2")]
+    return ranked.groupBy(*keys).agg((F.sum(holds[0] + holds[1]) / 2).alias(out))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    return median_of_counts(ranged_counts(counted, keys, value), keys, value, "_count", out)
+
+
 def assign_intervals(
     rows: DataFrame, intervals: DataFrame, keys: list[str], order: str,
     start: str, end: str, attributes: list[str],

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadline.functions import display
+from loadline.functions import display, parsing
 from loadline.functions.columns import with_exprs
 from loadline.operators import (
     classify, cycles, features, ingest, labels, lookback, metrics, models, quality, session_stats, slices,
@@ -19,7 +19,7 @@ from loadline.plans.labelling import Labelling
 from loadline.plans.staging import new_path, on_remove, stage
 from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, with_profile
 from loadline.registry.oracle import r, rs, rules, runs_sql, sql
-from loadline.sources import events, logs
+from loadline.sources import events, logs, sinks
 from loadline.streaming import states as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,15 +112,50 @@ def load_milling_logs(spark, sf):
     return rounded(logs.load_log(spark, "milling", paths))
 
 
-@query("header_rules")
+_HEADERS = """select * from (values ('furnace', 'Time Stamp', 'timestamp_str'), ('furnace', 'I1', 'i1'), ('furnace', 'I_2', 'i2'), ('furnace', 'i3', 'i3'),
+  ('furnace', 'Freq', 'frequency'), ('furnace', 'Note', null), ('milling', 'DateTime', 'timestamp_str'), ('milling', 'I 1', 'i1'), ('milling', 'i2', 'i2'),
+  ('milling', 'I3', 'i3'), ('milling', 'I_Avg', 'i_avg_src'), ('milling', 'Hz', 'frequency')) t(machine, header, canonical)"""
+
+
+@query("header_rules", sql("select h.machine, h.header, h.canonical, count(*) as rows from headers h join raw r using (machine) group by h.machine, h.header, h.canonical", {"headers": _HEADERS}))
 def header_rules(spark, sf):
-    """Canonical names of the headers of the given tables and of common spellings."""
-    headers = spark.read.parquet(f"{sf}/events.parquet").columns
-    spellings = spark.read.parquet(f"{sf}/events.parquet").select(
-        F.explode(F.array(*[F.lit(h) for h in [*headers, " Time Stamp", "I_1", "i2 ", "I_Avg", "Hz"]])).alias("header"))
-    mapping = logs.canonical_columns([*headers, " Time Stamp", "I_1", "i2 ", "I_Avg", "Hz"], True)
-    named = F.coalesce(*[F.when(F.col("header") == h, F.lit(c)) for h, c in mapping.items()])
-    return spellings.groupBy("header").agg(F.count("*").alias("rows")).withColumn("canonical", named)
+    """Headers of text logs of two machines, the names they are read under, and the rows below them."""
+    furnace = _raw(spark, sf, FURNACE).select(
+        "machine", "row_idx", F.col("timestamp_str").alias(" Time Stamp"), F.col("i1").alias("I1"), F.col("i2").alias("I_2"),
+        F.col("i3").alias("i3 "), F.col("frequency").alias("Freq"), F.lit("x").alias("Note"))
+    milling = _iso(spark, sf, MILLING).select(
+        "machine", "row_idx", F.col("timestamp_str").alias("DateTime"), F.col("i1").alias("I 1"), "i2", F.col("i3").alias("I3"),
+        F.col("i_avg_src").alias("I_Avg"), F.col("frequency").alias("Hz"))
+    paths = []
+    for log in (furnace, milling):
+        paths.append(new_path(spark, "csv-headers"))
+        logs.write_csv_logs(log, paths[-1])
+    files = [f for path in paths for f in logs.list_files(spark, f"{path}/machine=*")]
+    lines = logs.first_lines(spark, files)
+    rows = spark.read.text(files).groupBy(F.col("_metadata.file_path").alias("file")).agg((F.count("*") - 1).alias("rows"))
+    split = lines.withColumn("machine", F.regexp_extract("file", "machine=([a-z]+)", 1)).select(
+        "machine", "file", F.explode(F.split("header", ",")).alias("header"))
+    split = split.withColumn("header", F.regexp_replace("header", '^"|"$', ""))
+    named = parsing.canonical_column("header", F.col("machine") == "furnace")
+    return split.join(rows, "file").groupBy("machine", "header").agg(F.sum("rows").alias("rows")).withColumn("canonical", named)
+
+
+@query("registry_load", sql(f"""select 'furnace' as machine, row_idx, timestamp '2024-01-01' + to_microseconds(row_idx * 10000000) as timestamp,
+    {r('n1', 'i1')}, {r('(n1 + n2 + n3) / 3e0', 'i_avg')} from numeric_raw where machine = 'furnace'
+  union all select machine, row_number() over (partition by machine order by t, row_idx) - 1, t, floor(n1 * 1e6 + 5e-1) / 1e6, floor((n1 + n2 + n3) / 3e0 * 1e6 + 5e-1) / 1e6
+  from (select n.machine, n.row_idx, n1, n2, n3, coalesce(try_cast(q.timestamp_str as timestamp),
+    first_value(try_cast(q.timestamp_str as timestamp) ignore nulls) over (order by n.row_idx rows between unbounded preceding and unbounded following) + to_seconds(n.row_idx)) as t
+    from numeric_raw n join iso q using (event_id) where n.machine = 'conveyer')"""))
+def registry_load(spark, sf):
+    """Two machines from one registry table; the conveyer's log without cycles serves training only."""
+    sources = []
+    for profile, raw in ((FURNACE, _raw(spark, sf, FURNACE)), (CONVEYER, _iso(spark, sf, CONVEYER).drop("i_avg_src"))):
+        path = new_path(spark, "csv-registry")
+        logs.write_csv_logs(raw.drop("event_id").withColumnRenamed("timestamp_str", "Timestamp"), path)
+        sources.append((profile.profile, f"{path}/machine={profile.profile}", 0, False))
+    sources.append(("conveyer", sources[1][1], 1, True))
+    registry = stage(spark.createDataFrame(sources, "machine string, source string, rank int, training_only boolean"))
+    return rounded(logs.load_registry(spark, registry).select("machine", "row_idx", "timestamp", "i1", "i_avg"))
 
 
 @query("machine_registry", sql("""select p.profile as machine, p.window_seconds, p.green_min_rms, n as samples
@@ -247,13 +282,18 @@ def context_join(spark, sf):
     return slices.context_rows(rows, centres, 60).select("machine", "centre_id", "row_idx")
 
 
-@query("window_context", sql("""select w.machine, w.window_index, r.row_idx from windows w join readings r
-  on r.machine = w.machine and r.ts >= w.start_time - 3 * (w.end_time - w.start_time)
+@query("window_context", sql("""select w.machine, w.window_index, r.row_idx from (select machine, window_index, start_time, end_time from windows
+    join (select machine, coalesce(max(case when n_samples >= 8 then window_index end), max(window_index)) as window_index from windows group by machine) using (machine, window_index)
+    union all select machine, window_index, start_time, end_time from windows where window_index = 0) w
+  join readings r on r.machine = w.machine and r.ts >= w.start_time - 3 * (w.end_time - w.start_time)
     and r.ts <= w.end_time + 3 * (w.end_time - w.start_time)"""))
 def window_context(spark, sf):
+    """Context of the first and the last full window of every machine."""
     rows = events.readings(spark, sf)
     table = stage(windows.generate_windows(rows, analysis.settings_of(rows)))
-    return slices.window_context(rows, table).select("machine", "window_index", "row_idx")
+    last = windows.last_full_window(table).withColumnRenamed("last_full_index", "window_index")
+    chosen = table.join(last, ["machine", "window_index"]).unionByName(table.filter("window_index = 0"))
+    return slices.window_context(rows, chosen).select("machine", "window_index", "row_idx")
 
 
 @query("row_range_context", sql("""select machine, row_idx from readings where row_idx >= 600 and row_idx < 900"""))
@@ -263,6 +303,19 @@ def row_range_context(spark, sf):
     return slices.trim_context(wide).select("machine", "row_idx")
 
 
+@query("row_range_files", sql("""select machine, count(*) as rows, min(row_idx) as first_row, max(row_idx) as last_row, true as fewer_files from readings
+  where row_idx >= 700 - 119 and row_idx < 900 group by machine"""))
+def row_range_files(spark, sf):
+    """A range and its look-back from saved readings, opening only the files of its blocks."""
+    path = new_path(spark, "saved-readings")
+    logs.save_readings(events.readings(spark, sf), path, rows_per_file=250)
+    every = len(spark.read.parquet(path).inputFiles())
+    part = logs.read_range(spark, path, 700, 900, look_back=119, rows_per_file=250).withColumn("_file", F.input_file_name())
+    counted = part.groupBy("machine").agg(F.count("*").alias("rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
+                                          F.count_distinct("_file").alias("_files"))
+    return counted.withColumn("fewer_files", F.col("_files") * len(PROFILES) < every).drop("_files")
+
+
 @query("downsample", sql("""select machine, row_idx from readings join stats using (machine)
   where row_idx % greatest(1, n // 2000) = 0"""))
 def downsample(spark, sf):
@@ -304,6 +357,16 @@ def state_share(spark, sf):
     return rounded(classify.state_share(classify.sample_states(events.readings(spark, sf))))
 
 
+@query("result_runs", sql(share_sql("sampled"), {"sampled": f"select r.machine, {_STATE} as state from readings r join profiles p on p.profile = r.machine"}))
+def result_runs(spark, sf):
+    """State shares written twice as one run, read back once."""
+    path = new_path(spark, "result-runs")
+    share = rounded(classify.state_share(classify.sample_states(events.readings(spark, sf))))
+    for _ in range(2):
+        sinks.save_run(share, path, "2024-01")
+    return sinks.read_run(spark, path)
+
+
 @query("job_names", sql("""select machine, cycle_id, job_type, case k when 1 then 'Standard'
     when 2 then ['Light Load', 'Heavy Load'][job_type + 1] else ['Light Load', 'Medium Load', 'Heavy Load'][job_type + 1] end as job_name
   from jobs join profiles p on p.profile = machine join (select machine, least(any_value(job_types), count(*)) as k from job_raw group by machine) using (machine)"""))
@@ -314,6 +377,15 @@ def job_names(spark, sf):
 
 # ---------------------------------------------------------------- windows
 
+@query("timeline_labels", sql("""select machine, window_index, strftime(centre_time, '%b %d  %H:%M:%S') as label, strftime(start_time, '%H:%M:%S') as starts
+  from windows"""))
+def timeline_labels(spark, sf):
+    """Texts of window centres and starts as a timeline shows them."""
+    rows = events.readings(spark, sf)
+    table = windows.generate_windows(rows, analysis.settings_of(rows))
+    return table.select("machine", "window_index", display.timeline_label("centre_time").alias("label"), display.clock_label("start_time").alias("starts"))
+
+
 @query("sliding_windows", sql("""select machine, window_index, start_time, end_time, centre_time, n_samples, start_row, end_row from windows"""))
 def sliding_windows(spark, sf):
     rows = events.readings(spark, sf)
@@ -534,6 +606,15 @@ def cycle_features_runs(spark, sf):
     return rounded(found.withColumn("cycle_id", F.col("cycle_id").cast("int")))
 
 
+@query("cycle_hours", sql(f"""select machine, cycle_id, {r('count(*) / 3600e0', 'hours')} from labelled where machine = 'furnace' and cycle_id >= 0
+  group by machine, cycle_id"""))
+def cycle_hours(spark, sf):
+    """Durations of furnace cycles back from their logarithm."""
+    lab = _labelling(spark, sf)
+    found = cycles.green_cycle_features(cycles.cycle_samples(lab.readings, lab.intervals))
+    return rounded(found.select("machine", F.col("cycle_id").cast("int"), cycles.hours_of("log_duration").alias("hours")))
+
+
 @query("cycle_summary", sql(f"""select s.machine, count(k.cycle_id) as n_cycles, {r('coalesce(avg(duration_s), 0e0)', 'mean_duration')},
   {r('coalesce(stddev_pop(duration_s), 0e0)', 'std_duration')}, {r('coalesce(median(duration_s), 0e0)', 'median_duration')}
   from stats s left join cycles k using (machine) group by s.machine"""))
@@ -682,8 +763,9 @@ def prediction_mask(spark, sf):
 
 @query("label_agreement", sql("select machine, row_idx, state_label, ml_state from predictions"))
 def label_agreement(spark, sf):
-    both = stage(_predictions(spark, sf), "predictions")
-    return metrics.label_agreement(both, both)
+    lab = _labelling(spark, sf)
+    labelled = cycles.labelled_samples(lab.readings, lab.intervals)
+    return metrics.label_agreement(labelled, _predictions(spark, sf))
 
 
 def confusion_sql(true: str, pred: str, where: str, classes: int) -> str:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadline.functions.parsing import canonical_name
 from loadline.operators.ingest import clean
 from loadline.plans.blocks import number_rows
-from loadline.profiles import PROFILES
+from loadline.plans.staging import stage
+from loadline.profiles import PROFILES, Profile
 
 FILE_ORDER = ["src_rank", "src_block", "src_pos"]
 
@@ -33,26 +35,53 @@ def canonical_columns(headers: list[str], any_time_header: bool = False) -> dict
     return {h: c for h, c in named.items() if c}
 
 
+def first_lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file.
+
+    One task a file, which stops after one row, so nothing behind the first line is fetched but the reader's buffer.
+    """
+    whole = str(1 << 50)  # a file is one partition
+    held = {key: spark.conf.get(key) for key in _HEADER_SETTINGS}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    spark.conf.set("spark.sql.files.openCostInBytes", whole)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        lines = spark.read.text(list(files)).select("value", F.col("_metadata.file_path").alias("file"))
+
+        def first(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("value")], ["file", "header"])
+                return
+
+        return stage(lines.mapInArrow(first, "file string, header string"), "headers")
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+
+
+_HEADER_SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def header_groups(spark: SparkSession, files: Sequence[str]) -> list[list[str]]:
-    """Files grouped by their first line, all read in one job."""
-    lines = spark.read.text(list(files)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("pos"))
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
-    return [r.files for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files").collect()]
+    """Files grouped by their first line; empty files are in no group."""
+    grouped = first_lines(spark, files).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r.files for r in grouped.orderBy("files").collect()]
 
 
-def scan_csv(spark: SparkSession, files: Sequence[str], any_time_header: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, files: Sequence[str], any_time_header: bool = False, machines: Sequence[str] | None = None) -> DataFrame:
     """All columns as text under canonical names, with file rank, split and position.
 
-    Files are grouped by header, so each group is one scan.
+    Files are grouped by header, so each group is one scan.  ``machines`` names the machine of each file.
     """
     def scan(paths):
         return spark.read.option("header", True).option("enforceSchema", False).csv(paths)
 
-    ranks = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "src_rank int, _file string")
+    ranks = spark.createDataFrame([(i, f, m) for i, (f, m) in enumerate(zip(files, machines or [None] * len(files)))],
+                                  "src_rank int, _file string, machine string")
+    if machines is None:
+        ranks = ranks.drop("machine")
     parts = []
-    for paths in header_groups(spark, files):
+    for paths in header_groups(spark, sorted(set(files))):
         names = canonical_columns(scan(paths[:1]).columns, any_time_header)
         parts.append(scan(paths).select(
             *[F.col(f"`{h}`").alias(c) for h, c in names.items()],
@@ -63,12 +92,9 @@ def scan_csv(spark: SparkSession, files: Sequence[str], any_time_header: bool =
     return rows.join(ranks, "_file").drop("_file")
 
 
-def load_log(spark: SparkSession, machine: str, source: str | Sequence[str], profiles=PROFILES) -> DataFrame:
-    """Clean readings of one machine from its CSV log, by the rules of its profile."""
-    profile = next(p for p in profiles if p.profile == machine.split("_")[0])
-    files = list_files(spark, source)
-    rows = scan_csv(spark, files, profile.time_mode == "wrapping_clock")
-    rows = rows.withColumn("machine", F.lit(machine))
+def load_files(spark: SparkSession, files: Sequence[tuple[str, str]], profile: Profile) -> DataFrame:
+    """Clean readings of all machines of one profile from (machine, file) pairs, in one plan."""
+    rows = scan_csv(spark, [f for _, f in files], profile.time_mode == "wrapping_clock", [m for m, _ in files])
     if "timestamp_str" not in rows.columns or profile.time_mode != "iso_fallback":
         raw = number_rows(rows, ["machine"], FILE_ORDER)
         return clean(raw, profile)
@@ -78,25 +104,51 @@ def load_log(spark: SparkSession, machine: str, source: str | Sequence[str], pro
     return clean(raw, profile, ("machine", "src_rank"), "file_row")
 
 
+def load_log(spark: SparkSession, machine: str, source: str | Sequence[str], profiles=PROFILES) -> DataFrame:
+    """Clean readings of one machine from its CSV log, by the rules of its profile."""
+    return load_machines(spark, {machine: source}, profiles)
+
+
 def load_machines(spark: SparkSession, sources: dict[str, str | Sequence[str]], profiles=PROFILES) -> DataFrame:
-    """Readings of all machines of a registry ``{machine: source}``."""
-    return reduce(DataFrame.unionByName,
-                  [load_log(spark, machine, source, profiles) for machine, source in sources.items()])
+    """Readings of all machines of ``{machine: source}``: one branch of one plan a profile, however many machines."""
+    known = {p.profile: p for p in profiles}
+    by_profile: dict[str, list[tuple[str, str]]] = {}
+    for machine, source in sources.items():
+        name = machine.split("_")[0]
+        if name not in known:
+            raise ValueError(f"no profile for machine {machine}")
+        by_profile.setdefault(name, []).extend((machine, f) for f in list_files(spark, source))
+    return reduce(DataFrame.unionByName, [load_files(spark, files, known[name]) for name, files in by_profile.items()])
+
+
+def load_registry(spark: SparkSession, registry: DataFrame, training: bool = False, profiles=PROFILES) -> DataFrame:
+    """Readings of all machines of a registry table (machine, source, rank, training_only).
+
+    Sources of a machine are taken by rank.  Those marked training_only (logs that do not show the machine's cycles) are left out
+    unless ``training`` asks for them; a machine without any other source has no readings then.
+    """
+    rows = registry.filter(F.lit(training) | ~F.coalesce("training_only", F.lit(False))).orderBy("machine", "rank").collect()  # configuration
+    sources: dict[str, list[str]] = {}
+    for r in rows:
+        sources.setdefault(r.machine, []).append(r.source)
+    return load_machines(spark, sources, profiles)
 
 
 def save_readings(readings: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
-    """Parquet by machine, in time order, split so that no file grows with the log."""
-    block = F.expr(f"row_idx div {rows_per_file}")
-    (readings.repartition("machine", block).sortWithinPartitions("machine", "row_idx")
-     .write.mode("overwrite").partitionBy("machine").parquet(path))
+    """Parquet by machine and block of rows, in time order, so that a range of rows is a few files."""
+    out = readings.withColumn("block", F.expr(f"row_idx div {rows_per_file}"))
+    (out.repartition("machine", "block").sortWithinPartitions("machine", "row_idx")
+     .write.mode("overwrite").partitionBy("machine", "block").parquet(path))
 
 
-def save_results(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").partitionBy("machine").parquet(path)
+def read_range(spark: SparkSession, path: str, start: int, end: int, look_back: int = 0, rows_per_file: int = 5_000_000) -> DataFrame:
+    """Rows [start - look_back, end) of every machine saved with ``save_readings``; other blocks' files are not opened."""
+    low = max(0, start - look_back)
+    saved = spark.read.parquet(path).filter(F.col("block").between(low // rows_per_file, max(0, end - 1) // rows_per_file))
+    return saved.filter((F.col("row_idx") >= low) & (F.col("row_idx") < end)).drop("block")
 
 
 def write_csv_logs(readings: DataFrame, path: str) -> None:
     """Text logs, one folder per machine; rows stay in order inside and across files."""
     by_block = readings.repartitionByRange("machine", "row_idx").sortWithinPartitions("machine", "row_idx")
     by_block.drop("row_idx").write.partitionBy("machine").option("header", True).csv(path)
-

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from loadline.operators.classify import classify, sample_states
 from loadline.operators.features import feature_row, time_aggregates, with_phase_imbalance
@@ -87,6 +88,64 @@ def stream_hysteresis(windows: DataFrame, min_consecutive: int = MIN_CONSECUTIVE
             .applyInPandasWithState(update, RESULT, STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+class _Hysteresis(StatefulProcessor):
+    """Takes one machine's windows one by one, in the order of their ends.
+
+    A window waits until the watermark has passed its end, when none before it can come any more; waiting windows are the
+    only ones held.  A window that comes later than that has been dropped by the aggregation before.
+    """
+
+    def __init__(self, needed: int, initial: str) -> None:
+        self.needed, self.initial = needed, initial
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", STATE)
+        self.waiting = handle.getMapState("waiting", "end_us long", "state string, confidence double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            ends = frame["end_time"].astype("datetime64[us]").astype("int64")
+            for end, state, confidence in zip(ends, frame["state"], frame["confidence"]):
+                self.waiting.updateValue((int(end),), (state, float(confidence)))
+                self.handle.registerTimer(-(-int(end) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = sorted(end for (end,) in self.waiting.keys() if end <= expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        current, candidate, streak = self.now.get() if self.now.exists() else (self.initial, self.initial, 0)
+        out = []
+        for end in due:
+            raw, confidence = self.waiting.getValue((end,))
+            self.waiting.removeKey((end,))
+            streak = min(streak + 1, self.needed) if raw == candidate else 1
+            candidate = raw
+            changed = streak >= self.needed and raw != current
+            current = raw if changed else current
+            out.append((key[0], pd.Timestamp(end, unit="us"), raw, confidence, current, changed))
+        if due:
+            self.now.update((current, candidate, streak))
+            yield pd.DataFrame(out, columns=["machine", "end_time", "state", "confidence", "smoothed_state", "changed"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_smoothed_windows(stream: DataFrame, profiles=PROFILES, min_consecutive: int = MIN_CONSECUTIVE, initial: str = RED, **options) -> DataFrame:
+    """From readings to smoothed window states in one query: windows, checks, rules, then hysteresis by machine.
+
+    Needs the RocksDB state store (``use_rocksdb``).
+    """
+    windows = stream_all_windows(stream, profiles, **options).select("machine", "end_time", "state", "confidence")
+    return windows.groupBy("machine").transformWithStateInPandas(
+        _Hysteresis(max(1, min_consecutive), initial), RESULT, "Append", "EventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State stores of queries started from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_transitions(smoothed: DataFrame) -> DataFrame:
     return smoothed.filter("changed").select("machine", "end_time", F.col("smoothed_state").alias("state"), "confidence")
 

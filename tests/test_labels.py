@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import loops
 from loadline.operators.labels import (
-    cycles_between_reds, cycles_of_green_runs, smooth_leftmost, smooth_simultaneous)
+    cycles_between_reds, cycles_of_green_runs, numbered_cycles, smooth_leftmost, smooth_simultaneous)
 from loadline.operators.states import run_table
 from loadline.plans.staging import stage
 
@@ -72,7 +72,7 @@ def test_cycles(spark, blocks):
                          (cycles_of_green_runs, lambda v: loops.cycles_of_green(v, 3))):
         _, cycles = detect(runs)
         got = {m: [] for m in logs}
-        for c in sorted(cycles.collect(), key=lambda c: (c.machine, c.cycle_id)):
+        for c in sorted(numbered_cycles(cycles).collect(), key=lambda c: (c.machine, c.cycle_id)):
             assert c.cycle_id == len(got[c.machine])
             got[c.machine].append((c.cycle_start, c.cycle_end))
         assert got == {m: loop(v) for m, v in logs.items()}

@@ -10,6 +10,8 @@ CHECKED = [
     "readings_clean", "load_furnace_log", "load_milling_logs", "timestamp_fallback", "sort_and_renumber",
     "numeric_coercion", "context_join", "state_share", "window_validation", "dataset_validation",
     "spectral_features", "window_analysis", "state_segments", "cycle_position", "cycle_summary",
+    "header_rules", "registry_load", "row_range_files", "result_runs", "window_context", "label_agreement", "job_clusters",
+    "job_cluster_summary", "job_names", "labelled_readings", "lookback_moments", "ml_candidates", "ml_prediction_check", "ml_range", "short_logs",
     "lookback_windows", "confusion_matrix", "class_report", "multitask_loss", "streaming_windows",
 ]
 
