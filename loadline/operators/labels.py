@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadline.functions.columns import with_exprs
 from loadline.operators.classify import label_states
-from loadline.operators.states import run_table
-from loadline.plans.blocks import carry_scan, dense_number, over_neighbours
+from loadline.operators.states import run_table, runs_of_flags
+from loadline.plans.blocks import BLOCK, carry_scan, dense_number, over_neighbours, sent_to_blocks
 from loadline.plans.staging import stage
 from loadline.profiles import PROFILES, with_profile
 
@@ -47,18 +47,19 @@ def smooth_simultaneous(runs: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
     return runs.select(*KEYS, "run_id", "value", "start", "end", "len")
 
 
-def _merge_pass(runs: DataFrame, ) -> DataFrame:
-    """One pass; without a short run it changes nothing."""
-    def replaced(w):
-        return [
-            {"_left": F.lag("len").over(w), "_right": F.lead("len").over(w),
-             "_lv": F.lag("value").over(w), "_rv": F.lead("value").over(w)},
-            {"value": F.expr("""case
-                when len >= label_min_run or coalesce(_left, _right) is null then value
-                when coalesce(_left, 0) >= coalesce(_right, 0) then _lv else _rv end""")}]
+def _merge_pass(runs: DataFrame) -> DataFrame:
+    """One pass; without a short run it changes nothing.
 
-    moved = over_neighbours(runs, KEYS, "run_id", replaced, before=1, after=1)
-    return run_table(moved, KEYS, "run_id", "value", "start", "end", "smooth-runs", ["label_min_run"])
+    New values and the places where a run of them starts come from one shuffle: a block also gets the two runs before it
+    and the one after it.
+    """
+    sent, own = sent_to_blocks(runs, "run_id", before=2, after=1)
+    w = Window.partitionBy(*KEYS, BLOCK).orderBy("run_id")
+    near = sent.withColumns({"_left": F.lag("len").over(w), "_right": F.lead("len").over(w), "_lv": F.lag("value").over(w), "_rv": F.lead("value").over(w)})
+    moved = with_exprs(near, value="""case when len >= label_min_run or coalesce(_left, _right) is null then value
+                                           when coalesce(_left, 0) >= coalesce(_right, 0) then _lv else _rv end""")
+    flagged = moved.withColumn("_new", F.when(F.lag("value").over(w).eqNullSafe(F.col("value")), 0).otherwise(1)).filter(F.col(BLOCK) == own)
+    return runs_of_flags(flagged, KEYS, "run_id", "value", "start", "end", "smooth-runs", ["label_min_run"])
 
 
 def smooth_leftmost(runs: DataFrame, stats: DataFrame) -> DataFrame:

@@ -119,9 +119,11 @@ def short_logs(stats: DataFrame, profiles=PROFILES, look_back: int | None = None
 def training_rows(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, statistics, left out): normalised labelled rows with their split, statistics of the train rows.
 
-    Machines with a split shorter than the look-back are left out and listed; all others go on.
+    Machines with a split shorter than the look-back are left out and listed; all others go on.  Raises if none is left.
     """
     short = small_table(short_logs(stats, profiles, look_back), "short-logs")
+    if stats.join(short, "machine", "left_anti").isEmpty() and (first := short.orderBy("machine", "split").first()):
+        raise ValueError(f"{first.machine}: {first.split} has {first.rows} rows, fewer than the look-back, and no other machine is longer")
     split = temporal_split(labelled, stats).join(short.select("machine").distinct(), "machine", "left_anti")
     means = norm_stats(split.filter("split = 'train'"))
     return normalised(split, means), means, short
@@ -130,7 +132,8 @@ def training_rows(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look
 def training_sets(labelled: DataFrame, stats: DataFrame, profiles=PROFILES, look_back: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Look-back samples of all splits as arrays, and the train channel statistics.
 
-    Windows never cross a split.  Machines with a split shorter than the look-back are left out (``short_logs``).
+    Windows never cross a split.  Machines with a split shorter than the look-back are left out (``short_logs``); raises
+    if none is left.
     """
     rows, means, _ = training_rows(labelled, stats, profiles, look_back)
     samples = lookback(rows, ["machine", "split"], profiles, look_back)

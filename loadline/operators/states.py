@@ -20,12 +20,16 @@ def run_table(df: DataFrame, keys: list[str], order: str, value: str,
     first and last position a row stands for when ``df`` is itself a run table; ``carried``
     are columns constant per key.
     """
-    low, high, carried = low or order, high or order, carried or []
-    constant = [F.first(c).alias(c) for c in carried]
     flagged = over_neighbours(
         df, keys, order,
         lambda w: [{"_new": F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)}],
         keep_block=True)
+    return runs_of_flags(flagged, keys, order, value, low or order, high or order, name, carried or [])
+
+
+def runs_of_flags(flagged: DataFrame, keys: list[str], order: str, value: str, low: str, high: str, name: str, carried: list[str]) -> DataFrame:
+    """Runs from rows with their block and ``_new``, 1 where a run starts."""
+    constant = [F.first(c).alias(c) for c in carried]
     upto = (Window.partitionBy(*keys, BLOCK).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pieces = (flagged.withColumn("_seq", F.sum("_new").over(upto)).groupBy(*keys, BLOCK, "_seq")

@@ -14,7 +14,7 @@ from loadline.operators import (
     classify, cycles, features, ingest, labels, lookback, metrics, models, quality, session_stats, slices,
     spectral, states, windows)
 from loadline.plans import state_analysis as analysis
-from loadline.plans.blocks import over_neighbours
+from loadline.plans.blocks import number_rows, over_neighbours
 from loadline.plans.labelling import Labelling
 from loadline.plans.staging import new_path, on_remove, stage
 from loadline.profiles import CONVEYER, FURNACE, MILLING, PROFILES, ROBO, with_profile
@@ -842,7 +842,8 @@ def confidence_histogram(spark, sf):
 # ---------------------------------------------------------------- models
 
 _models: dict[tuple, tuple] = {}
-on_remove(_models.clear)
+forget_models = _models.clear
+on_remove(forget_models)
 
 
 def _trained(spark, sf):
@@ -978,3 +979,13 @@ def streaming_hysteresis(spark, sf):
   where prev <> smoothed_state"""))
 def streaming_transitions(spark, sf):
     return rounded(streaming.stream_transitions(_stream_smoothed(spark, sf)))
+
+
+@query("streaming_smoothed", sql("select machine, true as same from stats"))
+def streaming_smoothed(spark, sf):
+    """Readings to smoothed window states in one stream, against batch hysteresis over the same windows."""
+    stream = streaming.as_stream(spark, events.readings(spark, sf), "smoothed-input", files_per_batch=2)
+    out = streaming.run_to_table(streaming.stream_smoothed_windows(stream), "smoothed-stream", provider=streaming.ROCKSDB)
+    numbered = number_rows(out, ["machine"], ["end_time"], "window_index")
+    both = states.hysteresis(numbered, ["machine"], initial="RED", out="again")
+    return both.groupBy("machine").agg(F.bool_and(F.col("smoothed_state") == F.col("again")).alias("same"))

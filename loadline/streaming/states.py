@@ -134,30 +134,35 @@ class _Hysteresis(StatefulProcessor):
 def stream_smoothed_windows(stream: DataFrame, profiles=PROFILES, min_consecutive: int = MIN_CONSECUTIVE, initial: str = RED, **options) -> DataFrame:
     """From readings to smoothed window states in one query: windows, checks, rules, then hysteresis by machine.
 
-    Needs the RocksDB state store (``use_rocksdb``).
+    Needs the RocksDB state store (``run_to_table(..., provider=ROCKSDB)``).
     """
     windows = stream_all_windows(stream, profiles, **options).select("machine", "end_time", "state", "confidence")
     return windows.groupBy("machine").transformWithStateInPandas(
         _Hysteresis(max(1, min_consecutive), initial), RESULT, "Append", "EventTime")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State stores of queries started from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 def stream_transitions(smoothed: DataFrame) -> DataFrame:
     return smoothed.filter("changed").select("machine", "end_time", F.col("smoothed_state").alias("state"), "confidence")
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process all available input into a parquet table and read it."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, name: str, provider: str | None = None) -> DataFrame:
+    """Process all available input into a parquet table and read it, with another state store if named."""
     spark = stream.sparkSession
     path = new_path(spark, name)
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{path}-progress").option("path", path)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", f"{path}-progress").option("path", path)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 

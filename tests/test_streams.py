@@ -1,11 +1,13 @@
 """Streams over several micro-batches equal the batch result."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 import loops
 from loadline.plans.staging import new_path
+from loadline.profiles import CONVEYER
 from loadline.streaming import states as streaming
 from test_sequences import state_logs
 
@@ -26,3 +28,37 @@ def test_hysteresis_state_survives_batches(spark):
     for r in streaming.run_to_table(streaming.stream_hysteresis(stream), "stream-out").orderBy("machine", "end_time").collect():
         got.setdefault(r.machine, []).append(r.smoothed_state)
     assert got == {m: loops.smooth_states(v, 3, "RED") for m, v in logs.items()}
+
+
+def test_readings_to_smoothed_windows_in_one_query(spark):
+    """Small batches with rows out of order and one that is too late, against the loop over the windows in order."""
+    rng = random.Random(8)
+    path = new_path(spark, "one-query")
+    shape = "machine string, row_idx bigint, timestamp timestamp, i1 double, i2 double, i3 double, i_avg double, frequency double"
+    base, n = 1_704_067_200, 240
+    rows = []
+    for at in range(n):
+        load = rng.choice([0.02, 0.2, 0.6]) if at % 7 == 0 else (rows[-1][3] if rows else 0.02)
+        rows.append(("conveyer", at, base + at, load, load, load, load, 50.0))
+    held = [rows[i:i + 60] for i in range(0, n, 60)]
+    for part in held:
+        rng.shuffle(part)
+    held[3].append(("conveyer", 999, base + 2, 90.0, 90.0, 90.0, 90.0, 50.0))  # its windows were closed long before
+    for part in held:
+        df = spark.createDataFrame(part, shape.replace("timestamp timestamp", "at bigint")).withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+        df.select("machine", "row_idx", "timestamp", "i1", "i2", "i3", "i_avg", "frequency").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = streaming.run_to_table(streaming.stream_smoothed_windows(stream, (CONVEYER,)), "one-query-out", provider=streaming.ROCKSDB).orderBy("end_time").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ends = [r.end_time.timestamp() - base for r in out]
+    assert ends == sorted(set(ends)) and ends[-1] <= n - 1 - 10 and ends[-1] > n - 14
+    states = [r.state for r in out]
+    assert len(set(states)) == 3
+    smoothed = loops.smooth_states(states, 3, "RED")
+    assert [r.smoothed_state for r in out] == smoothed
+    assert [r.changed for r in out] == [a != b for a, b in zip(["RED", *smoothed], smoothed)]
