@@ -407,7 +407,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     while True:
         sized = now.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
         dealt = now.join(sized, F.col("host") == F.col("_h")).withColumn("_g", F.pmod(F.xxhash64("expr", "n"), F.col("_groups")))
-        now = stage(dealt.select("host", "expr", "n", "_g").groupBy("host", "_g").applyInPandas(merge, kind), "wrappers")
+        # dealt by both columns, or the groups of a hot host would share its task
+        now = stage(dealt.select("host", "expr", "n", "_g").repartition("host", "_g").groupBy("host", "_g").applyInPandas(merge, kind), "wrappers")
         if (now.groupBy("host").count().agg(F.max("count")).first()[0] or 1) == 1:
             break
     wrappers = now.select(F.col("host").alias("_host"), F.col("expr").alias("wrapper"))
