@@ -16,6 +16,9 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import LOWER, lean_batches, only_cache, prefix_sums
+from loadline.llm.common import LOWER, byte_rows, lean_batches, only_cache, prefix_sums
 from loadline.plans.staging import stage
 
 DIMS, BITS, HASHED = 4, 8, 256
+#: Type of ids by their bytes.
+KINDS = {2: "<u2", 4: "<u4"}
 END_ID = 1
 #: Most entries of a worker's token cache, about 200 bytes each.
 CACHE_PARTS = 600_000
+#: Bytes of text that are tokenized at once, and ids whose keys are made at once.
+GROUP_BYTES, GROUP_IDS = 1_000_000, 500_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -68,60 +75,107 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 #: How the tokenizer splits lower-case text: contractions, runs of letters, single digits, runs of other signs.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_PARTS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+#: The same for texts of ISO 8859-1, whose letters, numbers and white space these are.
+LATIN_PARTS = re.compile(CONTRACTIONS + "|[a-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\x0b\x0c\r\x85\xa0a-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
 PARTS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
 class WordTokens:
-    """Token ids of a text as bytes, part by part.
+    """Token ids of UTF-8 texts as bytes, part by part.
 
     The tokenizer splits text into parts (``PARTS``) and encodes each on its own, so a text's ids
-    are its parts' ids in order and each part is encoded once a worker.  New parts of letters are encoded together
-    and cut where a token ends a part.  Texts with special tokens, or whose letters the tokenizer rewrites before it
+    are its parts' ids in order and each part is encoded once a worker.  New parts of letters of some texts are encoded
+    together and cut where a token ends a part.  Texts with special tokens, or whose letters the tokenizer rewrites before it
     splits them, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for runs of letters between spaces, which need no other splitting, and of a to z, which need no mapping
+        self.letters, self.plain = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        for name, probe in (("letters", "word größe ångström εύρηκα слово 言葉 naïve x Österreich"), ("plain", "a word of the tokenizer quizzically jvxq z")):
+            if self.encoded(getattr(self, name), probe) != self.encoded(self.tokenizer, probe):
+                setattr(self, name, self.tokenizer)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint32 if size > 1 << 16 else np.uint16
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def encoded(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_PARTS:
-            known.clear()
-        new = [p for p in set(parts) if p not in known]
-        known.update((p, self.alone(p)) for p in new if not p.isalpha())
-        new = [p for p in new if p.isalpha()]
-        if not new:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new parts, remembered as well."""
+        if len(self.known) > CACHE_PARTS:
+            self.known.clear()
+        found = {p: self.alone(p) for p in new if not p.isalpha()}
+        letters = [p for p in new if p not in found] if found else new
+        self.learn_letters([p for p in letters if p.isascii()], self.plain, found)
+        self.learn_letters([p for p in letters if not p.isascii()], self.letters, found)
+        self.known.update(found)
+        return found
+
+    def learn_letters(self, letters: list[str], tokenizer, found: dict[str, bytes]) -> None:
+        if not letters:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) != len(new):
-            known.update((p, self.alone(p)) for p in new)
+        ids = np.array(self.encoded(tokenizer, " ".join(letters)), self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(letters):
+            found.update([(p, self.alone(p)) for p in letters])
             return
-        data, width = ids.tobytes(), ids.itemsize
-        known.update((p, data[x * width:y * width]) for p, x, y in zip(new, [0, *cuts], cuts))
-
-    def __call__(self, text: str) -> np.ndarray:
-        if "<|" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
-            return np.frombuffer(self.alone(text), self.dtype)
-        low = text.encode().translate(LOWER).decode()
-        parts = (ASCII_PARTS if low.isascii() else PARTS).findall(low)
+        data, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
+        found.update(zip(letters, [data[x:y] for x, y in zip([0, *cuts], cuts)]))
+
+    def split(self, text: bytes) -> list[str] | None:
+        """Parts of a text; None if it has to be encoded whole."""
+        if b"<|" in text:
+            return None
+        if text.isascii():
+            return ASCII_PARTS.findall(text.translate(LOWER).decode("ascii"))
+        low = text.translate(LOWER).decode()
         try:
-            data = b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self.learn(parts)
-            data = b"".join(map(self.known.__getitem__, parts))
-        return np.frombuffer(data, self.dtype)
+            low.encode("latin-1")
+            return LATIN_PARTS.findall(low)
+        except UnicodeEncodeError:
+            pass
+        if "\u0130" in low or not unicodedata.is_normalized("NFC", low):
+            return None
+        return PARTS.findall(low)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        cut = [self.split(x) for x in texts]
+        parts = list(set().union(*[own for own in cut if own]))
+        here = dict(zip(parts, map(self.known.get, parts)))  # small enough for a processor's cache
+        new = list(compress(parts, map(is_, here.values(), repeat(None))))
+        if new:
+            here.update(self.learn(new))
+        get = here.__getitem__
+        return [b"".join(map(get, own)) if own is not None else self.alone(x.decode()) for x, own in zip(texts, cut)]
+
+
+def some_texts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, about ``GROUP_BYTES`` at a time."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -138,50 +192,61 @@ def projection() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((HASHED, DIMS))
 
 
+def curve_keys(packed: list[bytes], counts: np.ndarray, dtype, project: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents from their packed ids, some at a time."""
+    keys = [np.zeros(0, np.int64)]
+    lo = 0
+    while lo < len(packed):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(counts[lo:]), GROUP_IDS)) + lo)
+        ids = np.frombuffer(b"".join(packed[lo:hi]), dtype).astype(np.uint32)
+        hashed = (ids * np.uint32(2654435761)) >> np.uint32(24)
+        place = np.repeat(np.arange(hi - lo, dtype=np.int64) * HASHED, counts[lo:hi]) + hashed
+        vector = np.log1p(np.bincount(place, minlength=(hi - lo) * HASHED).reshape(-1, HASHED))
+        points = vector @ project / np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
+        cells = np.clip((np.tanh(points) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+        keys.append(hilbert_key(cells.astype(np.int64)))
+        lo = hi
+    return np.concatenate(keys)
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, row, ids, n_tokens, key): ids are little-endian unsigned, 16 or 32 bit."""
 
     def run(batches):
         tokens, project = word_tokens(tokenizer_path), projection()
         only_cache(tokens.known)
+        end = np.array([end_id], tokens.dtype).tobytes()
         for batch in batches:
-            packed, counts, points = [], [], []
-            for text in batch.column("text"):
-                ids = tokens(text.as_py() or "")
-                ids = np.append(ids, tokens.dtype(end_id))
-                packed.append(ids.tobytes())
-                counts.append(len(ids))
-                hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
-                vector = np.log1p(np.bincount(hashed, minlength=HASHED))
-                points.append(vector @ project / (np.sqrt(vector @ vector) or 1.0))
-            cells = np.clip((np.tanh(np.array(points).reshape(-1, DIMS)) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+            packed = [ids + end for some in some_texts([x or b"" for x in byte_rows(batch.column("text"))]) for ids in tokens(some)]
+            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // len(end)
+            key = curve_keys(packed, counts, tokens.dtype, project)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(packed, pa.binary()), pa.array(counts, pa.int64()),
-                 pa.array(hilbert_key(cells.astype(np.int64)))], ["doc_id", "row", "ids", "n_tokens", "key"])
+                [batch.column("doc_id"), batch.column("row"), pa.array(packed, pa.binary()), pa.array(counts), pa.array(key)],
+                ["doc_id", "row", "ids", "n_tokens", "key"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, "doc_id long, row long, ids binary, n_tokens long, key long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), a row a piece."""
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), a row a piece; ids are little-endian unsigned 32-bit."""
     lean_batches(docs.sparkSession)
     rows = stage(tokenize(docs, tokenizer_path, end_id), "tokens")
     places = prefix_sums(rows.select("row", "doc_id", "n_tokens", "key"), ["key", "doc_id", "row"], "n_tokens", "place", name="curve")
     placed = rows.join(places.select(F.col("row").alias("_row"), "place"), F.col("row") == F.col("_row"))
 
     def cut(batches):
+        only_cache({})
         for batch in batches:
             out = [[] for _ in range(7)]
-            width = None
             for doc, data, place, n in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(),
                                            batch.column("place").to_pylist(), batch.column("n_tokens").to_pylist()):
-                width = len(data) // n
+                data = np.frombuffer(data, KINDS[len(data) // n]).astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     at = (place + start) % length
                     size = min(n - start, length - at)
-                    for column, value in zip(out, (doc, start, size, data[start * width:(start + size) * width], n,
+                    for column, value in zip(out, (doc, start, size, data[4 * start:4 * (start + size)], n,
                                                    (place + start) // length, at)):
                         column.append(value)
                     start += size
@@ -203,7 +268,7 @@ def sequences(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFra
             whole = []
             for parts, n in zip(batch.column("p").to_pylist(), batch.column("n_tokens").to_pylist()):
                 data = b"".join(x["ids"] for x in parts)
-                ids = np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
+                ids = np.frombuffer(data, "<u4")
                 whole.append(np.pad(ids.astype(np.int32), (0, length - n), constant_values=pad_id))
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(whole, pa.list_(pa.int32())), batch.column("n_tokens")],
                                              ["sequence_id", "ids", "n_tokens"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +42,7 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_digest(pieces: DataFrame) -> DataFrame:
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series, length: pd.Series) -> pd.Series:
-        import zlib
-
-        kinds = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
-        return pd.Series([zlib.crc32(np.frombuffer(x, kinds[len(x) // n]).astype("<u4").tobytes()) for x, n in zip(ids, length)], dtype="int64")
-
-    return pieces.select("doc_id", "start", "length", crc("ids", "length").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
