@@ -3,6 +3,10 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir).  Its result is written as
 Parquet in the shared folder and read again as the next one's ``docs``.  All stages but the last return
 the columns of ``documents``; clean documents stay.
+
+Defined cases, for every stage: a null text counts as empty; empty texts are kept and packed as their end token; a null doc_id
+is no ground to drop a row; rows that repeat a doc_id are kept or dropped together, but for lines, of which the last row keeps
+its own; other columns pass through unchanged (n_chars follows the text); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,17 +21,25 @@ from loadline.llm.queries import piece_digest
 from loadline.plans.staging import stage
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """``docs`` with columns of these names out of the way, and the selection that brings them back."""
+    moved = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(moved), [F.col(moved.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    docs, back = aside(docs, "score", "predicted")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model).filter("predicted = 0").select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in the last of them; n_chars follows the text."""
+    docs, back = aside(docs, "n_lines", "n_dropped")
     kept = line_dedup.dedup_lines(docs, min_docs=3, min_chars=20)
     text = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", text).select(*docs.columns)
+    return kept.withColumn("n_chars", text).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

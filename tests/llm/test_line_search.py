@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loadline.llm import chat, line_dedup, pivot_search, sharding
@@ -110,10 +111,29 @@ def test_chat_windows_round_trip(spark):
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
         assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == turns
         assert got[conv]["loss"] == "".join(x for role, x in turns if role == "assistant")
-    for w in windows.collect():
-        turns = w["formatted"].split(chat.END)[:-1]
-        assert w["tokens"] <= 256 or len(turns) - w["n_repeat"] == 1 or max(map(len, turns)) > 400
-        assert w["conv_id"] not in range(6) or turns[0].startswith("<turn role=system>")
+    def plain(part):
+        role, _, text = part.removeprefix("<turn role=").partition(">\n")
+        for sign, code in reversed(chat.ESCAPES):
+            role, text = role.replace(code, sign), text.replace(code, sign)
+        return role, text
+
+    def size(turn):
+        return len(regex.findall(chat.TOKEN, turn[1])) + chat.MARKUP
+
+    first = {}
+    for w in sorted(windows.collect(), key=lambda w: (str(w["conv_id"]), w["stride_no"], w["alone"])):
+        turns = [plain(x) for x in w["formatted"].split(chat.END)[:-1]]
+        repeated, new = turns[:w["n_repeat"]], turns[w["n_repeat"]:]
+        has_system = first.setdefault(w["conv_id"], turns[0])[0] == "system"
+        system = size(first[w["conv_id"]]) if has_system else 0
+        assert w["tokens"] == sum(map(size, turns)) and new
+        if repeated and has_system:
+            assert repeated[0] == first[w["conv_id"]]
+        assert sum(map(size, repeated[has_system:] if repeated else [])) <= 64  # the history
+        stride = max(256 - 64 - system, 64)
+        own = [t for t in new if not (has_system and t is turns[0])]
+        assert len(own) <= 1 or sum(map(size, own)) <= stride
+        assert w["tokens"] <= 256 or len(own) <= 1 or system > 128
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 

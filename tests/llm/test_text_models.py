@@ -157,6 +157,38 @@ def test_lm_base_score_is_exact(spark, broadcast_mb):
     assert len(untrained) == len(texts) and all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
 
 
+def plain_scores(train, texts, mu):
+    """Smoothed log10 probabilities from exact counts of words and pairs."""
+    one, two = Counter(), Counter()
+    for t in train:
+        own = [*plain_words(t), 0]
+        one.update(own)
+        two.update(zip([1, *own], own))
+    whole = sum(one.values()) + len(one) + 1
+    before = one | Counter({1: len(train)})
+    out = []
+    for t in texts:
+        own = [*plain_words(t), 0]
+        out.append(sum(math.log10((two[v, w] + mu * (one[w] + 1) / whole) / (before[v] + mu)) for v, w in zip([1, *own], own)))
+    return out
+
+
+@pytest.mark.parametrize("shards, broadcast_mb", [(None, 192), (7, 0)])
+def test_lm_score_is_near_the_unquantised_model(spark, monkeypatch, shards, broadcast_mb):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2000)  # several shards also where their number follows from the text
+    rng = random.Random(40)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 120))) for _ in range(300)] + ["", None, "never seen words"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = docs.filter("doc_id < 200")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, train, mu=100.0, shards=shards, broadcast_mb=broadcast_mb).collect()}
+    want = plain_scores(texts[:200], texts, 100.0)
+    for i, x in enumerate(want):
+        assert abs(got[i] - x) <= 0.03 * abs(x) + 0.05, (i, got[i], x)
+    assert abs(sum(got.values()) - sum(want)) <= 0.01 * abs(sum(want))
+
+
 def test_bloom_counts_are_never_low(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"k{int(x)}" for x in rng.zipf(1.4, 400) if x < 2000) for _ in range(20)]
