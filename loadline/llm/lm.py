@@ -41,6 +41,8 @@ BEGIN = xxhash.xxh3_64_intdigest(b" begin")
 WORD_BASE, PAIR_BASE = 1.1, 1.5
 BITS, PROBES = 10, 4
 CHUNK = 200_000
+#: Training text behind a shard, and shards fetched at a time.
+SHARD_BYTES, FETCHED = 4 << 20, 32
 
 _hashes = WordHashes()
 
@@ -155,14 +157,14 @@ def build_filter(partial: DataFrame) -> DataFrame:
 def gathered(filters: DataFrame, shards: list) -> tuple:
     """Some shards as plain arrays: shard, bits, bytes, cells, and their words in order with counts.
 
-    ``shards`` are rows (shard, distinct, cells' bytes); eight are fetched at a time, into arrays of known size.
+    ``shards`` are rows (shard, distinct, cells' bytes); ``FETCHED`` at a time go into arrays of known size.
     """
     ids, bits, sizes = [], [], []
     cells = np.empty(sum(r["cells"] for r in shards), np.uint8)
     words, counts = (np.empty(sum(r["distinct"] for r in shards), kind) for kind in (np.uint64, np.int64))
     at = here = 0
-    for lo in range(0, len(shards), 8):
-        some = [r["shard"] for r in shards[lo:lo + 8]]
+    for lo in range(0, len(shards), FETCHED):
+        some = [r["shard"] for r in shards[lo:lo + FETCHED]]
         rows = filters.filter(F.col("shard").isin(some)).select("shard", "words", "counts", "bits", "cells").toArrow()
         for shard, own, n, m, data in zip(*(rows.column(c) for c in rows.column_names)):
             data, own = np.frombuffer(data.as_buffer(), np.uint8), np.frombuffer(own.as_buffer(), np.uint64)
@@ -285,9 +287,14 @@ def score_pass(docs: DataFrame, group: tuple, shards: int, total: int, distinct:
     return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: int = 64, broadcast_mb: int = 192) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``, learnt from ``train``."""
+def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: int | None = None, broadcast_mb: int = 192) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``, learnt from ``train``.
+
+    ``shards`` defaults to one for ``SHARD_BYTES`` of training text, so what one task builds is as large for any corpus.
+    """
     lean_batches(docs.sparkSession)
+    if shards is None:
+        shards = max(64, -(-(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     filters = stage(build_filter(count_ngrams(train, shards)), "lm-filter")
     sizes = filters.select("shard", F.length("cells").alias("cells"), "distinct", "total").collect()  # a row a shard
     total, distinct = sum(r["total"] for r in sizes), sum(r["distinct"] for r in sizes)
@@ -302,6 +309,8 @@ def score_texts(docs: DataFrame, train: DataFrame, mu: float = 1000.0, shards: i
         groups[-1].append(r)
         room -= size
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    if len(groups) > 1:
+        rows = stage(rows, "lm-rows")  # the passes add up by row, so a row has one number in all of them
     sums = None
     for i, own in enumerate(groups):
         group = gathered(filters, own)  # within broadcast_mb

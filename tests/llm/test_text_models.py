@@ -185,8 +185,9 @@ def test_lm_score_is_near_the_unquantised_model(spark, monkeypatch, shards, broa
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, train, mu=100.0, shards=shards, broadcast_mb=broadcast_mb).collect()}
     want = plain_scores(texts[:200], texts, 100.0)
     for i, x in enumerate(want):
-        assert abs(got[i] - x) <= 0.03 * abs(x) + 0.05, (i, got[i], x)
-    assert abs(sum(got.values()) - sum(want)) <= 0.01 * abs(sum(want))
+        # a level spans a factor of 1.5 for pairs and 1.1 for words: at most log10(1.25) + 2 log10(1.05) a token
+        assert abs(got[i] - x) <= 0.14 * (len(plain_words(texts[i])) + 1), (i, got[i], x)
+    assert abs(sum(got.values()) - sum(want)) <= 0.02 * abs(sum(want))  # counts are never read too low, some too high
 
 
 def test_bloom_counts_are_never_low(spark):
