@@ -61,10 +61,6 @@ def job_name(job: Column | str, count: int, extra: str) -> Column:
     return F.coalesce(*named, F.lit("–"))
 
 
-def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
 def timeline_label(ts: Column | str) -> Column:
     return F.date_format(ts, "MMM dd  HH:mm:ss")
 

@@ -27,7 +27,8 @@ def wrapping_clock(df: DataFrame, base_time: str, text: str = "timestamp_str") -
     """Monotonic times from an ``MM:SS.f`` clock in row order.
 
     A drop of more than half an hour is a new hour; smaller jumps back are kept.  An
-    unreadable clock has no time, and the next row is compared with the last readable one.
+    unreadable clock has no time and so no window (``count_bad_clocks`` counts such rows), and the
+    next row is compared with the last readable one.
     """
     seconds = df.withColumn("_sec", clock_seconds(text))
     readable = carry_scan(seconds, ["machine"], "row_idx", lasts={"_last": F.col("_sec")}, name="readable")
@@ -62,6 +63,12 @@ def count_bad_times(df: DataFrame, text: str = "timestamp_str") -> DataFrame:
         F.count(F.lit(1)).alias("rows"))
 
 
+def count_bad_clocks(df: DataFrame, text: str = "timestamp_str") -> DataFrame:
+    """Rows per machine whose ``MM:SS.f`` clock can't be read."""
+    return df.groupBy("machine").agg(
+        F.count_if(clock_seconds(text).isNull()).alias("bad_rows"), F.count(F.lit(1)).alias("rows"))
+
+
 def synthetic_time(df: DataFrame, base_time: str) -> DataFrame:
     """No time column: one sample per second from the base time."""
     ts = _seconds_after(F.lit(base_time).cast("timestamp"), F.col("row_idx").cast("double"))

@@ -202,6 +202,14 @@ def bad_timestamp_count(spark, sf):
     return ingest.count_bad_times(events.raw_iso_readings(spark, sf))
 
 
+@query("bad_clock_count", sql("""select machine, count(*) filter (event_id % 103 = 0) as bad_rows, count(*) as rows from raw group by machine"""))
+def bad_clock_count(spark, sf):
+    """Clocks that can't be read, counted, as their rows get no time."""
+    raw = events.raw_readings(spark, sf)
+    broken = F.when(F.col("event_id") % 103 == 0, F.lit("12:xx.0")).otherwise(F.col("timestamp_str"))
+    return ingest.count_bad_clocks(raw.withColumn("timestamp_str", broken))
+
+
 @query("synthetic_time", sql("""select machine, row_idx, timestamp '2026-01-01' + to_seconds(row_idx) as timestamp,
   strftime(timestamp '2026-01-01' + to_seconds(row_idx), '%H:%M:%S') as timestamp_str from raw"""))
 def synthetic_time(spark, sf):
@@ -304,13 +312,13 @@ def row_range_context(spark, sf):
 
 
 @query("row_range_files", sql("""select machine, count(*) as rows, min(row_idx) as first_row, max(row_idx) as last_row, true as fewer_files from readings
-  where row_idx >= 700 - 119 and row_idx < 900 group by machine"""))
+  where row_idx >= 150 - 119 and row_idx < 220 group by machine"""))
 def row_range_files(spark, sf):
     """A range and its look-back from saved readings, opening only the files of its blocks."""
     path = new_path(spark, "saved-readings")
-    logs.save_readings(events.readings(spark, sf), path, rows_per_file=250)
+    logs.save_readings(events.readings(spark, sf), path, rows_per_file=60)
     every = len(spark.read.parquet(path).inputFiles())
-    part = logs.read_range(spark, path, 700, 900, look_back=119, rows_per_file=250).withColumn("_file", F.input_file_name())
+    part = logs.read_range(spark, path, 150, 220, look_back=119, rows_per_file=60).withColumn("_file", F.input_file_name())
     counted = part.groupBy("machine").agg(F.count("*").alias("rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
                                           F.count_distinct("_file").alias("_files"))
     return counted.withColumn("fewer_files", F.col("_files") * len(PROFILES) < every).drop("_files")
