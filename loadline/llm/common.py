@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ CACHE_WORDS = 300_000
 _caches: list[dict] = []
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def only_cache(mine: dict) -> None:
     """A worker serves tasks of many stages: empty and forget the word caches of all others, and give back free memory."""
     for other in _caches:
@@ -30,6 +39,7 @@ def only_cache(mine: dict) -> None:
             other.clear()
     _caches[:] = [mine]
     pa.default_memory_pool().release_unused()
+    trim()
 
 
 def lean_batches(spark: SparkSession) -> None:
