@@ -210,8 +210,11 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     right = left.select(F.col("token").alias("t2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
     # at its first common token a pair can still share no more than what follows; at later ones it need not pass
     room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= needed(F.col("n"), F.col("n2"), num, den)
-    met = left.join(right, (F.col("token") == F.col("t2")) & (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits & room)
-    more = link(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+    # the smaller set of a pair shares at least 2 num / (num + den) of its own size, so fewer of its rarest tokens have to be looked up
+    few = F.col("pos") <= F.col("n") - F.ceil(2 * num * F.col("n") / (num + den))
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2")))
+    met = left.filter(few).join(right, (F.col("token") == F.col("t2")) & smaller & (F.col("comp") != F.col("comp2")) & fits & room)
+    more = link(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
     if not more.isEmpty():
         comp = stage(components(links.union(more)), "components")
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
