@@ -58,9 +58,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, A-Z lower-cased."""
-    return text.translate(LOWER).split() if text else []
+def words_of(text: bytes | None, lower: bool = True) -> list[bytes]:
+    """Words `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, A-Z lower-cased unless ``lower`` is false."""
+    return (text.translate(LOWER) if lower else text).split() if text else []
 
 
 class WordHashes:

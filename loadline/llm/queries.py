@@ -109,7 +109,7 @@ def with_periods(docs: DataFrame) -> DataFrame:
 
 def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = runs.periodic_runs(docs, min_length=12)
+    found = runs.periodic_runs(docs, min_length=12, lower=False)  # the contract takes words as they are
     best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("n"), (-r.start).alias("s"), (-r.period).alias("q"))))
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
     return found.withColumn("best", best).select(

@@ -18,7 +18,7 @@ another place of the string between i and j, both distances would be periods of
 j - i not the smallest.  So each run comes up once.  Children are joined smaller into larger.
 
 Every document is worked on by itself and nothing is shuffled; a task takes ``GROUP_WORDS`` words (or one longer document) at
-a time.  Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and are compared exactly.
+a time.  Words are `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased unless ``lower`` is false, and are compared exactly.
 
 Defined cases: null or empty texts, and texts of white space, have no runs and an empty collapsed text; rows with one
 doc_id, or none, are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -203,11 +203,11 @@ def _numbering() -> defaultdict:
     return defaultdict(count().__next__)
 
 
-def periodic_runs(docs: DataFrame, min_length: int = 12) -> DataFrame:
+def periodic_runs(docs: DataFrame, min_length: int = 12, lower: bool = True) -> DataFrame:
     """(doc_id, n_words, runs, collapsed) per document.
 
     ``runs`` is an array of (start, length, period) by start, then period.  ``collapsed`` has the words joined by one space,
-    without those that a run contains after its first period.
+    without those that a run contains after its first period; with ``lower`` words are compared and returned lower-cased.
     """
     lean_batches(docs.sparkSession)
 
@@ -241,7 +241,7 @@ def periodic_runs(docs: DataFrame, min_length: int = 12) -> DataFrame:
                                     b" ".join(kept_words)))
 
             for text in byte_rows(batch.column("text")):
-                words = words_of(text)
+                words = words_of(text, lower)
                 if size and size + len(words) > GROUP_WORDS:
                     flush()
                     texts, ids, size = [], [], 0

@@ -84,13 +84,27 @@ def test_groups_of_documents_do_not_meet(monkeypatch):
         assert (whole[(whole[:, 0] >= 100 * d) & (whole[:, 0] < 100 * d + 100)] - [100 * d, 0, 0]).tolist() == own.tolist()
 
 
+def test_runs_of_words_that_differ_by_case(spark, tmp_path):
+    rows = [(1, "Go go " * 8), (2, "go go " * 8), (4, "x " + "A b " * 7 + "a B"), (None, "UP down " * 6)]
+    assert all(i is None or zlib.crc32(str(i).encode()) % 10 for i, _ in rows)
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op13_periodic_runs"](spark, path).collect()}
+    for doc_id, text in rows:
+        words, r = text.split(), got[doc_id]
+        found = plain_runs(words)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (1, *found[0])
+        assert r["collapsed_sha256"] == hashlib.sha256(collapsed(words, found).encode()).hexdigest()
+    assert (got[1]["period"], got[2]["period"], got[4]["length"], got[None]["length"]) == (2, 1, 14, 12)
+
+
 def test_runs_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in queries.QUERIES["op13_periodic_runs"](spark, sf_dir).collect()}
     assert got.keys() == docs.keys()
     assert any(r["n_runs"] for r in got.values())
     for doc_id, text in docs.items():
-        words = plain_words(text)
+        words = re.findall("[^\x20\x09-\x0D]+", text or "")
         h = zlib.crc32(str(doc_id).encode())
         g = h // 10
         if h % 10 == 0 and words:
