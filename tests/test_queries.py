@@ -37,3 +37,10 @@ def test_query(spark, sf_dir, con, name):
     got = queries()[name](spark, sf_dir).toPandas()
     assert len(got) > 0
     assert compare(got, con.execute(oracle_sql()[name]).df()) == "ok"
+
+
+def test_every_window_has_its_context(spark, sf_dir):
+    windows = queries()["sliding_windows"](spark, sf_dir).select("machine", "window_index")
+    context = queries()["window_context"](spark, sf_dir)
+    assert context.select("machine", "window_index").distinct().count() == windows.count()
+    assert windows.join(context, ["machine", "window_index"], "left_anti").isEmpty()
