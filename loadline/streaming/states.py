@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,44 +89,37 @@ def stream_hysteresis(windows: DataFrame, min_consecutive: int = MIN_CONSECUTIVE
             .applyInPandasWithState(update, RESULT, STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+def smoothed(raw: pd.Series, current: str, candidate: str, streak: int, needed: int) -> tuple[np.ndarray, int]:
+    """The accepted state after each of some states in order, and how often the last of them has come in a row."""
+    codes, names = pd.factorize(np.concatenate([[current, candidate], raw.to_numpy(object)]), use_na_sentinel=False)
+    own, at = codes[2:], np.arange(len(raw))
+    first = own != codes[1:-1]
+    start = np.maximum.accumulate(np.where(first, at, -1))
+    in_row = np.where(start < 0, at + 1 + streak, at - start + 1)
+    accepted = np.maximum.accumulate(np.where(in_row >= needed, at, -1))
+    return names[np.where(accepted < 0, codes[0], own[accepted])], int(in_row[-1])
+
+
 class _Hysteresis(StatefulProcessor):
-    """Takes one machine's windows one by one, in the order of their ends.
+    """Takes one machine's windows of a micro-batch in the order of their ends.
 
-    A window waits until the watermark has passed its end, when none before it can come any more; waiting windows are the
-    only ones held.  A window that comes later than that has been dropped by the aggregation before.
+    The aggregation before hands on a window in the batch in which the watermark passes its end and drops what comes later, so
+    the windows of a batch end after those of all batches before.  Three values a machine are all that is kept.
     """
 
     def __init__(self, needed: int, initial: str) -> None:
         self.needed, self.initial = needed, initial
 
     def init(self, handle) -> None:
-        self.handle = handle
         self.now = handle.getValueState("now", STATE)
-        self.waiting = handle.getMapState("waiting", "end_us long", "state string, confidence double")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            ends = frame["end_time"].astype("datetime64[us]").astype("int64")
-            for end, state, confidence in zip(ends, frame["state"], frame["confidence"]):
-                self.waiting.updateValue((int(end),), (state, float(confidence)))
-                self.handle.registerTimer(-(-int(end) // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = sorted(end for (end,) in self.waiting.keys() if end <= expiredTimerInfo.getExpiryTimeInMs() * 1000)
         current, candidate, streak = self.now.get() if self.now.exists() else (self.initial, self.initial, 0)
-        out = []
-        for end in due:
-            raw, confidence = self.waiting.getValue((end,))
-            self.waiting.removeKey((end,))
-            streak = min(streak + 1, self.needed) if raw == candidate else 1
-            candidate = raw
-            changed = streak >= self.needed and raw != current
-            current = raw if changed else current
-            out.append((key[0], pd.Timestamp(end, unit="us"), raw, confidence, current, changed))
-        if due:
-            self.now.update((current, candidate, streak))
-            yield pd.DataFrame(out, columns=["machine", "end_time", "state", "confidence", "smoothed_state", "changed"])
+        batch = pd.concat(list(rows)).sort_values("end_time", ignore_index=True)
+        states, streak = smoothed(batch["state"], current, candidate, streak, self.needed)
+        self.now.update((states[-1], batch["state"].iloc[-1], min(streak, self.needed)))
+        yield batch.assign(machine=key[0], smoothed_state=states, changed=states != np.concatenate([[current], states[:-1]]))[
+            ["machine", "end_time", "state", "confidence", "smoothed_state", "changed"]]
 
     def close(self) -> None:
         pass
@@ -138,7 +132,7 @@ def stream_smoothed_windows(stream: DataFrame, profiles=PROFILES, min_consecutiv
     """
     windows = stream_all_windows(stream, profiles, **options).select("machine", "end_time", "state", "confidence")
     return windows.groupBy("machine").transformWithStateInPandas(
-        _Hysteresis(max(1, min_consecutive), initial), RESULT, "Append", "EventTime")
+        _Hysteresis(max(1, min_consecutive), initial), RESULT, "Append", "None")
 
 
 def stream_transitions(smoothed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import loops
@@ -62,3 +63,41 @@ def test_readings_to_smoothed_windows_in_one_query(spark):
     smoothed = loops.smooth_states(states, 3, "RED")
     assert [r.smoothed_state for r in out] == smoothed
     assert [r.changed for r in out] == [a != b for a, b in zip(["RED", *smoothed], smoothed)]
+
+
+class _Handle:
+    """State of one machine that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_batch_of_windows_asks_its_state_a_few_times():
+    for machine, states in state_logs(4, 6).items():
+        handle, got = _Handle(), []
+        task = streaming._Hysteresis(3, "RED")
+        task.init(handle)
+        for low in range(0, len(states), 37):
+            some = list(range(low, min(len(states), low + 37)))
+            frame = pd.DataFrame({"end_time": pd.to_datetime(some, unit="s"), "state": [states[i] for i in some], "confidence": 0.5}).sample(frac=1, random_state=low)
+            before = handle.calls
+            got += [r for part in task.handleInputRows((machine,), iter([frame[:5], frame[5:]]), None) for r in part.itertuples()]
+            assert handle.calls - before <= 3
+        want = loops.smooth_states(states, 3, "RED")
+        assert [r.smoothed_state for r in got] == want
+        assert [r.changed for r in got] == [a != b for a, b in zip(["RED", *want], want)]
