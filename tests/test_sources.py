@@ -73,6 +73,18 @@ def test_a_range_opens_the_files_of_its_blocks(spark, tmp_path, sf_dir):
     assert logs.read_range(spark, path, 5, 5, rows_per_file=50).count() == 0
 
 
+def test_long_logs_get_larger_files(spark, tmp_path, sf_dir, monkeypatch):
+    monkeypatch.setattr(logs, "SAVED_FILES", 8)
+    path = str(tmp_path / "saved")
+    rows = events.readings(spark, sf_dir)
+    logs.save_readings(rows, path, rows_per_file=10)
+    assert len(spark.read.parquet(path).inputFiles()) <= 8 + rows.select("machine").distinct().count()
+    part = logs.read_range(spark, path, 130, 140, look_back=5, rows_per_file=10)
+    want = rows.filter("row_idx >= 125 and row_idx < 140")
+    assert sorted(map(str, part.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert part.select(F.input_file_name()).distinct().count() < len(spark.read.parquet(path).inputFiles())
+
+
 def test_a_failed_write_leaves_the_run_before(spark, tmp_path):
     path = str(tmp_path / "runs")
     first = spark.createDataFrame([("a", 1), ("b", 2)], "machine string, v int")
