@@ -69,6 +69,18 @@ def test_gradient_is_that_of_the_loss():
     assert loss > 0
 
 
+def test_many_classifiers_at_once_equal_one_by_one():
+    rng = np.random.default_rng(5)
+    z, w = rng.normal(size=(50, 6)), [rng.normal(size=(6, k)) for k in (3, 2, 3)]
+    labels = [rng.integers(0, 3, 50), rng.integers(-1, 2, 50), np.full(50, -1)]
+    losses, grad = models.cross_entropies(z, np.hstack(w), [(0, 3, labels[0]), (3, 5, labels[1]), (5, 8, labels[2])])
+    for loss, own, lo, hi, label in zip(losses, w, (0, 3, 5), (3, 5, 8), labels):
+        some = label >= 0
+        p = models.softmax(z[some] @ own)
+        assert np.isclose(loss, -np.log(p[np.arange(some.sum()), label[some]]).sum())
+        assert np.allclose(grad[:, lo:hi], z[some].T @ (p - np.eye(hi - lo)[label[some]]))
+
+
 def test_descent_reaches_the_minimum_and_never_rises():
     rng = np.random.default_rng(3)
     z = np.hstack([rng.normal(size=(300, 6)), np.ones((300, 1))])
@@ -112,6 +124,24 @@ def test_short_logs_are_reported(trained):
     assert model.history.count() == 2
 
 
+def test_training_blocks_are_dealt_in_pieces(spark, trained, monkeypatch):
+    _, labelled, lab = trained
+    rows, _, _ = lookback.training_rows(labelled, lab.stats, (ROBO, CONVEYER))
+    monkeypatch.setattr(models, "PIECE", 1 << 30)
+    whole = models.model_blocks(rows, (ROBO, CONVEYER)).collect()
+    monkeypatch.setattr(models, "PIECE", 100)
+    pieces = sorted(models.model_blocks(rows, (ROBO, CONVEYER)).collect(), key=lambda r: r["at"])
+    assert len(pieces) > 4 * len(whole) and max(r.windows for r in pieces) == 100
+    for r in whole:
+        mine = [p for p in pieces if (p.machine, p.split) == (r.machine, r.split)]
+        assert all(b"".join(p[c] for p in mine) == r[c] for c in ("state", "position", "job"))
+        width = len(r.x) // 8 // (r.windows + 29)
+        x, at = np.frombuffer(r.x).reshape(-1, width), 0
+        for p in mine:
+            assert (np.frombuffer(p.x).reshape(-1, width) == x[at:at + p.windows + 29]).all()
+            at += p.windows
+
+
 def test_model_beats_majority_and_survives_saving(spark, trained):
     model, labelled, lab = trained
     path = new_path(spark, "model-test")
