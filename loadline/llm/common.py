@@ -136,7 +136,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps.  Each step takes a partially aggregated
     minimum per node and joins it back, so a hub is split by the adaptive skew join and no
-    task gathers a neighbourhood.  Every round is written to the shared folder.
+    task gathers a neighbourhood.  Every round is written to the shared folder; the rounds end
+    as soon as every edge leads straight to the smallest node of its component.
     """
     def tidy(e: DataFrame) -> DataFrame:
         return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -145,9 +146,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = of.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         return e.join(least, e.a == least.n)
 
+    def flat(e: DataFrame) -> bool:
+        """Every node has one smaller neighbour, or only larger ones."""
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            e.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not ends.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
     now = stage(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
-    mark = None
-    while True:
+    while not flat(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = stage(tidy(large), "large-star")
@@ -155,14 +162,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                                                F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = stage(tidy(small.select("e.*")), "small-star")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def more_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``known`` (node, component) after more ``edges`` (a, b): only edges between components are followed."""
+    of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = edges.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(between)
+    if up.isEmpty():
+        return known
+    above = up.select(F.col("node").alias("at"), F.col("component").alias("top"))
+    moved = known.join(above, F.col("component") == F.col("at"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    return stage(moved.union(up.join(known, "node", "left_anti")), "components")
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

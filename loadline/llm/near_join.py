@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import WordHashes, byte_rows, components, lean_batches, only_cache, shingles, words_of
+from loadline.llm.common import WordHashes, byte_rows, components, lean_batches, more_components, only_cache, shingles, words_of
 from loadline.plans.staging import stage
 
 BUCKET_BITS = 22
@@ -195,17 +195,16 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         return stage(named.join(spread, F.col("token") == F.col("t2")).drop("t2"), "open-lists")
 
     pairs, lead = stars(lists)
-    links = link(pairs)
+    comp = stage(components(link(pairs)), "components")
     rest = lists
     for turn in range(STARS):
-        comp = stage(components(links), "components")
         rest = open_lists(rest, comp)
         # a leader has met its whole list
         rest = stage(rest.join(lead.select("t2", "rep2"), (F.col("token") == F.col("t2")) & (F.col("rep") == F.col("rep2")), "left_anti"), "open-lists")
         if turn == STARS - 1 or (long := rest.filter(F.col("comps") > LONG_LIST)).isEmpty():
             break
         pairs, lead = stars(long)
-        links = stage(links.union(link(pairs)), "links")
+        comp = more_components(comp, link(pairs))
     left = rest.select("token", "rep", "n", "pos", "comp")
     right = left.select(F.col("token").alias("t2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
     # at its first common token a pair can still share no more than what follows; at later ones it need not pass
@@ -215,8 +214,7 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2")))
     met = left.filter(few).join(right, (F.col("token") == F.col("t2")) & smaller & (F.col("comp") != F.col("comp2")) & fits & room)
     more = link(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
-    if not more.isEmpty():
-        comp = stage(components(links.union(more)), "components")
+    comp = more_components(comp, more)
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     named = named.withColumnRenamed("same", "_same")
     return prof.join(named, F.col("same") == F.col("_same"), "left").select(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadline.llm.common import CACHE_WORDS, lean_batches, mix, only_cache, with_fields
+from loadline.llm.common import CACHE_WORDS, lean_batches, mix, only_cache, trim, with_fields
 from loadline.plans.staging import stage
 
 HASH_BITS = 20
@@ -103,19 +103,22 @@ class Model:
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-5,
-             beta: float = 0.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear scorer; rows are 0/1 features."""
+             beta: float = 0.0, seed: int = 5, dims: int | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear scorer; rows are 0/1 features, or bytes of ``dims`` packed bits, unpacked a step's rows at once."""
     rng = np.random.default_rng(seed)
-    dims = positive.shape[1]
+    packed, dims = dims is not None, dims or positive.shape[1]
     w, b = np.zeros(dims, np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def some(rows, most):
+        part = rows[rng.integers(len(rows), size=min(most, len(rows)))]
+        return (np.unpackbits(part, axis=1, count=dims) if packed else part).astype(np.float32)
+
     for t in range(1, steps + 1):
-        p = positive[rng.integers(len(positive), size=min(1000, len(positive)))].astype(np.float32)
-        u = unlabelled[rng.integers(len(unlabelled), size=min(2000, len(unlabelled)))].astype(np.float32)
+        p, u = some(positive, 1000), some(unlabelled, 2000)
         zp, zu = p @ w + b, u @ w + b
         sp, su = sigmoid(zp), sigmoid(zu)
         clean = np.log1p(np.exp(np.minimum(zu, 30))).mean() - prior * np.log1p(np.exp(np.minimum(zp, 30))).mean()
@@ -197,11 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     got = sample.mapInArrow(select, "positive int, bits binary").toArrow()  # the sample, features / 8 bytes a row
     if not len(best):
         return Model(chosen, np.zeros(0), float(np.log(prior / (1 - prior))))
-    bits = np.unpackbits(np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1)[:, :len(best)]
+    # the driver keeps the bits packed
+    bits = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1)
     kind = np.asarray(got.column("positive").combine_chunks())
-    order = np.lexsort((*bits.T[:8], bits.sum(1), kind))  # the same order however tasks were dealt
+    first = np.unpackbits(bits[:, :1], axis=1, count=min(8, len(best)))
+    order = np.lexsort((*first.T, np.bitwise_count(bits).sum(1), kind))  # the same order however tasks were dealt
     bits, kind = bits[order], kind[order]
-    weights, bias = fit_nnpu(bits[kind == 1], bits[kind == 0], prior)
+    weights, bias = fit_nnpu(bits[kind == 1], bits[kind == 0], prior, dims=len(best))
+    trim()
     return Model(chosen, weights, bias)
 
 

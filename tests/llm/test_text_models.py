@@ -10,7 +10,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from loadline.llm import decontamination, html_extract, lm, near_join, packing, toxicity
+from loadline.llm import common, decontamination, html_extract, lm, near_join, packing, toxicity
+from loadline.plans.staging import stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,6 +248,51 @@ def test_nnpu_finds_the_feature():
     assert w.argmax() == 2 and w[2] + b > 0 > b
 
 
+@pytest.mark.parametrize("dims", [3, 20])
+def test_nnpu_of_packed_rows_is_the_same(dims):
+    rng = np.random.default_rng(1)
+    pos, mix = rng.random((50, dims)) < 0.6, rng.random((80, dims)) < 0.3
+    w, b = toxicity.fit_nnpu(pos, mix, 0.2, steps=40)
+    v, c = toxicity.fit_nnpu(np.packbits(pos, axis=1), np.packbits(mix, axis=1), 0.2, steps=40, dims=dims)
+    assert (w == v).all() and b == c
+
+
+def least_reachable(edges):
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_components_end_when_all_edges_lead_to_the_smallest_node(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "stage", lambda df, name="stage": (written.append(name), stage(df, name))[1])
+    star = [(n, 1) for n in range(2, 30)] + [(41, 40), (40, 40)]
+    got = common.components(spark.createDataFrame(star, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == least_reachable(star[:-1])
+    assert written == ["edges"]
+    written.clear()
+    hub = [(n, 20) for n in range(2, 30) if n != 20] + [(50, 50 + n) for n in range(1, 4)]
+    got = common.components(spark.createDataFrame(hub, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == least_reachable(hub) and len(got) == len(least_reachable(hub))
+    assert written.count("small-star") == 1
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_more_edges_change_only_the_components_they_join(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    old, new = ([(int(a), int(b)) for a, b in rng.integers(0, 60, (n, 2)) if a != b] for n in (25, 15))
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    known = stage(common.components(frame(old)), "known")
+    got = common.more_components(known, frame(new)).collect()
+    assert {r["node"]: r["component"] for r in got} == least_reachable(old + new) and len(got) == len(least_reachable(old + new))
+    inside = [(a, least_reachable(old)[a]) for a, _ in old]
+    written = []
+    monkeypatch.setattr(common, "stage", lambda df, name="stage": (written.append(name), stage(df, name))[1])
+    assert common.more_components(known, frame(inside)) is known and written == ["edges"]
+
+
 def test_leaks_and_paraphrases(spark):
     rng = random.Random(10)
     items = [(i, invented(rng, 45, 4000)) for i in range(12)] + [(90, None), (91, " .,- ")]
